@@ -2,18 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from . import bpe_codec, chat_format, line_dedup, packing, quality, token_counts, toxicity
 from .common import table
-from .line_dedup import ORACLE as LINE_SQL
-from .line_dedup import line_dedup_digest
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def op1_chat_format(spark, sf_dir):
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
 def op2_line_dedup(spark, sf_dir):
-    return line_dedup_digest(table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup_digest(_documents(spark, sf_dir))
+
+
+def op3_bpe_codec(spark, sf_dir):
+    return bpe_codec.codec_digest(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_quality_rules(spark, sf_dir):
+    return quality.quality_digest(_documents(spark, sf_dir))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity_digest(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_token_counts(spark, sf_dir):
+    return token_counts.token_count_digest(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
+    "op3_bpe_codec": op3_bpe_codec,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES = {
-    "op2_line_dedup": LINE_SQL,
+    "op1_chat_format": chat_format.ORACLE,
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op4_quality_rules": quality.ORACLE,
 }
