@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe_codec, chat_format, line_dedup, packing, quality, token_counts, toxicity
+from . import bpe_codec, chat_format, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -36,10 +36,18 @@ def op6_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(_documents(spark, sf_dir))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.token_count_digest(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -47,10 +55,13 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }
