@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from . import bpe_codec, chat_format, line_dedup, near_dedup, nearest, packing, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -36,6 +37,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_substrings(_documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_near_dedup": op10_near_dedup,

@@ -103,8 +103,18 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(_U), offsets - offsets[0]
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], words: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, so that no slice has more than so many words, or it is one row."""
     for batch in batches:
+        ends, at = batch.column("words").offsets.to_numpy().astype(np.int64), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + words, side="right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         words, offsets = _flat(batch.column("words"))
         row, first, last, h, c = anchors(words, offsets)
         base = offsets[:-1][row]
@@ -115,7 +125,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         words, offsets = _flat(batch.column("words"))
         spans = batch.column("spans")
         counts = np.diff(spans.offsets.to_numpy())
