@@ -100,8 +100,11 @@ def eps_of(mu: float, delta: float) -> float:
 
 
 def mechanism_eps(mu: float) -> float:
-    """The eps of an exponential mechanism that is mu-GDP."""
-    return math.log(1 / _PHI(-mu / 2) - 1)
+    """The eps of an exponential mechanism that is mu-GDP: ln(1 / PHI(-mu/2) - 1), by the tail's expansion where it underflows."""
+    tail = math.erfc(mu / math.sqrt(8)) / 2
+    if tail < 1e-280:
+        return mu * mu / 8 + math.log(mu / 2 * math.sqrt(2 * math.pi))
+    return math.log((1 - tail) / tail)
 
 
 def exponential_choice(scores: dict, eps: float, rng: np.random.Generator, sensitivity: float = 1.0):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -155,14 +158,15 @@ def gan_train(spark, d):
     return made.select("id", G.decoded(F.get("row", F.lit(0)), F.lit(0), modes, 0).alias("qty"), flag.cast("int").alias("flag"))
 
 
+def _shared(spark) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="margrave-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def csv_round_trip(spark, d):
     """orders written as ';' CSV to the shared folder and read back by name."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="margrave-csv-")
-    path = f"{folder}/orders-csv"
+    path = f"{_shared(spark)}/orders-csv"
     table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
     return T.read_csv(spark, path, ["o_orderpriority", "o_orderkey", "o_totalprice"], ";").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice", "o_orderpriority")
 
@@ -173,7 +177,7 @@ def streaming_counts(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     name = "margrave_windows"
     out = stream_counts.windowed_counts(stream, "ts", ["event_type"]).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "cnt")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _shared(spark)).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 
