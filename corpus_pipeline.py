@@ -8,18 +8,18 @@ n_chars.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from margrave.llm import line_dedup, near_dedup, packing, substring_dedup, toxicity
 from margrave.llm.common import Scratch, table
 
 
-def _as_documents(out: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of like, n_chars counted anew where there is one."""
-    if "n_chars" in like.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(like.schema["n_chars"].dataType))
-    return out.select(*like.columns)
+def _as_documents(docs: DataFrame, out: DataFrame, text: Column) -> DataFrame:
+    """The columns of docs from out, with a new text (a null stays null) and n_chars, where there is one, counted anew."""
+    new = F.when(F.col("text").isNotNull(), text)
+    own = {"text": new, "n_chars": F.char_length(new)}
+    return out.select(*[(own[x].cast(docs.schema[x].dataType) if x in own else F.col(f"`{x}`")).alias(x) for x in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
-    out = line_dedup.dedup_lines(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return _as_documents(out.withColumn("text", text), docs)
+    named = docs.withColumnRenamed("kept", "__kept") if "kept" in docs.columns else docs
+    out = _as_documents(named, line_dedup.dedup_lines(named), F.col("kept.text"))
+    return out.withColumnRenamed("__kept", "kept")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages of 35 words or more that start elsewhere too go."""
-    return _as_documents(substring_dedup.dedup_substrings(docs, with_text=True), docs)
+    return _as_documents(docs, substring_dedup.dedup_substrings(docs, with_text=True), F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

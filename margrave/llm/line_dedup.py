@@ -79,14 +79,13 @@ def _compacted(runs: list[DataFrame]) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """All columns of docs, with ``kept_text``, ``n_lines`` and ``n_dropped`` added (a column of such a name is replaced).
+    """All columns of docs, and ``kept``: struct(text, n_lines, n_dropped), in place of a column of that name.
 
     A key of at least min_chars code points that at least min_docs rows hold loses its lines in every row but those of its largest
     doc_id.  A null or empty text is one empty line.  Rows that repeat a doc_id count one by one and share decisions; a row without
     doc_id holds keys but is never the keeper.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
     store = LineRuns(spark, fanout)
     lines = F.split(text_of(), "\n")
     # One scan writes the narrow (key, doc_id) pairs, partitioned by batch; all later work on keys is on them.
@@ -94,25 +93,30 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc_id") >= F.lit(cut), i).otherwise(batch)
-    pairs = docs.select("doc_id", batch.alias("batch"), F.explode(F.array_distinct(F.transform(lines, lambda x: line_hashes(x, min_chars)))).alias("key"))
+    keys = F.array_distinct(F.transform(lines, lambda x: line_hashes(x, min_chars)))
+    pairs = docs.select("doc_id", batch.alias("batch"), F.explode(keys).alias("key"))
     pairs = store.scratch.write(pairs.filter("key is not null").select("doc_id", "key.h1", "key.h2", "batch"), "pairs", "batch")
     for i in range(len(cuts) + 1):
         store.append(pairs.filter(F.col("batch") == i).select("doc_id", *KEYS))
     heavy = store.keys().filter(F.col("n_docs") >= min_docs).select(*KEYS, "keeper")
     losers = pairs.join(heavy, KEYS).filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")) | F.col("keeper").isNull())
     drops = losers.groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias("drops"))
-    joined = docs.join(drops.withColumnRenamed("doc_id", "drop_id"), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
-    has = F.col("drops").isNotNull()
-    kept = F.when(has, F.filter(F.split(text_of(), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("drops"), line_hashes(x, min_chars)), F.lit(False))))
-    out = joined.withColumn("kept_lines", kept).withColumn("n_lines", F.size(F.split(text_of(), "\n")).cast("long"))
-    out = out.withColumn("n_dropped", F.when(has, F.col("n_lines") - F.size("kept_lines")).otherwise(0).cast("long"))
-    return out.withColumn("kept_text", F.when(has, F.array_join("kept_lines", "\n")).otherwise(text_of())).drop("drops", "kept_lines")
+    # The columns travel in a struct, so that their names can't clash with ours.
+    rows = docs.select(F.col("doc_id"), text_of().alias("text"), F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != "text"], F.col("text").isNull().alias("__null")).alias("row"))
+    joined = rows.join(drops.withColumnRenamed("doc_id", "drop_id"), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    has, lines = F.col("drops").isNotNull(), F.split("text", "\n")
+    kept = F.when(has, F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), line_hashes(x, min_chars)), F.lit(False))))
+    out = joined.withColumn("kept_lines", kept).withColumn("n_lines", F.size(lines).cast("long"))
+    n_dropped = F.when(has, F.col("n_lines") - F.size("kept_lines")).otherwise(0).cast("long")
+    new = F.struct(F.when(has, F.array_join("kept_lines", "\n")).otherwise(F.col("text")).alias("text"), "n_lines", n_dropped.alias("n_dropped")).alias("kept")
+    old = [(F.when(~F.col("row.__null"), F.col("text")) if x == "text" else F.col("row").getField(x)).alias(x) for x in docs.columns if x != "kept"]
+    return out.select(*old, new)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, n_lines, n_dropped, kept_sha256."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "kept.n_lines", "kept.n_dropped", F.sha2(F.col("kept.text").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

@@ -287,5 +287,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose doc_id is the least of its class, and those without doc_id; all columns kept."""
-    classes = near_duplicates(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(classes, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    classes = near_duplicates(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(classes, docs["doc_id"] == F.col("__gone"), "left_anti")

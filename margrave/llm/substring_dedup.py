@@ -242,18 +242,21 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False)
     lose their windows.  An empty table gives an empty table.
     """
     spans = repeated_stretches(docs, batches)
-    base = docs.drop("did", "tk", "spans") if with_text else docs.select("doc_id", "text")
-    joined = _keyed(base).join(spans, KEY, "left").drop(*KEY)
     if with_text:
-        order = base.columns
+        # The other columns travel under names of our own, so that theirs can't clash.
+        order = docs.columns
+        names = {x: f"c{i}" for i, x in enumerate(order) if x != "text"}
+        base = docs.select("doc_id", "text", *[F.col(f"`{x}`").alias(n) for x, n in names.items()])
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
                 new = pa.array([None if t is None else _kept(t, s)[2].decode("utf-8") for t, s in zip(texts, spans, strict=True)], batch.schema.field("text").type)
-                yield pa.RecordBatch.from_arrays([new if x == "text" else batch.column(x) for x in order], names=order)
+                yield pa.RecordBatch.from_arrays([batch.column(names[x]) if x in names else new for x in order], names=order)
 
-        return joined.select(*order, "spans").mapInArrow(rewrite, base.schema)
+        return _keyed(base).join(spans, KEY, "left").select("text", "spans", *names.values()).mapInArrow(rewrite, docs.schema)
+
+    joined = _keyed(docs.select("doc_id", "text")).join(spans, KEY, "left").drop(*KEY)
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
