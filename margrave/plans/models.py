@@ -1,4 +1,4 @@
-"""Whole plans: independent columns, the static tree (FSTS) and the iterative choice (FIGS), from coded rows to a model.
+"""Whole plans: independent columns, the static tree and the iterative choice, from coded rows to a model.
 
 The rows are read by one job a plan: the marginals of a workload, by client, in one scan (GROUPING SETS).  All that follows is on cells.
 """
@@ -93,7 +93,7 @@ def fit_independent(coded: DataFrame, domain: pgm.Domain, settings: Settings, no
 
 
 def fit_tree(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise) -> tuple[pgm.Model, privacy.Ledger, list[tuple[str, str]]]:
-    """FSTS: one-way model, a private spanning tree at each client, the clients' vote, the tree's marginals, the final model."""
+    """The static tree: one-way model, a private spanning tree at each client, the clients' vote, the tree's marginals, the final model."""
     ledger, rng = privacy.Ledger(settings.mu), _rng(settings, noise)
     mu_one, mu_select, mu_edges = privacy.proportional(settings.mu, settings.shares)
     ones, pairs = [(a,) for a in domain.attrs], powerset(domain.attrs, 2, 2)
@@ -117,7 +117,7 @@ def fit_tree(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: pr
 
 
 def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise, rounds: int | None = None) -> tuple[pgm.Model, privacy.Ledger, list[tuple[str, ...]]]:
-    """FIGS: rounds of nomination by clients (exponential mechanism), choice by noisy maximum, measurement and a new model.
+    """The iterative choice: rounds of nomination by clients (exponential mechanism), choice by noisy maximum, measurement and a new model.
 
     A round whose model moves less than its noise would doubles the next rounds' budget (squared); the last round spends what is left.
     """

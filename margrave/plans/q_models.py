@@ -34,7 +34,7 @@ def pgm_tree_fit(spark, d):
     return models.model_table(spark, model)
 
 
-def figs_fit(spark, d):
+def pgm_iterative_fit(spark, d):
     _, ledger, chosen = models.fit_iterative(coded_lineitem(spark, d), DOMAIN, FAST, NOISE, rounds=6)
     return spark.createDataFrame([("|".join(c), float(m)) for c, (_, m) in zip(chosen, ledger.steps[1:], strict=True)], "clique string, mu double")
 
@@ -181,7 +181,7 @@ def streaming_counts(spark, d):
     return spark.table(name)
 
 
-QUERIES = {f.__name__: f for f in (pgm_independent, pgm_tree_fit, figs_fit, synth_independent, synth_tree, marginal_error_1, marginal_error_2, metrics_kernel, cramers_v, association_matrix, histogram, results_by_mu)}
+QUERIES = {f.__name__: f for f in (pgm_independent, pgm_tree_fit, pgm_iterative_fit, synth_independent, synth_tree, marginal_error_1, marginal_error_2, metrics_kernel, cramers_v, association_matrix, histogram, results_by_mu)}
 QUERIES |= {f"discriminator_{k}": _discriminator(m) for k, m in (("lr", "logistic"), ("rf", "forest"))} | {f"utility_{k}": _utility(m) for k, m in (("lr", "logistic"), ("rf", "forest"))}
 QUERIES |= {f.__name__: f for f in (gan_encode, gan_decode, gan_modes, gan_train, csv_round_trip, streaming_counts)}
 
