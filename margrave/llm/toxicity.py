@@ -116,11 +116,12 @@ def _stem_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen, total, positive = set(), Counter(), Counter()
         for y, text in zip(batch["y"], batch["text"], strict=True):
-            words = WORDS.findall(text.lower())
-            sketch = min((hash_of(words[i : i + 5]) for i in range(max(1, len(words) - 4))), default=0)
+            raw = text.lower().split()
+            sketch = min(hash_of(raw[i : i + 5]) for i in range(max(1, len(raw) - 4)))
             if sketch in seen:
                 continue
             seen.add(sketch)
+            words = WORDS.findall(text.lower())
             stems = {w[:k] for w in set(words) for k in STEM_LENGTHS if k <= len(w)} | {w + "$" for w in set(words)} | {""}
             total.update(stems)
             if y:
