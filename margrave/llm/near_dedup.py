@@ -11,7 +11,8 @@
    its predecessor and with the bucket's first member: pairs are at most two a member, in an order that puts similar ones together.
    The order is a range partitioning, so a bucket of any size is spread over tasks; the last row before a task's first is passed on.
 4. Pairs whose samples agree enough are verified by the exact weighted Jaccard similarity of their texts; verified pairs and equal word
-   sequences make the classes, which are connected components.
+   sequences make the classes, which are connected components.  Where a pair still lies across two classes, its documents are compared
+   with each other's class's centre, too, until no new link is found.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BANDS = SAMPLES // ROWS
 #: Pairs whose share of equal samples is below this aren't verified: 3.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.58
 IDF_CAP = 2.3
+#: Rounds in which documents are compared with the centres of classes that they met.
+ROUNDS_OF_CENTRES = 3
 #: The sketch: rows and cells a row.
 DEPTH, WIDTH = 2, 1 << 16
 #: Entries of each table of random variates; samples draw on them by independent hashes.
@@ -240,6 +243,17 @@ def similarity(n_docs: int, sketch: np.ndarray):
     return run
 
 
+def _centres(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """(class, centre) of classes of three or more: the member whose samples equal the commonest of the class in most places.
+
+    Counts by (class, place, sample) and sums by member combine before the shuffle; no class is gathered.
+    """
+    large = labels.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("class")
+    cells = heads.join(labels.join(large, "class", "left_semi"), "id").select("class", "id", F.posexplode("sig").alias("place", "value"))
+    commonest = cells.groupBy("class", "place", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("class", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
+    return cells.join(commonest, ["class", "place", "value"]).groupBy("class", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("class").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("centre"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id), a row for each distinct doc_id; class_id is the least doc_id of the class.
 
@@ -271,16 +285,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         checked = both.mapInPandas(similarity(n_docs, sketch), "a long, b long, similarity double")
         return scratch.write(checked.filter(F.col("similarity") >= threshold).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
 
-    # The most alike pair of each document first; then only pairs between documents that are not in one class yet.
+    # The most alike pair of each document first.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     links = verified(best)
     classes = connected(scratch, links.unionByName(copies))
-    label = lambda side: classes.select(F.col("u").alias(side), F.col("v").alias(f"{side}_class"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = rest.filter(F.coalesce("a_class", "a") != F.coalesce("b_class", "b"))
-    more = verified(rest)
-    if not more.isEmpty():
+    # Then pairs that still join two classes, and each of their documents with the other's class's centre: the centre is the member that
+    # all others resemble most, so a document that resembles any of a class by way of a common source resembles it.
+    known = sig.join(involved.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    asked = best
+    for _ in range(ROUNDS_OF_CENTRES):
+        labels = known.select("id").join(classes.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("class"))
+        labels = scratch.write(labels, "labels")
+        centres = _centres(known, labels)
+        label = lambda side: labels.select(F.col("id").alias(side), F.col("class").alias(f"{side}_class"))  # noqa: B023, E731
+        centre = lambda side: centres.select(F.col("class").alias(f"{side}_class"), F.col("centre").alias(f"{side}_centre"))  # noqa: B023, E731
+        across = pairs.join(label("a"), "a").join(label("b"), "b").filter("a_class <> b_class").join(centre("a"), "a_class", "left").join(centre("b"), "b_class", "left")
+        x, y, cx, cy = "a", "b", F.coalesce("a_centre", "a"), F.coalesce("b_centre", "b")
+        options = F.array(*[F.struct(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")) for l, r in ((x, y), (x, cy), (cx, y), (cx, cy))])  # noqa: E741
+        fresh = across.select(F.explode(options).alias("p")).select("p.a", "p.b").distinct().join(asked, ["a", "b"], "left_anti")
+        fresh = scratch.write(fresh, "asked")
+        more = verified(fresh)
+        if more.isEmpty():
+            break
         classes = connected(scratch, classes.unionByName(more))
+        asked = asked.unionByName(fresh)
     every = signed.select("doc_id").distinct()
     return every.join(classes, F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("v", "doc_id").alias("class_id"))
 
