@@ -40,6 +40,7 @@ class ByteBPE:
         self._odd = regex.compile(r"[^\S \n]").search
         self._fits: dict[tuple[int, int], bool] = {}
         self._cache: dict[str, tuple[int, str, bytes]] = {}
+        self._counts: dict[str, int] = {}
 
     # -- bytes ---------------------------------------------------------------------------------------------------------------
 
@@ -92,6 +93,17 @@ class ByteBPE:
                 self._cache[segment] = found
         return found
 
+    def count(self, segment: str) -> int:
+        """The number of a segment's ids."""
+        found = self._counts.get(segment)
+        if found is None:
+            found = len(self.segment_ids(segment))
+            if len(segment) <= 256:
+                if len(self._counts) >= CACHE:
+                    self._counts.clear()
+                self._counts[segment] = found
+        return found
+
     def segments(self, text: str) -> list[str]:
         """The text cut just before each space that follows a non-blank."""
         if not text:

@@ -8,6 +8,7 @@ paths from those leaves to the root.  All other leaves keep their counts: both t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,7 +41,7 @@ class CountTree:
         """The leaves of a new tree and their tokens."""
         parts = bpe.split(text)
         groups = [parts[i : i + WIDTH] for i in range(0, len(parts), WIDTH)]
-        return ["".join(g) for g in groups], [sum([bpe.segment(x)[0] for x in g]) for g in groups]
+        return ["".join(g) for g in groups], [sum([bpe.count(x) for x in g]) for g in groups]
 
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -70,7 +71,7 @@ class CountTree:
         self.leaves[first : last + 1] = [region] + [""] * (last - first)
         for leaf in range(first, last + 1):
             self.chars[self.size + leaf] = self.tokens[self.size + leaf] = 0
-        self.chars[self.size + first], self.tokens[self.size + first] = len(region), sum([self.bpe.segment(x)[0] for x in parts])
+        self.chars[self.size + first], self.tokens[self.size + first] = len(region), sum([self.bpe.count(x) for x in parts])
         low, high = (self.size + first) // 2, (self.size + last) // 2
         while low:
             for node in range(low, high + 1):
@@ -106,11 +107,13 @@ def count_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def apply_edits(trees: DataFrame, path: str, pattern: str) -> DataFrame:
-    """trees: count_trees() with ``edits`` (start, stop, text; applied in order, each to what the last left; places in code points).
+    """trees: rows (doc_id, text, edits) with or without the leaves of count_trees(); without them, trees are built first.
 
-    Returns doc_id, n_tokens (before), n_edits, n_tokens_edited, n_segments (of the document), n_encoded (segments encoded again) and
-    edited_text.  A null list has no edits, a null replacement is empty.
+    Edits are (start, stop, text), applied in order, each to what the last left; places in code points.  Returns doc_id, n_tokens
+    (before), n_edits, n_tokens_edited, n_segments (of the document, to a leaf), n_encoded (segments encoded again) and edited_sha256.  A
+    null list has no edits, a null replacement is empty.  Memory: one batch of texts, and the trees of one document.
     """
+    kept = "leaf_chars" in trees.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)
@@ -118,17 +121,22 @@ def apply_edits(trees: DataFrame, path: str, pattern: str) -> DataFrame:
             rows = []
             for x in batch.itertuples(index=False):
                 leaves, at = [], 0
-                for n in x.leaf_chars:
-                    leaves.append(x.text[at : at + n])
-                    at += n
-                tree = CountTree(bpe, leaves, [int(t) for t in x.leaf_tokens])
+                if kept:
+                    for n in x.leaf_chars:
+                        leaves.append(x.text[at : at + n])
+                        at += n
+                    tree = CountTree(bpe, leaves, [int(t) for t in x.leaf_tokens])
+                else:
+                    tree = CountTree(bpe, *CountTree.cut(bpe, x.text))
+                before, segments = tree.n_tokens, WIDTH * len(tree.leaves)
                 edits = [] if x.edits is None else list(x.edits)
                 for e in edits:
                     tree.edit(e["start"], e["stop"], e["text"] or "")
-                rows.append((x.doc_id, x.n_tokens, len(edits), tree.n_tokens, WIDTH * len(leaves), tree.encoded, tree.text()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_segments", "n_encoded", "edited_text"])
+                sha = hashlib.sha256(tree.text().encode("utf-8")).hexdigest()
+                rows.append((x.doc_id, before, len(edits), tree.n_tokens, segments, tree.encoded, sha))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_segments", "n_encoded", "edited_sha256"])
 
-    return trees.mapInPandas(run, "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_segments long, n_encoded long, edited_text string")
+    return trees.mapInPandas(run, "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_segments long, n_encoded long, edited_sha256 string")
 
 
 def standard_edits(text: Column) -> Column:
@@ -140,6 +148,6 @@ def standard_edits(text: Column) -> Column:
 
 
 def token_count_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Counts of every document before and after the standard edits."""
-    trees = count_trees(docs.select("doc_id", "text", standard_edits(text_of()).alias("edits")), path, pattern)
-    return apply_edits(trees, path, pattern).select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_segments", "n_encoded", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"))
+    """Counts of every document before and after the standard edits; trees are built and edited in one pass over the texts."""
+    edited = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), standard_edits(text_of()).alias("edits"))
+    return apply_edits(edited, path, pattern)
