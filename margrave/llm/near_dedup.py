@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = scratch.write(pairs.select("a", "b", equal.alias("agree")).filter(F.col("agree") >= LEAST_AGREEMENT * SAMPLES), "pairs")
 
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.write(docs.select("doc_id", text_of().alias("text")).join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    # A merge join at every size: ids that happen to be few would be broadcast, and the plan's needs would jump once they are not.
+    texts = scratch.write(docs.select("doc_id", text_of().alias("text")).join(involved.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     def verified(asked: DataFrame) -> DataFrame:
         left, right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
@@ -316,4 +317,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose doc_id is the least of its class, and those without doc_id; all columns kept."""
     classes = near_duplicates(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(classes, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(classes.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
