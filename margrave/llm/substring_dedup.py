@@ -145,25 +145,25 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class FingerprintIndex:
-    """Immutable sorted runs (h, c, n, place) in levels; place is the least (did, tk, i1, i2) that holds the stretch."""
+    """Immutable sorted runs (h, c, n, first) in levels; first is a document that holds the stretch, null where an older run names it."""
 
     def __init__(self, scratch: Scratch, fanout: int = 3) -> None:
         self.scratch, self.fanout, self.levels = scratch, fanout, [[]]
 
     def append(self, batch: DataFrame) -> None:
-        """batch: a row (h, c, did, tk, i1, i2) for each stretch."""
-        keys = batch.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "tk", "i1", "i2")).alias("place"))
+        """batch: a row (h, c, did) for each stretch."""
+        keys = batch.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first"))
         if runs := self.runs():
-            # What the history knows already adds its count only: the older run keeps the place.
-            known = _union(runs).filter("place is not null").select("h", "c", F.lit(True).alias("known"))
-            keys = keys.join(known, ["h", "c"], "left").withColumn("place", F.when(F.col("known").isNull(), F.col("place"))).drop("known")
+            # What the history knows already adds its count only.
+            known = _union(runs).filter("first is not null").select("h", "c", F.lit(True).alias("known"))
+            keys = keys.join(known, ["h", "c"], "left").withColumn("first", F.when(F.col("known").isNull(), F.col("first"))).drop("known")
         self._add(keys, 0)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def _add(self, keys: DataFrame, level: int) -> None:
-        run = self.scratch.write(keys.select("h", "c", "n", "place").sortWithinPartitions("h", "c"), f"run{level}")
+        run = self.scratch.write(keys.select("h", "c", "n", "first").sortWithinPartitions("h", "c"), f"run{level}")
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -174,7 +174,7 @@ class FingerprintIndex:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        return runs[0] if len(runs) == 1 else _union(runs).groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+        return runs[0] if len(runs) == 1 else _union(runs).groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
     def compacted(self) -> DataFrame:
         if len(runs := self.runs()) > 1:
@@ -209,12 +209,17 @@ def repeated_stretches(docs: DataFrame, batches: int = 3) -> DataFrame:
     places = scratch.write(hashed.mapInArrow(_anchor_batches, "did long, tk int, part int, i1 int, i2 int, h long, c long"), "stretches", "part")
     index = FingerprintIndex(scratch)
     for part in range(batches):
-        index.append(places.filter(F.col("part") == part).drop("part"))
+        index.append(places.filter(F.col("part") == part).select("h", "c", "did"))
     book = index.compacted()
 
-    whole = places.join(book.filter("n > 1").select("h", "c"), ["h", "c"]).select(*KEY, "i1", "i2")
-    several = book.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
-    mixed_spans = book.join(several, "h").select("place.did", "place.tk", F.struct("place.i1", "place.i2", "n").alias("span"))
+    # One join marks the stretches: those repeated as a whole, and one of each kind of those whose anchor has several kinds.
+    several = book.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h", F.lit(True).alias("several"))
+    marked = book.join(several, "h", "left").filter("n > 1 or several").withColumn("several", F.coalesce("several", F.lit(False)))
+    hits = places.join(marked, ["h", "c"]).select(*KEY, "i1", "i2", "n", (F.col("several") & (F.col("did") == F.col("first"))).alias("asked"))
+    hits = scratch.write(hits, "hits")
+    scratch.drop(places, *index.runs())
+    whole = hits.filter("n > 1").select(*KEY, "i1", "i2")
+    mixed_spans = hits.filter("asked").select(*KEY, F.struct("i1", "i2", "n").alias("span"))
     asked = mixed_spans.groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
     texts = keyed.join(asked, KEY).dropDuplicates(KEY)
     windows = _hashed(texts).select(*KEY, "spans", "words").mapInArrow(_window_batches, "did long, tk int, start int, n long, w1 long, w2 long")
