@@ -129,7 +129,7 @@ def test_pipeline(spark):
         at = spark.createDataFrame(out.collect(), out.schema)
         seen.append((name, at.count()))
     assert [n for n, _ in seen] == ["toxicity", "line dedup", "MinHash near-dedup", "substring dedup", "packing"]
-    assert docs.count() > seen[0][1] >= seen[1][1] > seen[2][1] == seen[3][1]
+    assert docs.count() >= seen[0][1] >= seen[1][1] > seen[2][1] == seen[3][1]
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select(*columns).collect())) == sorted(map(tuple, at.select(*columns).collect()))
 
