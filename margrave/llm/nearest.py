@@ -1,8 +1,10 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, queries walk it greedily.
 
 Nearness is the inner product.  Equal vectors are one node.  Nodes are compared on vectors that get one more component, so that all have
-the largest norm there is: the inner products of those order pairs as distances do, which NN-descent relies on.  Components are kept as
-8-bit integers while the graph is built and walked; the final scores are double-precision products of the original vectors.
+the largest norm there is: the inner products of those order pairs as distances do, which NN-descent relies on.  The component is kept
+as its difference from the largest norm, which is small and so exact where the norms are; distances are those of the differences.
+Components are 32-bit floats while the graph is built and walked; the final scores are double-precision products of the original
+vectors, taken of every node of a query's state that the rounding's bound doesn't rule out.
 
 * Start: a few orders by the signs of random projections, cut into blocks, within which all pairs are compared.
 * A round of NN-descent: every node's list of neighbours and a sample of those that list it are joined with their vectors; of each such
@@ -27,9 +29,10 @@ from .common import Scratch, fingerprint
 
 #: Neighbours a node keeps; orders and block of the start; rounds of NN-descent; pairs a list returns to one of its members.
 NEIGHBOURS, ORDERS, BLOCK, ROUNDS, RETURNED = 32, 2, 256, 3, 6
-#: Nodes that a query expands in a round, rounds, scored nodes that it keeps, and those scored exactly at the end (as a multiple of k).
-EXPANDED, WALK, KEPT, EXACT = 64, 9, 640, 4
+#: Nodes that a query expands in a round, rounds, and scored nodes that it keeps.
+EXPANDED, WALK, KEPT = 64, 9, 640
 PLANES = 24
+LOWEST = float("-inf")
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -43,40 +46,47 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def _bytes(rows: np.ndarray) -> pa.Array:
-    n, width = rows.shape
+    n, width = rows.shape[0], rows.shape[1] * rows.itemsize
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, max(width, 1), dtype=np.int32)[: n + 1].tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column without nulls, of equal lengths, as rows of signed bytes (as floats)."""
+    """A binary column without nulls, of equal lengths, as rows of 32-bit floats."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(-1, width).astype(np.float32)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, width)
 
 
-def _quantised(nodes: DataFrame, norm: float, width: int) -> DataFrame:
-    """(id, v, query, p): bytes with the added component, bytes without it, and the signs of the random projections of each order."""
-    planes = np.random.Generator(np.random.PCG64(7)).standard_normal((ORDERS, width, PLANES))
+def _laid_out(nodes: DataFrame, norm: float, width: int, mean: np.ndarray) -> DataFrame:
+    """(id, v, p): the vector with the added component as 32-bit floats, and the signs of the random projections of each order.
+
+    The scale is the largest norm, so that no square overflows.  Projections are of the vector's direction from the mean.
+    """
+    planes = np.random.Generator(np.random.PCG64(7)).standard_normal((ORDERS, width - 1, PLANES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(-1, width - 1) / norm
-                added = np.sqrt(np.clip(1 - (x * x).sum(1), 0, None))
-                added[added < 1e-6] = 0
-                full = np.hstack([x, added[:, None]])
-                # The scale is that of a vector's spread, not of its largest possible component; what lies beyond is clipped.
-                scale = 127 / min(1.0, 5 / np.sqrt(width))
-                small = lambda m: np.clip(np.rint(m * scale), -127, 127).astype(np.int8)
-                codes = [((full @ planes[t] > 0) @ (1 << np.arange(PLANES)[::-1])).astype(np.int64) for t in range(ORDERS)]
+                x = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(-1, width - 1)
+                codes = [(((x - mean) / norm @ planes[t] > 0) @ (1 << np.arange(PLANES)[::-1])).astype(np.int64) for t in range(ORDERS)]
+                x = x / norm
+                square = (x * x).sum(1)
+                added = square / (1 + np.sqrt(np.clip(1 - square, 0, None)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ORDERS * len(x) + 1, ORDERS), pa.int32()), pa.array(np.stack(codes, 1).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _bytes(small(full)), _bytes(small(np.hstack([x, 0 * added[:, None]]))), lists], names=["id", "v", "query", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _bytes(np.hstack([x, added[:, None]]).astype(np.float32)), lists], names=["id", "v", "p"])
+
+    return nodes.select("id", "e").mapInArrow(run, "id long, v binary, p array<long>")
 
-    return nodes.select("id", "e").mapInArrow(run, "id long, v binary, query binary, p array<long>")
+
+def _nearness(x: np.ndarray) -> np.ndarray:
+    """Of (groups of) rows: minus the squared distance of each pair; they are taken from the shortest row, so that near ones stay apart and none loses digits."""
+    x = x - np.take_along_axis(x, np.argmin((x * x).sum(-1), axis=-1)[..., None, None], -2)
+    square = (x * x).sum(-1)
+    return 2 * (x @ np.swapaxes(x, -1, -2)) - square[..., :, None] - square[..., None, :]
 
 
 def _edges(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s.astype(np.int32))], names=["u", "v", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s.astype(np.float32))], names=["u", "v", "s"])
 
 
 def _blocks(width: int):
@@ -89,7 +99,7 @@ def _blocks(width: int):
                 for at in range(a, b, BLOCK):
                     stop = min(at + BLOCK, b)
                     at = max(a, stop - BLOCK)  # the last block reaches back, so that none is small
-                    g = x[at:stop] @ x[at:stop].T
+                    g = _nearness(x[at:stop])
                     np.fill_diagonal(g, -np.inf)
                     k = min(NEIGHBOURS, stop - at - 1)
                     if k > 0:
@@ -122,7 +132,7 @@ def _improved(width: int):
                 there = slot < n[:, None]
                 index = np.where(there, offsets[at : at + len(n), None] + slot, offsets[at : at + len(n), None].clip(max=len(ids) - 1))
                 block, names = x[index], ids[index]
-                g = block @ block.transpose(0, 2, 1)
+                g = _nearness(block)
                 g[~there[:, :, None] | ~there[:, None, :] | (names[:, :, None] == names[:, None, :])] = -np.inf
                 k = min(RETURNED, size - 1)
                 best = np.argpartition(-g, k - 1, axis=2)[:, :, :k]
@@ -134,8 +144,12 @@ def _improved(width: int):
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """(u, near): each node's best neighbours (s, v), best first.  A node's edges number at most a few lists' worth."""
-    return edges.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, NEIGHBOURS).alias("near"))
+    """(u, near): each node's best neighbours (s, v), best first.  A node's edges number at most a few lists' worth.
+
+    Scores of one pair differ by rounding where they were taken in different groups; the greatest counts.
+    """
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"))
+    return once.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v")), asc=False), 1, NEIGHBOURS).alias("near"))
 
 
 def _around(lists: DataFrame, salt: int) -> DataFrame:
@@ -150,14 +164,16 @@ def _around(lists: DataFrame, salt: int) -> DataFrame:
 def build_graph(scratch: Scratch, nodes: DataFrame, width: int) -> DataFrame:
     """(u, near) by NN-descent; nodes: (id, v, p)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = nodes.select("id", "v", F.posexplode("p").alias("t", "code")).repartitionByRange(parts, "t", "code", "id").sortWithinPartitions("t", "code", "id")
-    lists = scratch.write(_lists(laid.select("id", "v", "t").mapInArrow(_blocks(width), "u long, v long, s int")), "lists")
+    # A task with less than a few blocks would leave its nodes few others to start with, or none.
+    tasks = max(1, min(parts, nodes.count() * ORDERS // (4 * BLOCK)))
+    laid = nodes.select("id", "v", F.posexplode("p").alias("t", "code")).repartitionByRange(tasks, "t", "code", "id").sortWithinPartitions("t", "code", "id")
+    lists = scratch.write(_lists(laid.select("id", "v", "t").mapInArrow(_blocks(width), "u long, v long, s float")), "lists")
     for turn in range(ROUNDS):
-        last = F.when(F.size("near") >= NEIGHBOURS, F.col("near")[NEIGHBOURS - 1]["s"]).otherwise(F.lit(-(2**30)))
-        known = nodes.select("id", "v").join(lists.select(F.col("u").alias("id"), last.alias("radius")), "id", "left").fillna(-(2**30), ["radius"])
+        last = F.when(F.size("near") >= NEIGHBOURS, F.col("near")[NEIGHBOURS - 1]["s"]).otherwise(F.lit(LOWEST))
+        known = nodes.select("id", "v").join(lists.select(F.col("u").alias("id"), last.alias("radius")), "id", "left").fillna(LOWEST, ["radius"])
         around = _around(lists, turn).join(known.withColumnRenamed("id", "member"), "member")
         groups = around.groupBy("pivot").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v", "radius")).alias("members"))
-        fresh = groups.select("members").mapInArrow(_improved(width), "u long, v long, s int")
+        fresh = groups.select("members").mapInArrow(_improved(width), "u long, v long, s float")
         old = lists.select("u", F.explode("near").alias("x")).select("u", "x.v", "x.s")
         new = scratch.write(_lists(old.unionByName(fresh)), "lists")
         scratch.drop(lists)
@@ -166,7 +182,7 @@ def build_graph(scratch: Scratch, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def _scored(width: int):
-    """Rows (q, query, radius, ids, vs: one bytes string of the neighbours' vectors) to (q, near: the scored neighbours beyond the radius)."""
+    """Rows (q, query, radius, near: list of (id, v)) to (q, v, s): the neighbours scored, those at the radius or beyond it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,12 +193,13 @@ def _scored(width: int):
             flat = near.flatten()
             ids, x = flat.field("id").to_numpy(), _matrix(flat.field("v"), width)
             row = np.repeat(np.arange(len(counts)), counts)
-            queries = _matrix(batch.column("query"), width)
+            queries = _matrix(batch.column("query"), width)[:, :-1]
+            x = x[:, :-1]
             s = np.empty(len(ids), np.float32)
             for at in range(0, len(ids), 1 << 16):
                 s[at : at + (1 << 16)] = np.einsum("ij,ij->i", x[at : at + (1 << 16)], queries[row[at : at + (1 << 16)]])
-            hit = np.flatnonzero(s > batch.column("radius").to_numpy()[row])
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row[hit])), pa.array(ids[hit]), pa.array(s[hit].astype(np.int32))], names=["q", "v", "s"])
+            hit = np.flatnonzero(s >= batch.column("radius").to_numpy()[row])
+            yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row[hit])), pa.array(ids[hit]), pa.array(s[hit])], names=["q", "v", "s"])
 
     return run
 
@@ -193,16 +210,16 @@ def _walk(scratch: Scratch, lists: DataFrame, nodes: DataFrame, starts: DataFram
     near = around.groupBy("pivot").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v")).alias("near"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = near.repartition(parts, "pivot").persist(StorageLevel.MEMORY_AND_DISK)
-    queries = scratch.write(starts.join(nodes.select(F.col("id").alias("q"), "query"), "q"), "queries")
-    state = scratch.write(queries.select("q", F.col("q").alias("v"), F.lit(2**30).alias("s"), F.lit(False).alias("done")), "state")
+    queries = scratch.write(starts.join(nodes.select(F.col("id").alias("q"), F.col("v").alias("query")), "q"), "queries")
+    state = scratch.write(queries.select("q", F.col("q").alias("v"), F.lit(float("inf")).cast("float").alias("s"), F.lit(False).alias("done")), "state")
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     for turn in range(WALK):
         ranked = state.withColumn("open", F.when(~F.col("done"), F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("s"), "v"))))
-        # Beyond the radius a new node can be among the next to be expanded.
-        radius = state.withColumn("rank", F.row_number().over(by_score)).groupBy("q").agg(F.coalesce(F.min(F.when(F.col("rank") == KEPT // 2, F.col("s"))), F.lit(-(2**30))).alias("radius"))
+        # At the radius or beyond it a new node can be among the next to be expanded.
+        radius = state.withColumn("rank", F.row_number().over(by_score)).groupBy("q").agg(F.coalesce(F.min(F.when(F.col("rank") == KEPT // 2, F.col("s"))), F.lit(LOWEST)).alias("radius"))
         front = ranked.filter(F.col("open") <= EXPANDED)
         asked = front.select("q", F.col("v").alias("pivot")).join(queries.join(radius, "q"), "q")
-        found = asked.join(near, "pivot").select("q", "query", "radius", "near").mapInArrow(_scored(width), "q long, v long, s int")
+        found = asked.join(near, "pivot").select("q", "query", "radius", "near").mapInArrow(_scored(width), "q long, v long, s float")
         now = ranked.select("q", "v", "s", (F.col("done") | (F.coalesce("open", F.lit(2**30)) <= EXPANDED)).alias("done"))
         both = now.unionByName(found.withColumn("done", F.lit(False))).groupBy("q", "v").agg(F.max("s").alias("s"), F.max("done").alias("done"))
         new = scratch.write(both.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= KEPT).drop("rank"), "state")
@@ -227,12 +244,24 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     classes = scratch.write(keyed.select("vec_id", "h1", "h2").join(heads.select("h1", "h2", F.col("head.vec_id").alias("id")), ["h1", "h2"]).select("vec_id", "id"), "classes")
     originals = heads.select("head.*").withColumnRenamed("vec_id", "id")
     originals = scratch.write(originals, "originals")
-    nodes = scratch.write(_quantised(originals, norm, width), "nodes")
+    means = originals.select(F.posexplode("e").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()  # a row a component
+    mean = np.array([r["x"] for r in sorted(means)] or [0.0] * (width - 1))
+    nodes = scratch.write(_laid_out(originals, norm, width, mean), "nodes")
     lists = build_graph(scratch, nodes, width)
 
     asked = classes.filter(queries)
     found = _walk(scratch, lists, nodes, asked.select(F.col("id").alias("q")).distinct(), width)
-    short = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).filter(F.col("r") <= EXACT * k)
+    # A score's error is at most the rounding of the components, products and sums, as a share of the norms' product.
+    slack = (width + 4) * 2.0**-23
+    length = F.sqrt(F.aggregate(F.transform("e", lambda x: x / F.lit(norm)), F.lit(0.0), lambda s, x: s + x * x))
+    lengths = scratch.write(originals.select("id", length.alias("length")), "lengths")
+    bounded = found.join(lengths.select(F.col("id").alias("q"), F.col("length").alias("lq")), "q").join(lengths.select(F.col("id").alias("v"), F.col("length").alias("lv")), "v")
+    error = F.lit(slack) * F.col("lq") * F.col("lv") + F.lit(1e-37)
+    bounded = bounded.select("q", "v", (F.col("s") - error).alias("low"), (F.col("s") + error).alias("high"))
+    # The query's own node comes first, so k others are at or above the least of the k + 1 highest lower bounds.
+    top = bounded.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))).filter(F.col("r") <= k + 1)
+    reach = top.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.min("low")).otherwise(F.lit(LOWEST)).alias("reach"))
+    short = bounded.join(reach, "q").filter("high >= reach")
     pairs = short.select("q", "v").join(originals.select(F.col("id").alias("q"), F.col("e").alias("x")), "q").join(originals.select(F.col("id").alias("v"), F.col("e").alias("y")), "v")
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     # Of a class of equal vectors at most its k + 1 least vec_ids can be among a query's nearest.

@@ -121,3 +121,21 @@ def test_few_and_no_vectors(spark):
     got = [tuple(r) for r in nearest.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.0), (20, 1, 1, 0.5), (20, 2, 0, 0.0)]
     assert nearest.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["near copies", "a long vector"])
+def test_recall_among_near_copies_and_beside_a_long_vector(spark, kind):
+    rng = np.random.default_rng(6)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 48)))
+    if kind == "near copies":
+        x[:1200] = unit(x[0] + 0.06 * unit(rng.normal(size=(1200, 48))))
+    else:
+        x[7] *= 100
+    x = x[rng.permutation(len(x))]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    found = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    expected = brute_nearest(rows, 20, 50)
+    assert set(found) == set(expected) and np.mean([len(found[q] & set(e)) / 20 for q, e in expected.items()]) >= 0.95
