@@ -10,6 +10,8 @@
 3. ROWS samples make a band.  Members of a bucket are laid in the order of the band and the following samples, and each is paired with
    its predecessor and with the bucket's first member: pairs are at most two a member, in an order that puts similar ones together.
    The order is a range partitioning, so a bucket of any size is spread over tasks; the last row before a task's first is passed on.
+   These pairs only come first: once they have made classes, all other pairs of a bucket that lie across two classes are compared, too,
+   block by block, so that a large bucket is spread over tasks and a large class in it costs as many pairs as there are other members.
 4. Pairs whose samples agree enough are verified by the exact weighted Jaccard similarity of their texts; verified pairs and equal word
    sequences make the classes, which are connected components.  Where a pair still lies across two classes, its documents are compared
    with each other's class's centre, too, until no new link is found.
@@ -38,8 +40,8 @@ BANDS = SAMPLES // ROWS
 #: Pairs whose share of equal samples is below this aren't verified: 3.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.58
 IDF_CAP = 2.3
-#: Rounds in which documents are compared with the centres of classes that they met.
-ROUNDS_OF_CENTRES = 3
+#: Members of a bucket in a block, whose samples are compared with those of another block.
+BLOCK = 1024
 #: The sketch: rows and cells a row.
 DEPTH, WIDTH = 2, 1 << 16
 #: Entries of each table of random variates; samples draw on them by independent hashes.
@@ -222,6 +224,66 @@ def candidates(scratch: Scratch, heads: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, l, r), two blocks a group, to the pairs (a, b, agree) across classes of a left and a right row that agree enough.
+
+    A pair is given in the first band that it shares; two rows outside the bucket's largest class meet on both sides, and count once.
+    """
+
+    def pairs(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        band, ident, label, side, largest, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        right = np.flatnonzero(side == 1)
+        for left in np.split(lefts := np.flatnonzero(side == 0), range(256, len(lefts), 256)):
+            agree = np.zeros((len(left), len(right)), np.int8)
+            for k in range(SAMPLES):
+                agree += sig[left, k][:, None] == sig[right, k]
+            hit = (agree >= LEAST_AGREEMENT * SAMPLES) & (label[left][:, None] != label[right]) & (largest[right] | (ident[left][:, None] < ident[right]))
+            i, j = np.nonzero(hit)
+            for at in range(0, len(i), 1 << 16):
+                x, y = left[i[at : at + (1 << 16)]], right[j[at : at + (1 << 16)]]
+                first = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
+                a, b = ident[x][first], ident[y][first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((sig[x] == sig[y]).sum(1)[first].astype(np.int32))], names=["a", "b", "agree"])
+
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "l", "r")], 1)
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "id", "class", "side", "largest")]
+        columns.append(batch.column("sig").flatten().to_numpy().reshape(-1, SAMPLES))
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for at, stop in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(keys[at]) != key:
+                yield from pairs(held)
+                held = []
+            key = tuple(keys[at])
+            held.append(tuple(c[at:stop] for c in columns))
+    if held:
+        yield from pairs(held)
+
+
+def across_classes(scratch: Scratch, heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, agree), a < b: every pair of heads (id, sig) that shares a bucket, agrees enough and lies across two classes (id, class).
+
+    Buckets of two are left out: candidates() has their pair.  A bucket's members outside its largest class are cut into blocks, as are
+    all its members; each of the former blocks meets each of the latter, by a join key of its own.
+    """
+    bands = [F.xxhash64(F.lit(k), *[F.col("sig")[ROWS * k + j] for j in range(ROWS)]) for k in range(BANDS)]
+    rows = heads.join(labels, "id").select("id", "class", F.posexplode(F.array(*bands)).alias("band", "bucket"))
+    each = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    facts = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("class", F.struct("n", "class")).alias("first"), F.count(F.lit(1)).alias("classes"))
+    facts = scratch.write(facts.filter("n > 2 and classes > 1").drop("classes"), "busy")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    met = rows.join(facts, "bucket").withColumn("lefts", blocks(F.col("n") - F.col("most"))).withColumn("rights", blocks(F.col("n"))).withColumn("largest", F.col("class") == F.col("first"))
+    own = lambda n: F.pmod(F.xxhash64("id", "band"), F.col(n)).cast("int")
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda x: F.struct(x.alias("l"), own("rights").alias("r"), F.lit(1).alias("side")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda x: F.struct(own("lefts").alias("l"), x.alias("r"), F.lit(0).alias("side")))
+    met = met.join(heads, "id").select("band", "bucket", "id", "class", "largest", "sig", F.explode(F.concat(as_right, F.filter(as_left, lambda _: ~F.col("largest")))).alias("x"))
+    met = met.select("bucket", "x.l", "x.r", "band", "id", "class", "x.side", "largest", "sig")
+    return met.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r").mapInArrow(_agreeing, "a long, b long, agree int")
+
+
 def similarity(n_docs: int, sketch: np.ndarray):
     """A mapInPandas function: (a, b, left, right) to (a, b, similarity), the exact weighted Jaccard similarity of two texts."""
 
@@ -276,40 +338,49 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("left")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("right")), "b")
     pairs = scratch.write(pairs.select("a", "b", equal.alias("agree")).filter(F.col("agree") >= LEAST_AGREEMENT * SAMPLES), "pairs")
 
-    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # A merge join at every size: ids that happen to be few would be broadcast, and the plan's needs would jump once they are not.
-    texts = scratch.write(docs.select("doc_id", text_of().alias("text")).join(involved.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-
-    def verified(asked: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-        both = asked.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "left", "right")
-        checked = both.mapInPandas(similarity(n_docs, sketch), "a long, b long, similarity double")
-        return scratch.write(checked.filter(F.col("similarity") >= threshold).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
-
-    # The most alike pair of each document first.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = verified(best)
-    classes = connected(scratch, links.unionByName(copies))
-    # Then pairs that still join two classes, and each of their documents with the other's class's centre: the centre is the member that
-    # all others resemble most, so a document that resembles any of a class by way of a common source resembles it.
-    known = sig.join(involved.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-    asked = best
-    for _ in range(ROUNDS_OF_CENTRES):
-        labels = known.select("id").join(classes.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("class"))
-        labels = scratch.write(labels, "labels")
-        centres = _centres(known, labels)
-        label = lambda side: labels.select(F.col("id").alias(side), F.col("class").alias(f"{side}_class"))  # noqa: B023, E731
-        centre = lambda side: centres.select(F.col("class").alias(f"{side}_class"), F.col("centre").alias(f"{side}_centre"))  # noqa: B023, E731
-        across = pairs.join(label("a"), "a").join(label("b"), "b").filter("a_class <> b_class").join(centre("a"), "a_class", "left").join(centre("b"), "b_class", "left")
-        x, y, cx, cy = "a", "b", F.coalesce("a_centre", "a"), F.coalesce("b_centre", "b")
-        options = F.array(*[F.struct(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")) for l, r in ((x, y), (x, cy), (cx, y), (cx, cy))])  # noqa: E741
-        fresh = across.select(F.explode(options).alias("p")).select("p.a", "p.b").distinct().join(asked, ["a", "b"], "left_anti")
-        fresh = scratch.write(fresh, "asked")
-        more = verified(fresh)
-        if more.isEmpty():
-            break
-        classes = connected(scratch, classes.unionByName(more))
-        asked = asked.unionByName(fresh)
+    def settled(pairs: DataFrame, known_classes: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The classes when each of the pairs has been verified or lies within a class, and all pairs verified so far."""
+        involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        # A merge join at every size: ids that happen to be few would be broadcast, and the plan's needs would jump once they are not.
+        texts = scratch.write(docs.select("doc_id", text_of().alias("text")).join(involved.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+        def verified(asked: DataFrame) -> DataFrame:
+            left, right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
+            both = asked.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "left", "right")
+            checked = both.mapInPandas(similarity(n_docs, sketch), "a long, b long, similarity double")
+            return scratch.write(checked.filter(F.col("similarity") >= threshold).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+
+        # The most alike pair of each document first.
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
+        classes = connected(scratch, known_classes.unionByName(verified(best)))
+        # Then pairs that still join two classes, and each of their documents with the other's class's centre: the centre is the member
+        # that all others resemble most, so a document that resembles any of a class by way of a common source resembles it.
+        known = sig.join(involved.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+        asked = best if asked is None else asked.unionByName(best)
+        while True:
+            labels = known.select("id").join(classes.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("class"))
+            labels = scratch.write(labels, "labels")
+            centres = _centres(known, labels)
+            label = lambda side: labels.select(F.col("id").alias(side), F.col("class").alias(f"{side}_class"))  # noqa: B023, E731
+            centre = lambda side: centres.select(F.col("class").alias(f"{side}_class"), F.col("centre").alias(f"{side}_centre"))  # noqa: B023, E731
+            across = pairs.join(label("a"), "a").join(label("b"), "b").filter("a_class <> b_class").join(centre("a"), "a_class", "left").join(centre("b"), "b_class", "left")
+            x, y, cx, cy = "a", "b", F.coalesce("a_centre", "a"), F.coalesce("b_centre", "b")
+            options = F.array(*[F.struct(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")) for l, r in ((x, y), (x, cy), (cx, y), (cx, cy))])  # noqa: E741
+            fresh = across.select(F.explode(options).alias("p")).select("p.a", "p.b").distinct().join(asked, ["a", "b"], "left_anti")
+            fresh = scratch.write(fresh, "asked")
+            more = verified(fresh)
+            if more.isEmpty():
+                return classes, asked.unionByName(fresh)
+            classes = connected(scratch, classes.unionByName(more))
+            asked = asked.unionByName(fresh)
+
+    classes, asked = settled(pairs, copies, None)
+    # The pairs of a bucket that weren't neighbours in it, where classes don't join them already.
+    labels = heads.select("id").join(classes.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("class"))
+    labels = scratch.write(labels, "labels")
+    rest = scratch.write(across_classes(scratch, sig, labels).join(asked, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        classes, _ = settled(rest, classes, asked)
     every = signed.select("doc_id").distinct()
     return every.join(classes, F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("v", "doc_id").alias("class_id"))
 

@@ -139,3 +139,43 @@ def test_recall_among_near_copies_and_beside_a_long_vector(spark, kind):
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     expected = brute_nearest(rows, 20, 50)
     assert set(found) == set(expected) and np.mean([len(found[q] & set(e)) / 20 for q, e in expected.items()]) >= 0.95
+
+
+def test_every_pair_of_a_busy_bucket_across_classes_meets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    sig = rng.integers(1, 2**31, (120, near_dedup.SAMPLES))
+    sig[:, : near_dedup.ROWS] = sig[0, : near_dedup.ROWS]
+    for i in range(0, 60, 2):  # alike in all but the samples that order the bucket
+        sig[i + 1, 7:] = sig[i, 7:]
+    sig[60:70, 10:] = sig[60, 10:]
+    labels = [60 if 60 <= i < 65 or 80 <= i else i for i in range(120)]
+    heads = spark.createDataFrame([(i, [int(v) for v in sig[i]]) for i in range(120)], "id long, sig array<int>")
+    classes = spark.createDataFrame(list(enumerate(labels)), "id long, class long")
+    expected = {(a, b): int((sig[a] == sig[b]).sum()) for a in range(120) for b in range(a + 1, 120) if labels[a] != labels[b]}
+    expected = {p: n for p, n in expected.items() if n >= near_dedup.LEAST_AGREEMENT * near_dedup.SAMPLES}
+    near = {(r["a"], r["b"]) for r in near_dedup.candidates(Scratch(spark, "test"), heads).collect()}
+    found = near_dedup.across_classes(Scratch(spark, "test"), heads, classes).collect()
+    got = {(r["a"], r["b"]): r["agree"] for r in found}
+    assert len(found) == len(got) and got.items() <= expected.items() and set(expected) - near <= set(got)
+    assert len(set(expected) - near) >= 10  # those that lie apart in the order
+
+
+def test_pairs_that_lie_apart_in_every_bucket_are_linked(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"t{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(10):  # a template of which each document replaces a fifth of its own
+        at = rng.randrange(300)
+        words = list(base)
+        for j in range(at, at + 60):
+            words[j % 300] = f"w{rng.randrange(10**6)}"
+        for k in range(6):
+            words[at - 100 - 20 * k] = f"other{k}"
+            rows.append((6 * i + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    n, sketch = near_dedup.frequencies(docs)
+    # The order of a bucket is left to chance; here no neighbours are alike.
+    monkeypatch.setattr(near_dedup, "candidates", lambda scratch, heads: spark.createDataFrame([(0, 6)], "a long, b long"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_classes(rows, n, sketch) and len(set(got.values())) == 10
