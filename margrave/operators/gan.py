@@ -193,6 +193,15 @@ class FederatedGan:
         self.controls: dict[int, list[np.ndarray]] = {}
         self.levels = [np.full(b - a, 1 / (b - a)) for a, b in layout.slots]
 
+    def learn_levels(self, rows: DataFrame, mu: float) -> None:
+        """Sets the levels' shares from noisy counts over all rows, which cost mu; a row adds one to a level of each block."""
+        sums = rows.agg(*[F.sum(F.col("row")[i]).alias(f"s{i}") for a, b in self.layout.slots for i in range(a, b)]).first()
+        sigma = math.sqrt(len(self.layout.slots)) / mu
+        for k, (a, b) in enumerate(self.layout.slots):
+            noisy = np.clip([(sums[f"s{i}"] or 0.0) + self.rng.normal(0, sigma) for i in range(a, b)], 0, None)
+            if noisy.sum() > 0:
+                self.levels[k] = noisy / noisy.sum()
+
     def conditions(self, n: int) -> np.ndarray:
         """One slot block a row, uniformly, and a level of it by its share."""
         out, ends = np.zeros((n, self.layout.condition)), np.cumsum([0, *[len(p) for p in self.levels]])
@@ -222,7 +231,8 @@ class FederatedGan:
                     flat = np.concatenate([g.ravel() for g in grads])
                     n, total = sums.get(client, (0, np.zeros(width)))
                     sums[client] = (n + len(x), total + flat)
-            yield pd.DataFrame({"client_id": [int(c) for c in sums], "n": [v[0] for v in sums.values()], "g": [v[1] for v in sums.values()]})
+            if sums:
+                yield pd.DataFrame({"client_id": [int(c) for c in sums], "n": [v[0] for v in sums.values()], "g": [v[1] for v in sums.values()]})
 
         parts = rows.mapInPandas(run, "client_id int, n long, g array<double>")
         total = parts.select("client_id", "n", F.posexplode("g").alias("i", "v")).groupBy("client_id", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))

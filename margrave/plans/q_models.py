@@ -144,13 +144,15 @@ def gan_modes(spark, d):
 
 def gan_train(spark, d):
     """A few rounds over the clients' encoded rows, then synthetic rows decoded."""
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0")
+    rows = table(spark, d, "lineitem")
     modes = G.Modes((1.0,), (25.0,), (15.0,))
     scalar, _ = G.encoded(F.col("l_quantity"), modes, 1, *KEYS)
     flags = [(F.col("l_returnflag") == v).cast("double") for v in ("A", "N", "R")]
     encoded = rows.select((F.col("l_suppkey") % 5).cast("int").alias("client_id"), F.array(scalar, F.lit(1.0), *flags).alias("row")).persist()
     layout = G.Layout((("tanh", 1), ("softmax", 1), ("softmax", 3)))
-    gan = G.FederatedGan(layout, mu=5.0, clients=5, steps=3, hidden=16, scaffold=True)
+    for_levels, for_training = P.split_budget(5.0, [0.25**0.5, 0.75**0.5])
+    gan = G.FederatedGan(layout, mu=for_training, clients=5, steps=3, hidden=16, scaffold=True)
+    gan.learn_levels(encoded, for_levels)
     gan.fit(encoded, 64)
     encoded.unpersist()
     made = gan.synthetic(spark.range(500))

@@ -17,7 +17,7 @@ from margrave.operators import privacy as P
 from margrave.operators import selection as X
 from margrave.operators import split
 from margrave.operators import synth
-from margrave.plans import models
+from margrave.plans import models, q_models
 from margrave.sources import tables
 from margrave.spec import ColumnSpec, TableSpec, inferred_roles
 from margrave.streaming.counts import noisy_windows
@@ -230,3 +230,22 @@ def test_stream(spark, tmp_path):
     out = noisy_windows(stream, "ts", ["kind"], 1.0, P.Noise("keyed", 1))
     out.writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("windows").filter("cnt = 3").count() > 10
+
+
+def test_levels_of_the_gan_follow_the_rows(spark):
+    layout = G.Layout((("tanh", 1), ("softmax", 2)))
+    gan = G.FederatedGan(layout, mu=5.0, clients=2, steps=1)
+    rows = spark.range(1000).select((F.col("id") % 2).cast("int").alias("client_id"), F.array(F.lit(0.0), (F.col("id") % 10 == 0).cast("double"), (F.col("id") % 10 != 0).cast("double")).alias("row"))
+    gan.learn_levels(rows, 5.0)
+    assert gan.levels[0] == pytest.approx([0.1, 0.9], abs=0.01)
+    assert gan.conditions(4000).mean(0) == pytest.approx([0.1, 0.9], abs=0.03)
+    sums = gan.client_sums(rows.unionByName(rows.filter("client_id < 0")))  # with tasks that have no rows
+    assert {c: n for c, (n, _) in sums.items()} == {0: 500, 1: 500}
+
+
+def test_the_gan_trains_on_all_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G.FederatedGan, "fit", lambda self, rows, batch: seen.append(rows.count()))
+    d = "/root/testdata/sf0.001"
+    q_models.gan_train(spark, d)
+    assert seen == [spark.read.parquet(f"{d}/lineitem.parquet").count()]
