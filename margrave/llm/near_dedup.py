@@ -1,20 +1,22 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 1. A document's shingles are its runs of five words (lower-cased, without punctuation at the ends); a shingle's weight is its count in
-   the document times 1 + min(IDF_CAP, ln(documents / documents that hold it)).  Document frequencies are counted over all documents in
-   a count-min sketch of fixed size.  The cap makes all shingles alike that less than exp(-IDF_CAP) of the documents hold, and the
-   sketch's error is, as a share of the documents, the mean number of shingles of a document over the sketch's width: neither depends
-   on the corpus' size.
+   the document times 1 + ln(documents / documents that hold it).  Frequencies are exact for each shingle that a share of RARE of the
+   documents holds, or more; all rarer ones weigh as if that share held them.  So the table of frequencies has at most 1 / RARE entries
+   times the mean number of a document's shingles, at any size of the corpus.  It takes two passes: each task counts lossily what it can't
+   prove to be rare, and what may reach the share in the sum is then counted exactly.
 2. Ioffe's improved consistent weighted sampling draws SAMPLES samples (shingle, level) of each document; two documents share a sample
    with the probability of their weighted Jaccard similarity.
 3. ROWS samples make a band.  Members of a bucket are laid in the order of the band and the following samples, and each is paired with
    its predecessor and with the bucket's first member: pairs are at most two a member, in an order that puts similar ones together.
    The order is a range partitioning, so a bucket of any size is spread over tasks; the last row before a task's first is passed on.
-   These pairs only come first: once they have made classes, all other pairs of a bucket that lie across two classes are compared, too,
-   block by block, so that a large bucket is spread over tasks and a large class in it costs as many pairs as there are other members.
 4. Pairs whose samples agree enough are verified by the exact weighted Jaccard similarity of their texts; verified pairs and equal word
-   sequences make the classes, which are connected components.  Where a pair still lies across two classes, its documents are compared
-   with each other's class's centre, too, until no new link is found.
+   sequences make the classes, which are connected components.
+5. A bucket of three or more in which several classes are left may hold pairs that step 3 didn't lay side by side.  Their members are
+   joined by an exact prefix filter: with shingles in ascending order of the members that hold them, two documents of similarity t or
+   more share one among the first of each, those before which less than 1 - t of its weight lies.  What only one member or one class
+   holds falls away, and that is what tells the documents of a template apart; so a busy bucket costs the pairs that share something
+   rare, not all its pairs.  Pairs across classes are found block by block, so that a frequent shingle is spread over tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, text_of
 from .components import connected
@@ -37,13 +41,14 @@ from .substring_dedup import mixed
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, ROWS = 42, 3
 BANDS = SAMPLES // ROWS
-#: Pairs whose share of equal samples is below this aren't verified: 3.5 standard deviations below the threshold.
-LEAST_AGREEMENT = 0.58
-IDF_CAP = 2.3
-#: Members of a bucket in a block, whose samples are compared with those of another block.
+#: Pairs whose share of equal samples is below this part of the threshold aren't verified: at similarity 0.8, 1 in 19,000.
+LEAST_AGREEMENT = 0.66
+#: Shingles that a smaller share (1 / RARE) of the documents holds weigh alike.
+RARE = 1024
+#: Members that hold a shingle, in a block whose samples are compared with those of another block.
 BLOCK = 1024
-#: The sketch: rows and cells a row.
-DEPTH, WIDTH = 2, 1 << 16
+#: Documents that a task counts at least, where there are as many; shingles that it holds back until it sorts them.
+COUNTED, HELD = 1 << 14, 1 << 20
 #: Entries of each table of random variates; samples draw on them by independent hashes.
 POOL = 1 << 16
 _U = np.uint64
@@ -99,35 +104,100 @@ def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return row[head], value[head], np.diff(np.concatenate([head, [len(row)]])), prints[0], prints[1]
 
 
-def _cells(shingles: np.ndarray) -> list[np.ndarray]:
-    return [(mixed(shingles ^ _U(0xA0761D6478BD642F * (d + 1) & (1 << 64) - 1)) & _U(WIDTH - 1)).astype(np.int64) for d in range(DEPTH)]
+@dataclass
+class Frequencies:
+    """Documents with shingles, and the frequent shingles (sorted) with the number of documents that hold each."""
 
+    n_docs: int
+    shingles: np.ndarray
+    counts: np.ndarray
 
-def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of documents with shingles, and the sketch of document frequencies (DEPTH x WIDTH), over all rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, sketch = 0, np.zeros((DEPTH, WIDTH), np.int64)
-        for df in frames:
-            for at in range(0, len(df), 256):
-                row, value, *_ = shingled(df["text"].iloc[at : at + 256].tolist())
-                total += len(np.unique(row))
-                for d, cell in enumerate(_cells(value)):
-                    sketch[d] += np.bincount(cell, minlength=WIDTH)
-        flat = np.concatenate([sketch.reshape(-1), [total]])
-        used = np.flatnonzero(flat)
-        yield pd.DataFrame({"cell": used.astype(np.int32), "n": flat[used]})
-
-    out = docs.select(text_of().alias("text")).mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = out.toPandas()  # at most DEPTH * WIDTH + 1 rows
-    flat = np.zeros(DEPTH * WIDTH + 1, np.int64)
-    flat[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-    return int(flat[-1]), flat[:-1].reshape(DEPTH, WIDTH)
+class LossyCounts:
+    """Lossy counting: after ``prune`` holds each shingle that a share of 1 / (4 * RARE) of the documents so far holds, or more.
 
+    ``most`` bounds a shingle's count from above: what is seen, and what may have been dropped before.
+    """
 
-def weights(shingles: np.ndarray, counts: np.ndarray, n_docs: int, sketch: np.ndarray) -> np.ndarray:
-    seen = np.minimum.reduce([sketch[d][c] for d, c in enumerate(_cells(shingles))])
-    return counts * (1 + np.clip(np.log(max(n_docs, 1) / np.maximum(seen, 1)), 0, IDF_CAP))
+    def __init__(self) -> None:
+        self.shingles, self.most, self.n_docs, self.missed, self.held, self.n_held = np.zeros(0, _U), np.zeros(0, np.int64), 0, 0, [], 0
+
+    def add(self, shingles: np.ndarray, n_docs: int) -> None:
+        """shingles: those of n_docs documents, one a document and kind."""
+        self.held.append(shingles)
+        self.n_docs, self.n_held = self.n_docs + n_docs, self.n_held + len(shingles)
+        if self.n_held >= HELD:
+            self.prune()
+
+    def prune(self) -> None:
+        new, count = np.unique(np.concatenate([self.shingles[:0], *self.held]), return_counts=True)
+        at = np.minimum(np.searchsorted(self.shingles, new), max(len(self.shingles) - 1, 0))
+        known = self.shingles[at] == new if len(self.shingles) else np.zeros(len(new), bool)
+        self.most[at[known]] += count[known]
+        shingles = np.concatenate([self.shingles, new[~known]])
+        most = np.concatenate([self.most, count[~known] + self.missed])
+        keep = most * 4 * RARE >= self.n_docs
+        shingles, most = shingles[keep], most[keep]
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.most = shingles[order], most[order]
+        self.missed, self.held, self.n_held = -(-self.n_docs // (4 * RARE)) - 1, [], 0
+
+
+def _blocks_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in frames:
+        for at in range(0, len(df), 256):
+            yield df.iloc[at : at + 256]
+
+
+def frequencies(docs: DataFrame) -> Frequencies:
+    """Exact document frequencies, over all rows, of the shingles that at least 1 / RARE of the documents, and two, hold."""
+    texts, scratch = docs.select(text_of().alias("text")), Scratch(docs.sparkSession, "frequencies")
+
+    def lossy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = LossyCounts()
+        for part in _blocks_of(frames):
+            row, value, *_ = shingled(part["text"].tolist())
+            counts.add(value, len(np.unique(row)))
+        counts.prune()
+        # A shingle that isn't given is held by less than n_docs / (4 * RARE) of the task's documents.
+        yield pd.DataFrame({"shingle": counts.shingles.view(np.int64), "excess": counts.most * 4 * RARE - counts.n_docs})
+        yield pd.DataFrame({"shingle": [None], "excess": [counts.n_docs]}).astype({"shingle": "Int64"})
+
+    # Tasks of few documents could prove nothing rare.
+    tasks = max(1, docs.count() // COUNTED)
+    found = scratch.write(texts.coalesce(tasks).mapInPandas(lossy, "shingle long, excess long").groupBy("shingle").agg(F.sum("excess").alias("excess")), "lossy")
+    n_docs = int((found.filter("shingle is null").first() or {"excess": 0})["excess"])
+    # The upper bound of the sum reaches n_docs / RARE; that holds for at most 4 / 3 * RARE times the mean number of shingles.
+    asked = np.sort(found.filter(F.col("shingle").isNotNull() & (F.col("excess") >= 3 * n_docs)).select("shingle").toArrow()["shingle"].to_numpy().view(_U))
+    scratch.drop(found)
+
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(len(asked), np.int64)
+        for part in _blocks_of(frames):
+            at, known = _looked_up(asked, shingled(part["text"].tolist())[1])
+            counts += np.bincount(at[known], minlength=len(asked))
+        used = np.flatnonzero(counts)
+        yield pd.DataFrame({"at": used, "n": counts[used]})
+
+    if not len(asked):
+        return Frequencies(n_docs, asked, np.zeros(0, np.int64))
+    got = texts.mapInPandas(exact, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.col("n") * RARE >= n_docs)).toArrow().sort_by("at")
+    return Frequencies(n_docs, asked[got["at"].to_numpy()], got["n"].to_numpy())
+
+
+def _looked_up(table: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted table, and whether the shingle is there."""
+    if not len(table):
+        return np.zeros(len(shingles), np.int64), np.zeros(len(shingles), bool)
+    at = np.minimum(np.searchsorted(table, shingles), len(table) - 1)
+    return at, table[at] == shingles
+
+
+def weights(shingles: np.ndarray, counts: np.ndarray, known: Frequencies) -> np.ndarray:
+    at, frequent = _looked_up(known.shingles, shingles)
+    share = np.full(len(shingles), max(1 / RARE, 1 / max(known.n_docs, 1)))
+    share[frequent] = known.counts[at[frequent]] / known.n_docs
+    return counts * (1 - np.log(share))
 
 
 @functools.lru_cache(maxsize=1)
@@ -150,10 +220,11 @@ def samples(row: np.ndarray, shingles: np.ndarray, weight: np.ndarray, n_rows: i
     log_w = np.log(weight).astype(np.float32)
     for k in range(SAMPLES):
         seed = _U((0x9E3779B97F4A7C15 * (2 * k + 3) + 0x1234567 * k) & (1 << 64) - 1 | 1)
-        at = ((shingles * seed) >> _U(48)).astype(np.int64)
-        rk = r[at]
-        level = np.floor(log_w / rk + beta[at])
-        log_a = log_c[at] - rk * (level - beta[at]) - rk
+        # Three 16-bit places, one a table: a sample of its own for each of 2^48 shingles.
+        at = mixed(shingles ^ seed)
+        rk, bk = r[(at >> _U(48)).astype(np.int64)], beta[(at >> _U(32) & _U(POOL - 1)).astype(np.int64)]
+        level = np.floor(log_w / rk + bk)
+        log_a = log_c[(at & _U(POOL - 1)).astype(np.int64)] - rk * (level - bk) - rk
         least = np.minimum.reduceat(log_a, head)
         hits = np.flatnonzero(log_a == np.repeat(least, lengths))
         hit_rows = row[hits]
@@ -162,18 +233,17 @@ def samples(row: np.ndarray, shingles: np.ndarray, weight: np.ndarray, n_rows: i
     return out
 
 
-def signatures(docs: DataFrame, n_docs: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, f1, f2, sig): the word sequence's fingerprints and the samples of each row."""
+def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
+    """(doc_id, h, f1, f2, sig): the text's hash, the word sequence's fingerprints and the samples of each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            for at in range(0, len(df), 256):
-                part = df.iloc[at : at + 256]
-                row, value, count, f1, f2 = shingled(part["text"].tolist())
-                sig = samples(row, value, weights(value, count, n_docs, sketch), len(part))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "sig": list(sig)})
+        for part in _blocks_of(frames):
+            row, value, count, f1, f2 = shingled(part["text"].tolist())
+            sig = samples(row, value, weights(value, count, known), len(part))
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h": part["h"].to_numpy(), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "sig": list(sig)})
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInPandas(run, "doc_id long, f1 long, f2 long, sig array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    return rows.mapInPandas(run, "doc_id long, h long, f1 long, f2 long, sig array<int>")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,33 +294,31 @@ def candidates(scratch: Scratch, heads: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, l, r), two blocks a group, to the pairs (a, b, agree) across classes of a left and a right row that agree enough.
+def _agreeing(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shingle, l, r), two blocks a group, to the pairs (a, b, agree) across classes of a left and a right row that agree enough.
 
-    A pair is given in the first band that it shares; two rows outside the bucket's largest class meet on both sides, and count once.
+    Two rows outside the shingle's largest class meet on both sides, and count once.
     """
 
     def pairs(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        band, ident, label, side, largest, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ident, label, side, largest, total, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
         right = np.flatnonzero(side == 1)
         for left in np.split(lefts := np.flatnonzero(side == 0), range(256, len(lefts), 256)):
             agree = np.zeros((len(left), len(right)), np.int8)
             for k in range(SAMPLES):
                 agree += sig[left, k][:, None] == sig[right, k]
-            hit = (agree >= LEAST_AGREEMENT * SAMPLES) & (label[left][:, None] != label[right]) & (largest[right] | (ident[left][:, None] < ident[right]))
-            i, j = np.nonzero(hit)
-            for at in range(0, len(i), 1 << 16):
-                x, y = left[i[at : at + (1 << 16)]], right[j[at : at + (1 << 16)]]
-                first = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
-                a, b = ident[x][first], ident[y][first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((sig[x] == sig[y]).sum(1)[first].astype(np.int32))], names=["a", "b", "agree"])
+            ratio = total[left][:, None] / total[right]  # the similarity isn't above the ratio of the weights
+            hit = (agree >= LEAST_AGREEMENT * threshold * SAMPLES) & (label[left][:, None] != label[right]) & (largest[right] | (ident[left][:, None] < ident[right]))
+            i, j = np.nonzero(hit & (np.minimum(ratio, 1 / ratio) >= threshold * (1 - 1e-9)))
+            a, b = ident[left[i]], ident[right[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree[i, j].astype(np.int32))], names=["a", "b", "agree"])
 
     held, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "l", "r")], 1)
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "id", "class", "side", "largest")]
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "l", "r")], 1)
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "side", "largest", "total")]
         columns.append(batch.column("sig").flatten().to_numpy().reshape(-1, SAMPLES))
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for at, stop in zip(cuts, cuts[1:], strict=False):
@@ -263,28 +331,52 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
-def across_classes(scratch: Scratch, heads: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, agree), a < b: every pair of heads (id, sig) that shares a bucket, agrees enough and lies across two classes (id, class).
+def busy_members(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id): heads (id, sig) in a bucket of three or more that holds several classes (id, class); candidates() has the pair of a bucket of two."""
+    bands = [F.xxhash64(F.lit(k), *[F.col("sig")[ROWS * k + j] for j in range(ROWS)]) for k in range(BANDS)]
+    rows = heads.join(labels, "id").select("id", "class", F.explode(F.array(*bands)).alias("bucket"))
+    facts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("most"))
+    return rows.join(facts.filter("n > 2 and least <> most").select("bucket"), "bucket").select("id").distinct()
+
+
+def prefixes(scratch: Scratch, texts: DataFrame, known: Frequencies, threshold: float) -> DataFrame:
+    """(id, shingle, total): of documents (doc_id, text), the shingles of the prefix filter that several of them hold, and their weight."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _blocks_of(frames):
+            row, value, count, *_ = shingled(part["text"].tolist())
+            yield pd.DataFrame({"id": part["doc_id"].to_numpy()[row], "shingle": value.view(np.int64), "w": weights(value, count, known)})
+
+    rows = scratch.write(texts.select("doc_id", text_of().alias("text")).mapInPandas(run, "id long, shingle long, w double"), "shingles")
+    rows = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle")
+    whole = Window.partitionBy("id")
+    rest = whole.orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("id", "shingle", "n", F.sum("w").over(whole).alias("total"), F.sum("w").over(rest).alias("rest"))
+    return rows.filter((F.col("rest") >= F.col("total") * threshold * (1 - 1e-9)) & (F.col("n") > 1)).select("id", "shingle", "total")
 
-    Buckets of two are left out: candidates() has their pair.  A bucket's members outside its largest class are cut into blocks, as are
-    all its members; each of the former blocks meets each of the latter, by a join key of its own.
+
+def across_classes(scratch: Scratch, held: DataFrame, heads: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, agree), a < b: every pair of rows (id, shingle, total) that shares a shingle, agrees enough and lies across two classes (id, class).
+
+    A shingle's rows outside its largest class are cut into blocks, as are all its rows; each of the former blocks meets each of the
+    latter, by a join key of its own.
     """
-    bands = [F.xxhash64(F.lit(k), *[F.col("sig")[ROWS * k + j] for j in range(ROWS)]) for k in range(BANDS)]
-    rows = heads.join(labels, "id").select("id", "class", F.posexplode(F.array(*bands)).alias("band", "bucket"))
-    each = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    facts = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("class", F.struct("n", "class")).alias("first"), F.count(F.lit(1)).alias("classes"))
-    facts = scratch.write(facts.filter("n > 2 and classes > 1").drop("classes"), "busy")
+    rows = held.join(labels, "id")
+    each = rows.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("n"))
+    facts = each.groupBy("shingle").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("class", F.struct("n", "class")).alias("first"), F.count(F.lit(1)).alias("classes"))
+    facts = scratch.write(facts.filter("classes > 1").drop("classes"), "shared")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    met = rows.join(facts, "bucket").withColumn("lefts", blocks(F.col("n") - F.col("most"))).withColumn("rights", blocks(F.col("n"))).withColumn("largest", F.col("class") == F.col("first"))
-    own = lambda n: F.pmod(F.xxhash64("id", "band"), F.col(n)).cast("int")
+    met = rows.join(facts, "shingle").withColumn("lefts", blocks(F.col("n") - F.col("most"))).withColumn("rights", blocks(F.col("n"))).withColumn("largest", F.col("class") == F.col("first"))
+    own = lambda n: F.pmod(F.xxhash64("id", "shingle"), F.col(n)).cast("int")
     as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda x: F.struct(x.alias("l"), own("rights").alias("r"), F.lit(1).alias("side")))
     as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda x: F.struct(own("lefts").alias("l"), x.alias("r"), F.lit(0).alias("side")))
-    met = met.join(heads, "id").select("band", "bucket", "id", "class", "largest", "sig", F.explode(F.concat(as_right, F.filter(as_left, lambda _: ~F.col("largest")))).alias("x"))
-    met = met.select("bucket", "x.l", "x.r", "band", "id", "class", "x.side", "largest", "sig")
-    return met.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r").mapInArrow(_agreeing, "a long, b long, agree int")
+    met = met.join(heads, "id").select("shingle", "id", "class", "largest", "total", "sig", F.explode(F.concat(as_right, F.filter(as_left, lambda _: ~F.col("largest")))).alias("x"))
+    met = met.select("shingle", "x.l", "x.r", "id", "class", "x.side", "largest", "total", "sig")
+    found = met.repartition("shingle", "l", "r").sortWithinPartitions("shingle", "l", "r").mapInArrow(lambda batches: _agreeing(batches, threshold), "a long, b long, agree int")
+    return found.distinct()
 
 
-def similarity(n_docs: int, sketch: np.ndarray):
+def similarity(known: Frequencies):
     """A mapInPandas function: (a, b, left, right) to (a, b, similarity), the exact weighted Jaccard similarity of two texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +385,7 @@ def similarity(n_docs: int, sketch: np.ndarray):
                 part = df.iloc[at : at + 128]
                 n = len(part)
                 row, value, count, *_ = shingled(part["left"].tolist() + part["right"].tolist())
-                weight = weights(value, count, n_docs, sketch)
+                weight = weights(value, count, known)
                 pair, side = row % n, row // n
                 order = np.lexsort((side, value, pair))
                 pair, value, weight = pair[order], value[order], weight[order]
@@ -305,82 +397,67 @@ def similarity(n_docs: int, sketch: np.ndarray):
     return run
 
 
-def _centres(heads: DataFrame, labels: DataFrame) -> DataFrame:
-    """(class, centre) of classes of three or more: the member whose samples equal the commonest of the class in most places.
-
-    Counts by (class, place, sample) and sums by member combine before the shuffle; no class is gathered.
-    """
-    large = labels.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("class")
-    cells = heads.join(labels.join(large, "class", "left_semi"), "id").select("class", "id", F.posexplode("sig").alias("place", "value"))
-    commonest = cells.groupBy("class", "place", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("class", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
-    return cells.join(commonest, ["class", "place", "value"]).groupBy("class", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("class").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("centre"))
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id), a row for each distinct doc_id; class_id is the least doc_id of the class.
 
-    Documents without words (null, empty or punctuation alone) are classes of their own.  Rows that share a doc_id count as that
-    document with the text that sorts first; a null doc_id takes no part.  An empty table gives an empty table.
+    Documents without words (null, empty or punctuation alone) are classes of their own.  Of several texts of one doc_id that with the
+    least hash counts; a null doc_id takes no part.  An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    n_docs, sketch = frequencies(docs)
-    signed = scratch.write(signatures(docs, n_docs, sketch), "signatures")
-    # Equal word sequences: one head each; the other members hang on it.
-    sequences = signed.filter("f1 <> 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "sig")).alias("head"))
-    heads = scratch.write(sequences.select("f1", "f2", "head.id", "head.sig"), "heads")
-    copies = signed.filter("f1 <> 0").join(heads.select("f1", "f2", "id"), ["f1", "f2"]).filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    known = frequencies(docs)
+    signed = scratch.write(signatures(docs, known), "signatures")
+    # One text a doc_id; then one head for equal word sequences, on which the other members hang.
+    repeated = signed.groupBy("doc_id").agg(F.min("h").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"), "least")
+    repeated = scratch.write(repeated, "repeated")
+    single = signed.join(repeated, F.col("doc_id") == F.col("again"), "left").filter("f1 <> 0 and (least is null or h = least)")
+    heads = scratch.write(single.groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "sig")).alias("head")).select("f1", "f2", "head.id", "head.sig"), "heads")
+    copies = single.join(heads.select("f1", "f2", "id"), ["f1", "f2"]).filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct()
     copies = scratch.write(copies, "copies")
-
-    pairs = candidates(scratch, heads.select("id", "sig"))
     sig = heads.select("id", "sig")
-    equal = F.aggregate(F.zip_with("left", "right", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("left")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("right")), "b")
-    pairs = scratch.write(pairs.select("a", "b", equal.alias("agree")).filter(F.col("agree") >= LEAST_AGREEMENT * SAMPLES), "pairs")
 
-    def settled(pairs: DataFrame, known_classes: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The classes when each of the pairs has been verified or lies within a class, and all pairs verified so far."""
-        involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
         # A merge join at every size: ids that happen to be few would be broadcast, and the plan's needs would jump once they are not.
-        texts = scratch.write(docs.select("doc_id", text_of().alias("text")).join(involved.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-
-        def verified(asked: DataFrame) -> DataFrame:
-            left, right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-            both = asked.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "left", "right")
-            checked = both.mapInPandas(similarity(n_docs, sketch), "a long, b long, similarity double")
-            return scratch.write(checked.filter(F.col("similarity") >= threshold).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
-
-        # The most alike pair of each document first.
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-        classes = connected(scratch, known_classes.unionByName(verified(best)))
-        # Then pairs that still join two classes, and each of their documents with the other's class's centre: the centre is the member
-        # that all others resemble most, so a document that resembles any of a class by way of a common source resembles it.
-        known = sig.join(involved.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-        asked = best if asked is None else asked.unionByName(best)
-        while True:
-            labels = known.select("id").join(classes.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("class"))
-            labels = scratch.write(labels, "labels")
-            centres = _centres(known, labels)
-            label = lambda side: labels.select(F.col("id").alias(side), F.col("class").alias(f"{side}_class"))  # noqa: B023, E731
-            centre = lambda side: centres.select(F.col("class").alias(f"{side}_class"), F.col("centre").alias(f"{side}_centre"))  # noqa: B023, E731
-            across = pairs.join(label("a"), "a").join(label("b"), "b").filter("a_class <> b_class").join(centre("a"), "a_class", "left").join(centre("b"), "b_class", "left")
-            x, y, cx, cy = "a", "b", F.coalesce("a_centre", "a"), F.coalesce("b_centre", "b")
-            options = F.array(*[F.struct(F.least(l, r).alias("a"), F.greatest(l, r).alias("b")) for l, r in ((x, y), (x, cy), (cx, y), (cx, cy))])  # noqa: E741
-            fresh = across.select(F.explode(options).alias("p")).select("p.a", "p.b").distinct().join(asked, ["a", "b"], "left_anti")
-            fresh = scratch.write(fresh, "asked")
-            more = verified(fresh)
-            if more.isEmpty():
-                return classes, asked.unionByName(fresh)
-            classes = connected(scratch, classes.unionByName(more))
-            asked = asked.unionByName(fresh)
-
-    classes, asked = settled(pairs, copies, None)
-    # The pairs of a bucket that weren't neighbours in it, where classes don't join them already.
-    labels = heads.select("id").join(classes.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("class"))
-    labels = scratch.write(labels, "labels")
-    rest = scratch.write(across_classes(scratch, sig, labels).join(asked, ["a", "b"], "left_anti"), "rest")
+        rows = docs.select("doc_id", text_of().alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
+        return scratch.write(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
+
+    def labelled(classes: DataFrame) -> DataFrame:
+        every = sig.select("id").join(classes.select(F.col("u").alias("id"), "v"), "id", "left")
+        return scratch.write(every.select("id", F.coalesce("v", "id").alias("class")), "labels")
+
+    def joined(classes: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
+        """The classes with the pairs (a, b) that are similar."""
+        left, right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
+        both = asked.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "left", "right")
+        checked = both.mapInPandas(similarity(known), "a long, b long, similarity double")
+        links = scratch.write(checked.filter(F.col("similarity") >= threshold).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+        return classes if links.isEmpty() else connected(scratch, classes.unionByName(links))
+
+    def settled(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The classes when each of the pairs has been verified or lies within a class: the most alike pair of each document goes first."""
+        best = scratch.write(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), "best")
+        classes = joined(classes, best, texts)
+        labels = labelled(classes)
+        label = lambda side: labels.select(F.col("id").alias(side), F.col("class").alias(f"{side}_class"))
+        across = pairs.select("a", "b").join(label("a"), "a").join(label("b"), "b").filter("a_class <> b_class")
+        return joined(classes, across.join(best, ["a", "b"], "left_anti"), texts)
+
+    near = candidates(scratch, sig)
+    equal = F.aggregate(F.zip_with("left", "right", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    near = near.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("left")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("right")), "b")
+    near = scratch.write(near.select("a", "b", equal.alias("agree")).filter(F.col("agree") >= LEAST_AGREEMENT * threshold * SAMPLES), "pairs")
+    involved = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+    texts = texts_of(involved)
+    classes = settled(copies, near, texts)
+    scratch.drop(texts)
+    # What lies apart in every bucket that it shares.
+    labels = labelled(classes)
+    busy = scratch.write(busy_members(sig, labels), "busy")
+    texts = texts_of(busy.withColumnRenamed("id", "doc_id"))
+    held = scratch.write(prefixes(scratch, texts, known, threshold), "prefixes")
+    rest = scratch.write(across_classes(scratch, held, sig, labels, threshold).join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        classes, _ = settled(rest, classes, asked)
+        classes = settled(classes, rest, texts)
     every = signed.select("doc_id").distinct()
     return every.join(classes, F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("v", "doc_id").alias("class_id"))
 
