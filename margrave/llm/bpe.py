@@ -4,22 +4,27 @@ Two levels share the idea.
 
 * Text: a text is cut into *segments* just before a space that follows a non-blank.  The split pattern has no look-behind, and none of
   its matches runs from a non-blank over such a space, so those cuts are match boundaries of the whole text and segments encode alone.
-  A long text is halved; the segments next to a cut are joined and segmented anew, and the window grows while its outer edges are not
-  such boundaries.  Outside the window nothing can change.
-* Pre-token: bytes beyond ``LEAF`` are halved.  Two encodings are joined by re-encoding the last and first k tokens, k growing, until
-  the tokens at both edges of the window are compatible with their neighbours (encoding the two tokens' bytes gives the two back).  A
-  token sequence all of whose neighbours are compatible is the encoding of its bytes, so the tokens outside are then final.
-
-Decoding concatenates up the same tree.
+  Texts beyond ``TEXT_LEAF`` are halved; the segments next to a cut are joined and segmented anew.  The outer edges of that window are
+  such boundaries, so outside it nothing can change: at this level the first window is already stable.
+* Pre-token: bytes beyond ``LEAF`` are halved, and leaves are merged by rank.  Two encodings are joined by re-encoding the last and
+  first k tokens, k growing, until the tokens at both edges of the window are compatible with their neighbours (encoding the two tokens'
+  bytes gives the two back).  A token sequence all of whose neighbours are compatible is the encoding of its bytes, so the tokens outside
+  are then final.
+
+Decoding concatenates halves up a tree of ids.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Sequence
+from itertools import chain
 
 #: A leaf of the byte tree, in bytes, and of the text tree, in characters.
-LEAF, TEXT_LEAF = 48, 16384
+LEAF, TEXT_LEAF = 16, 1024
+#: Ids that a leaf of the decoding tree holds.
+IDS_LEAF = 1024
 #: Entries that a worker's cache of segments may hold before it is emptied.
 CACHE = 400_000
 
@@ -29,18 +34,15 @@ class ByteBPE:
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
-        import tiktoken
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocabulary = {b: a for a, b in self.ranks.items()}
-        self._leaf = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
         self._pieces = regex.compile(pattern).findall
         self._cut = regex.compile(r"(?<=\S)(?= )").split
         self._odd = regex.compile(r"[^\S \n]").search
         self._fits: dict[tuple[int, int], bool] = {}
-        self._cache: dict[str, tuple[int, str, bytes]] = {}
-        self._counts: dict[str, int] = {}
+        self._cache: dict[str, tuple[int, ...]] = {}
 
     # -- bytes ---------------------------------------------------------------------------------------------------------------
 
@@ -50,6 +52,20 @@ class ByteBPE:
             return [whole]
         return self._tree(data)
 
+    def _leaf(self, data: bytes) -> list[int]:
+        """Ids of a few bytes: the neighbours whose join has the least rank are merged, leftmost first, until no join has a rank."""
+        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
+        joins = [ranks.get(data[i : i + 2]) for i in range(len(data) - 1)]
+        while known := [r for r in joins if r is not None]:
+            i = joins.index(min(known))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i:
+                joins[i - 1] = ranks.get(parts[i - 1] + parts[i])
+            if i < len(joins):
+                joins[i] = ranks.get(parts[i] + parts[i + 1])
+        return [ranks[x] for x in parts]
+
     def _tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
             return self._leaf(data)
@@ -73,20 +89,19 @@ class ByteBPE:
                 return left[:a] + middle + right[b:]
             k *= 2
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The bytes of ids; halves are concatenated up the tree."""
+        if len(ids) <= IDS_LEAF:
+            return b"".join(map(self.vocabulary.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
     # -- text ----------------------------------------------------------------------------------------------------------------
 
-    def segment_ids(self, segment: str) -> list[int]:
-        return [i for piece in self._pieces(segment) for i in self.piece(piece.encode("utf-8"))]
-
-    def segment(self, segment: str) -> tuple[int, str, bytes]:
-        """Of a segment: the number of ids, the ids in decimal joined by commas, the bytes decoded from them."""
+    def segment_ids(self, segment: str) -> tuple[int, ...]:
         found = self._cache.get(segment)
         if found is None:
-            ids = self.segment_ids(segment)
-            found = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+            found = tuple([i for piece in self._pieces(segment) for i in self.piece(piece.encode("utf-8"))])
             if len(segment) <= 256:
                 if len(self._cache) >= CACHE:
                     self._cache.clear()
@@ -95,14 +110,7 @@ class ByteBPE:
 
     def count(self, segment: str) -> int:
         """The number of a segment's ids."""
-        found = self._counts.get(segment)
-        if found is None:
-            found = len(self.segment_ids(segment))
-            if len(segment) <= 256:
-                if len(self._counts) >= CACHE:
-                    self._counts.clear()
-                self._counts[segment] = found
-        return found
+        return len(self.segment_ids(segment))
 
     def segments(self, text: str) -> list[str]:
         """The text cut just before each space that follows a non-blank."""
@@ -131,7 +139,7 @@ class ByteBPE:
         return left[:-1] + self.segments(left[-1] + right[0]) + right[1:]
 
     def ids(self, text: str) -> list[int]:
-        return [i for s in self.split(text) for i in self.segment_ids(s)]
+        return list(chain.from_iterable(map(self.segment_ids, self.split(text))))
 
 
 @functools.lru_cache(maxsize=4)

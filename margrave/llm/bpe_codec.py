@@ -32,29 +32,24 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)
-
-        def up(ids: list[int]) -> bytes:
-            half = len(ids) // 2
-            return bpe.decode(ids) if len(ids) <= 4096 else up(ids[:half]) + up(ids[half:])
-
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "data": [up([] if x is None else list(x)) for x in batch["ids"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "data": [bpe.decode([] if x is None else x) for x in batch["ids"]]})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
 
 
 def codec_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded up the tree segment by segment."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded up the tree, then the ids decoded up theirs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)
         for batch in batches:
             counts, ids_sha, data_sha = [], [], []
             for text in batch["text"]:
-                got = [x for x in map(bpe.segment, bpe.split(text)) if x[0]]
-                counts.append(sum([x[0] for x in got]))
-                ids_sha.append(hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest())
-                data_sha.append(hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
+                ids = bpe.ids(text)
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                data_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": data_sha})
 
     return _narrow(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
