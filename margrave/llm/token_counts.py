@@ -2,8 +2,9 @@
 
 Each document keeps a segment tree.  Its leaves are runs of ``WIDTH`` segments (see ``bpe``: texts cut where the split pattern has a
 match boundary whatever surrounds it); every node holds the characters and the tokens below it.  An edit re-encodes the leaves that it
-touches, with the leaf that holds the character before it and the one that holds the character after it, and updates the sums on the
-paths from those leaves to the root.  All other leaves keep their counts: both their edges are still such boundaries.
+touches, with the leaf that holds the character before it and the one that holds the character after it, puts new leaves of ``WIDTH``
+segments in their place, and sums anew on the paths from there to the root.  All other leaves keep their counts: both their edges are
+still such boundaries.  Trees are kept as a table of their leaves (inner sums follow from those), which edits read and replace.
 """
 
 from __future__ import annotations
@@ -11,30 +12,62 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, encoder
-from .common import text_of
+from .common import Scratch, text_of
 
 #: Segments in a leaf.
 WIDTH = 16
-EDITS = "array<struct<start: long, stop: long, text: string>>"
+TREES = "doc_id long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+
+
+class Node:
+    """A leaf (text) or the sum of two nodes."""
+
+    __slots__ = ("chars", "tokens", "depth", "text", "left", "right")
+
+    def __init__(self, text: str | None, tokens: int, left: Node | None = None, right: Node | None = None) -> None:
+        self.text, self.left, self.right = text, left, right
+        if left is None:
+            self.chars, self.tokens, self.depth = len(text), tokens, 0
+        else:
+            self.chars, self.tokens, self.depth = left.chars + right.chars, left.tokens + right.tokens, 1 + max(left.depth, right.depth)
+
+
+def _joined(left: Node | None, right: Node | None) -> Node | None:
+    return left or right if left is None or right is None else Node(None, 0, left, right)
+
+
+def _built(leaves: list[Node]) -> Node | None:
+    if len(leaves) < 2:
+        return leaves[0] if leaves else None
+    half = len(leaves) // 2
+    return Node(None, 0, _built(leaves[:half]), _built(leaves[half:]))
+
+
+def _cut(node: Node | None, place: int) -> tuple[Node | None, Node | None]:
+    """The tree left and right of an edge between leaves; only nodes on the path are made anew."""
+    if node is None or place <= 0:
+        return None, node
+    if place >= node.chars:
+        return node, None
+    if place < node.left.chars:
+        a, b = _cut(node.left, place)
+        return a, _joined(b, node.right)
+    a, b = _cut(node.right, place - node.left.chars)
+    return _joined(node.left, a), b
 
 
 class CountTree:
-    """Characters and tokens of a text under edits."""
+    """Characters and tokens of a text under edits; ``encoded`` counts the segments that edits encoded again."""
 
     def __init__(self, bpe: ByteBPE, leaves: list[str], tokens: list[int]) -> None:
-        self.bpe, self.leaves, self.size, self.encoded = bpe, leaves or [""], 1, 0
-        while self.size < len(self.leaves):
-            self.size *= 2
-        blank = [0] * (self.size - len(self.leaves))
-        self.chars = [0] * self.size + [len(x) for x in self.leaves] + blank
-        self.tokens = [0] * self.size + (list(tokens) or [0]) + blank
-        for node in range(self.size - 1, 0, -1):
-            self._sum(node)
+        self.bpe, self.encoded = bpe, 0
+        self.root = _built([Node(x, n) for x, n in zip(leaves, tokens, strict=True) if x])
 
     @staticmethod
     def cut(bpe: ByteBPE, text: str) -> tuple[list[str], list[int]]:
@@ -43,100 +76,106 @@ class CountTree:
         groups = [parts[i : i + WIDTH] for i in range(0, len(parts), WIDTH)]
         return ["".join(g) for g in groups], [sum([bpe.count(x) for x in g]) for g in groups]
 
-    def _sum(self, node: int) -> None:
-        self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-        self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-
-    def leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds the character at a place below the length, and the characters before that leaf."""
-        node, before = 1, 0
-        while node < self.size:
-            node *= 2
-            if place - before >= self.chars[node]:
-                before += self.chars[node]
-                node += 1
-        return node - self.size, before
+    def leaves(self) -> list[Node]:
+        out, stack = [], [self.root] if self.root else []
+        while stack:
+            node = stack.pop()
+            if node.left is None:
+                out.append(node)
+            else:
+                stack += [node.right, node.left]
+        return out
+
+    def _leaf_at(self, place: int) -> tuple[int, int]:
+        """The edges of the leaf that holds the character at a place below the length."""
+        node, before = self.root, 0
+        while node.left is not None:
+            if place - before >= node.left.chars:
+                before += node.left.chars
+                node = node.right
+            else:
+                node = node.left
+        return before, before + node.chars
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace the characters from start up to stop; places beyond the ends are moved to them."""
-        length = self.chars[1]
+        length = self.root.chars if self.root else 0
         start = min(max(start, 0), length)
         stop = min(max(stop, start), length)
-        first, before = self.leaf_at(min(max(start - 1, 0), length - 1)) if length else (0, 0)
-        last = self.leaf_at(min(stop, length - 1))[0] if length else 0
-        old = "".join(self.leaves[first : last + 1])
-        region = old[: start - before] + new + old[stop - before :]
-        parts = self.bpe.split(region)
-        self.encoded += len(parts)
-        self.leaves[first : last + 1] = [region] + [""] * (last - first)
-        for leaf in range(first, last + 1):
-            self.chars[self.size + leaf] = self.tokens[self.size + leaf] = 0
-        self.chars[self.size + first], self.tokens[self.size + first] = len(region), sum([self.bpe.count(x) for x in parts])
-        low, high = (self.size + first) // 2, (self.size + last) // 2
-        while low:
-            for node in range(low, high + 1):
-                self._sum(node)
-            low, high = low // 2, high // 2
+        first = self._leaf_at(max(start - 1, 0))[0] if length else 0
+        last = self._leaf_at(min(stop, length - 1))[1] if length else 0
+        before, rest = _cut(self.root, first)
+        touched, after = _cut(rest, last - first)
+        self.root = touched
+        old = self.text()
+        leaves, tokens = self.cut(self.bpe, old[: start - first] + new + old[stop - first :])
+        self.encoded += len(leaves) * WIDTH
+        self.root = _joined(_joined(before, _built([Node(x, n) for x, n in zip(leaves, tokens, strict=True)])), after)
+        if self.root and self.root.depth > 64:  # joins may tilt the tree; its leaves stay as they are
+            self.root = _built(self.leaves())
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens if self.root else 0
 
     def text(self) -> str:
-        return "".join(self.leaves)
+        return "".join([x.text for x in self.leaves()])
 
 
 def count_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, text, n_tokens, leaf_chars and leaf_tokens (the tree's leaves; inner sums follow), and ``edits`` if docs has it.
+    """doc_id, text, n_tokens, leaf_chars and leaf_tokens: the trees, to be written and edited later.
 
-    A null text is an empty one: no leaves, 0 tokens.
+    A null or empty text has no leaves and 0 tokens; repeated rows have a tree each; other columns are left out.
     """
-    extra = ["edits"] if "edits" in docs.columns else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             cuts = [CountTree.cut(bpe, x) for x in batch["text"]]
-            batch["n_tokens"] = [sum(t) for _, t in cuts]
-            batch["leaf_chars"] = [[len(x) for x in leaves] for leaves, _ in cuts]
-            batch["leaf_tokens"] = [t for _, t in cuts]
-            yield batch
+            sizes = {"n_tokens": [sum(t) for _, t in cuts], "leaf_chars": [[len(x) for x in leaves] for leaves, _ in cuts], "leaf_tokens": [t for _, t in cuts]}
+            yield batch.assign(**sizes)
+
+    narrow = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    return narrow.mapInPandas(run, TREES)
 
-    narrow = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *extra)
-    return narrow.mapInPandas(run, "doc_id long, text string, " + f"edits {EDITS}, " * bool(extra) + "n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Few rows at a time, so that no frame of leaves is large."""
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            yield batch.iloc[at : at + 256]
 
-def apply_edits(trees: DataFrame, path: str, pattern: str) -> DataFrame:
-    """trees: rows (doc_id, text, edits) with or without the leaves of count_trees(); without them, trees are built first.
 
-    Edits are (start, stop, text), applied in order, each to what the last left; places in code points.  Returns doc_id, n_tokens
-    (before), n_edits, n_tokens_edited, n_segments (of the document, to a leaf), n_encoded (segments encoded again) and edited_sha256.  A
-    null list has no edits, a null replacement is empty.  Memory: one batch of texts, and the trees of one document.
+def apply_edits(trees: DataFrame, path: str, pattern: str, with_trees: bool = False) -> DataFrame:
+    """trees: rows of count_trees() with ``edits``: (start, stop, text), applied in order, each to what the last left; places in code points.
+
+    Returns doc_id, n_tokens (before), n_edits, n_tokens_edited, n_leaves, n_encoded (segments encoded again, to a leaf) and
+    edited_sha256; with_trees: the new rows of count_trees(), for later edits.  A null list has no edits, a null replacement is empty.
+    Memory: one batch of texts, and the tree of one document.
     """
-    kept = "leaf_chars" in trees.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for x in batch.itertuples(index=False):
-                leaves, at = [], 0
-                if kept:
-                    for n in x.leaf_chars:
-                        leaves.append(x.text[at : at + n])
-                        at += n
-                    tree = CountTree(bpe, leaves, [int(t) for t in x.leaf_tokens])
-                else:
-                    tree = CountTree(bpe, *CountTree.cut(bpe, x.text))
-                before, segments = tree.n_tokens, WIDTH * len(tree.leaves)
+                ends = np.cumsum(x.leaf_chars, dtype=np.int64).tolist()
+                leaves = [x.text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+                tree = CountTree(bpe, leaves, [int(t) for t in x.leaf_tokens])
                 edits = [] if x.edits is None else list(x.edits)
                 for e in edits:
                     tree.edit(e["start"], e["stop"], e["text"] or "")
-                sha = hashlib.sha256(tree.text().encode("utf-8")).hexdigest()
-                rows.append((x.doc_id, before, len(edits), tree.n_tokens, segments, tree.encoded, sha))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_segments", "n_encoded", "edited_sha256"])
+                if with_trees:
+                    now = tree.leaves()
+                    rows.append((x.doc_id, tree.text(), tree.n_tokens, [n.chars for n in now], [n.tokens for n in now]))
+                else:
+                    sha = hashlib.sha256(tree.text().encode("utf-8")).hexdigest()
+                    rows.append((x.doc_id, x.n_tokens, len(edits), tree.n_tokens, len(leaves), tree.encoded, sha))
+            yield pd.DataFrame(rows, columns=names)
 
-    return trees.mapInPandas(run, "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_segments long, n_encoded long, edited_sha256 string")
+    schema = TREES if with_trees else "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_leaves long, n_encoded long, edited_sha256 string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return trees.select("doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens", "edits").mapInPandas(run, schema)
 
 
 def standard_edits(text: Column) -> Column:
@@ -148,6 +187,6 @@ def standard_edits(text: Column) -> Column:
 
 
 def token_count_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Counts of every document before and after the standard edits; trees are built and edited in one pass over the texts."""
-    edited = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), standard_edits(text_of()).alias("edits"))
-    return apply_edits(edited, path, pattern)
+    """Counts of every document before and after the standard edits, which are applied to the trees as stored."""
+    trees = Scratch(docs.sparkSession, "trees").write(count_trees(docs, path, pattern), "trees")
+    return apply_edits(trees.withColumn("edits", standard_edits(F.col("text"))), path, pattern)

@@ -172,13 +172,13 @@ def test_every_pair_of_a_shingle_across_classes_meets(spark, monkeypatch):
 
 def test_prefixes_of_similar_documents_meet(spark):
     rng = random.Random(5)
-    base = [f"t{rng.randrange(400)}" for _ in range(120)]
+    base = [f"t{rng.randrange(400)}" for _ in range(500)]
     rows = []
     for i in range(80):
         words = list(base)
         for _ in range(rng.randrange(1, 4)):
-            words[rng.randrange(120)] = f"n{rng.randrange(60)}"
-        rows.append((i, " ".join(words[: rng.randrange(110, 121)])))
+            words[rng.randrange(500)] = f"n{rng.randrange(60)}"
+        rows.append((i, " ".join(words[: rng.randrange(470, 501)])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = near_dedup.frequencies(docs)
     held = {}

@@ -73,6 +73,19 @@ def test_an_edit_touches_few_segments():
     assert tree.encoded <= 3 * token_counts.WIDTH + 3
 
 
+def test_large_insertions_are_split_into_leaves():
+    own, lib = bpe.ByteBPE(PLAIN, PATTERN), reference(PLAIN)
+    tree, text = token_counts.CountTree(own, *token_counts.CountTree.cut(own, "some words " * 40)), "some words " * 40
+    for i in range(150):
+        place, new = 100 + 37 * i, " inserted words" * (300 if i % 10 == 0 else 1)
+        before = tree.encoded
+        tree.edit(place, place, new)
+        text = text[:place] + new + text[place:]
+        assert i % 10 == 0 or tree.encoded - before <= 4 * token_counts.WIDTH  # also inside a large insertion
+    assert tree.text() == text and tree.n_tokens == len(lib.encode_ordinary(text))
+    assert max(len(own.segments(x.text)) for x in tree.leaves()) <= token_counts.WIDTH and tree.root.depth <= 64
+
+
 def test_count_query(hard, hard_rows, none):
     lib = reference(PLAIN)
 
@@ -94,12 +107,19 @@ def test_count_query(hard, hard_rows, none):
 def test_kept_trees(spark):
     from pyspark.sql import functions as F
 
-    docs = spark.createDataFrame([(1, "some words " * 50), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "some words " * 50), (2, None), (2, None)], "doc_id long, text string")
+    edit = F.array(F.struct(F.lit(3).cast("long").alias("start"), F.lit(9).cast("long").alias("stop"), F.lit("thing").alias("text")))
     trees = token_counts.count_trees(docs, PLAIN, PATTERN)
-    with_edits = trees.withColumn("edits", F.array(F.struct(F.lit(3).cast("long").alias("start"), F.lit(9).cast("long").alias("stop"), F.lit("thing").alias("text"))))
-    got = {r["doc_id"]: r for r in token_counts.apply_edits(with_edits, PLAIN, PATTERN).collect()}
-    lib, text = reference(PLAIN), "some words " * 50
-    assert got[1]["n_tokens_edited"] == len(lib.encode_ordinary(text[:3] + "thing" + text[9:])) and got[2]["n_tokens_edited"] == len(lib.encode_ordinary("thing"))
+    lib, text, short = reference(PLAIN), "some words " * 50, ""
+    for _ in range(3):  # each time to what the last edits left
+        text, short = text[:3] + "thing" + text[9:], short[:3] + "thing" + short[9:]
+        got = token_counts.apply_edits(trees.withColumn("edits", edit), PLAIN, PATTERN).collect()
+        assert sorted((r["doc_id"], r["n_tokens_edited"]) for r in got) == [(1, len(lib.encode_ordinary(text)))] + [(2, len(lib.encode_ordinary(short)))] * 2
+        trees = token_counts.apply_edits(trees.withColumn("edits", edit), PLAIN, PATTERN, with_trees=True)
+    kept = {r["doc_id"]: r for r in trees.collect()}
+    assert kept[1]["text"] == text and sum(kept[1]["leaf_chars"]) == len(text) and sum(kept[1]["leaf_tokens"]) == kept[1]["n_tokens"]
+    untouched = trees.withColumn("edits", F.lit(None).cast("array<struct<start: long, stop: long, text: string>>"))
+    assert all(r["n_encoded"] == 0 and r["n_tokens"] == r["n_tokens_edited"] for r in token_counts.apply_edits(untouched, PLAIN, PATTERN).collect())
 
 
 def test_packing(hard, hard_rows, none):
