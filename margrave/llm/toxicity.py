@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Words are mapped to symbols: insult, threat, target, negation, report, clause end.  Five small transducers read the symbols of a clause:
-negation scopes over the next words, report and target over the clause, insults and threats are what is scored.  Their composition
-emits one of PATHS for each insult or threat: plain, aimed at a target, negated, reported.  A document's score is the logistic of the
-weighted sum of its paths (as log1p of their number).
+Words become symbols: insult, threat, target, negation, report or other.  Small transducers rewrite the symbols of a clause, each adding
+a mark to those in its scope: a target aims all of the clause (one transducer reads it from either end), a negation marks the next words,
+a report what follows it.  The transducers that read forward are composed into one, with the scorer, which emits one of PATHS for each
+insult or threat.  Arcs that emit a path carry its weight; a document's score is the logistic of the weighted sum of its paths (as log1p
+of their number).  A clause ends at a line's end, and after ``.!?;:``, be they followed by quotation marks or brackets.
 
 Insult stems and the path weights are learned; the closed classes are fixed.  Learning uses a sample of at most ``SAMPLE`` labelled
-documents whose crc32(doc_id) mod 3 is not 1, half of each label where there are as many, taken in the order of a hash of doc_id.
+documents of each label whose crc32(doc_id) mod 3 is not 1, taken in the order of a hash of doc_id.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,13 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Scratch, text_of
 
-#: Bounds of what is learned: labelled documents of either label, and stems.
-SAMPLE, STEMS = 6000, 1500
-#: A stem's least association with label 1 (G squared) and least share of label 1 among its documents, odds put on equal classes.
+#: Labelled documents of either label that are learned from, at most.
+SAMPLE = 6000
+#: A stem's least association with label 1 (G squared; with few labels, half of what a perfect stem has) and least share of label 1 among
+#: its documents, odds put on equal classes.
 LEAST_G2, LEAST_SHARE = 26.0, 0.9
 STEM_LENGTHS = (3, 4, 5, 6)
+#: What ends a clause, and what may follow that.
+ENDS, CLOSING = frozenset(".!?;:"), "\"'»”’)]}*_"
 
 # Closed word classes in the corpus' four languages.
 THREATS = frozenset("kill hurt destroy attack murder beat stab shoot töten schlagen umbringen vernichten tuer frapper détruire matar golpear destruir".split())
@@ -36,14 +40,81 @@ TARGETS = frozenset("you your yours they them he she him her du dich dir dein ih
 NEGATIONS = frozenset("not no never nobody nicht kein keine nie niemals pas jamais aucun nunca jamás ningún tampoco".split())
 REPORTS = frozenset("said says wrote claimed called quoted sagte sagt schrieb behauptete dit écrit affirme dijo dice escribió llamó".split())
 
+#: Kinds of symbols, as bits of what a run of non-blanks holds.
 INSULT, THREAT, TARGET, NEGATION, REPORT, END = 1, 2, 4, 8, 16, 32
-PATHS = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat_aimed", "threat_other")
+OTHER = 0
+#: The order in which a run's own symbols are read.
+KINDS = (NEGATION, REPORT, TARGET, THREAT, INSULT)
+MARKS = ("negated", "reported", "aimed")
+PATHS = tuple(f"{kind}_{mark}" for kind in ("insult", "threat") for mark in ("plain", "aimed", "negated", "reported"))
 #: Prior means of the path weights: what a path that no labelled document shows is worth.
-PRIOR = np.array([1.5, 1.5, 0.4, 0.4, 0.5, 0.1])
+PRIOR = np.array([1.5, 1.5, 0.4, 0.4, 0.1, 0.5, 0.05, 0.05])
 #: How many words a negation reaches.
 SCOPE = 3
 WORDS = re.compile(r"[^\W\d_]+")
 
+Symbol = tuple[int, frozenset]
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """States 0 (the start), 1, ...; arcs: (state, input) to (state, output)."""
+
+    arcs: dict
+
+    def run(self, symbols: Iterable) -> list:
+        state, out = 0, []
+        for x in symbols:
+            state, y = self.arcs[state, x]
+            out.append(y)
+        return out
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what other makes of this one's output, over the pairs of states that the start reaches."""
+        inputs, number, arcs, todo = {x for _, x in self.arcs}, {(0, 0): 0}, {}, [(0, 0)]
+        while todo:
+            a, b = pair = todo.pop()
+            for x in inputs:
+                a2, y = self.arcs[a, x]
+                b2, z = other.arcs[b, y]
+                if (a2, b2) not in number:
+                    number[a2, b2] = len(number)
+                    todo.append((a2, b2))
+                arcs[number[pair], x] = number[a2, b2], z
+        return Transducer(arcs)
+
+
+def _symbols(marks: tuple[str, ...]) -> list[Symbol]:
+    """All symbols with any of the marks."""
+    sets = [frozenset()]
+    for m in marks:
+        sets += [s | {m} for s in sets]
+    return [(kind, s) for kind in (OTHER, *KINDS) for s in sets]
+
+
+def marker(trigger: int, mark: str, scope: int, marks: tuple[str, ...]) -> Transducer:
+    """Marks the symbols after a trigger: the next ``scope`` of them (0: all); the state is how many are left.  marks: those of the input."""
+    arcs = {}
+    for left in range((scope or 1) + 1):
+        for kind, had in _symbols(marks):
+            after = (scope or 1) if kind == trigger else left if not scope else max(0, left - 1)
+            arcs[left, (kind, had)] = after, (kind, had | {mark} if left else had)
+    return Transducer(arcs)
+
+
+def scorer() -> Transducer:
+    """One state: an insult or threat emits its path, by the first of MARKS that it has; all else emits -1."""
+    arcs = {}
+    for kind, had in _symbols(MARKS):
+        mark = next((m for m in MARKS if m in had), "plain")
+        arcs[0, (kind, had)] = 0, PATHS.index(f"{'insult' if kind == INSULT else 'threat'}_{mark}") if kind in (INSULT, THREAT) else -1
+    return Transducer(arcs)
+
+
+#: Read backward: what a target follows; then forward, composed.
+BACKWARD = marker(TARGET, "aimed", 0, ())
+FORWARD = marker(TARGET, "aimed", 0, ("aimed",)).then(marker(NEGATION, "negated", SCOPE, ("aimed",))).then(marker(REPORT, "reported", 0, ("aimed", "negated"))).then(scorer())
+
 
 @dataclass
 class Grammar:
@@ -58,44 +129,43 @@ class Grammar:
         """The symbols of a lower-cased run of non-blanks, as bits."""
         found = self._symbols.get(chunk)
         if found is None:
-            found = END if chunk[-1] in ".!?;:" else 0
+            found = END if chunk.rstrip(CLOSING)[-1:] in ENDS else 0
             for w in WORDS.findall(chunk):
                 if any(w[:k] in self.stems for k in STEM_LENGTHS if k <= len(w)) or w + "$" in self.stems:
                     found |= INSULT
                 found |= THREAT * (w in THREATS) | TARGET * (w in TARGETS) | NEGATION * (w in NEGATIONS) | REPORT * (w in REPORTS)
             if len(self._symbols) > 500_000:
                 self._symbols.clear()
-            self._symbols[chunk] = found
+            if len(chunk) <= 64:
+                self._symbols[chunk] = found
         return found
 
     def paths(self, text: str) -> list[int]:
-        """How often the composed transducers take each of PATHS in a text."""
+        """How often the transducers take each of PATHS in a text."""
         counts = [0] * len(PATHS)
-        symbols = list(map(self.symbol, text.lower().split()))
-        if not any(x & (INSULT | THREAT) for x in set(symbols)):
+        text = text.lower()
+        if not any(x & (INSULT | THREAT) for x in set(map(self.symbol, text.split()))):
             return counts
-        start = 0
-        for i, x in enumerate(symbols):
-            if x & END or i == len(symbols) - 1:
-                clause = symbols[start : i + 1]
-                if any(y & (INSULT | THREAT) for y in clause):
+        for line in text.split("\n"):
+            clause = []
+            for x in map(self.symbol, line.split()):
+                clause.append(x)
+                if x & END:
                     self._clause(clause, counts)
-                start = i + 1
+                    clause = []
+            self._clause(clause, counts)
         return counts
 
     @staticmethod
     def _clause(clause: list[int], counts: list[int]) -> None:
-        aimed = any(x & TARGET for x in clause)
-        reported, negated = False, 0
-        for x in clause:
-            reported = reported or bool(x & REPORT)
-            if x & NEGATION:
-                negated = SCOPE + 1
-            if x & INSULT:
-                counts[2 if negated else 3 if reported else 1 if aimed else 0] += 1
-            if x & THREAT:
-                counts[4 if aimed and not negated and not reported else 5] += 1
-            negated = max(0, negated - 1)
+        if not any(x & (INSULT | THREAT) for x in clause):
+            return
+        # A run without symbols is one of kind other, so that a scope counts words.
+        kinds = [(kind, frozenset()) for x in clause for kind in [k for k in KINDS if x & k] or [OTHER]]
+        aimed = BACKWARD.run(reversed(kinds))[::-1]
+        for path in FORWARD.run(aimed):
+            if path >= 0:
+                counts[path] += 1
 
     def scores(self, paths: list[list[int]]) -> np.ndarray:
         x = np.log1p(np.asarray(paths, dtype=float).reshape(-1, len(PATHS)))
@@ -103,26 +173,29 @@ class Grammar:
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(y, text) of the sample, one document for each least shingle, so that groups of copies don't make their words look common."""
+    """(y, text) of the sample, a row a doc_id (of several texts, the one that sorts first)."""
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     usable = usable.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     order = [F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.col("doc_id")]
     chosen = usable.filter("y = 1").orderBy(*order).limit(SAMPLE).unionByName(usable.filter("y = 0").orderBy(*order).limit(SAMPLE))
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("y", "text")
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(sketch, y, text): the least hash of a document's shingles, which copies mostly share."""
+    for batch in batches:
+        words = [x.lower().split() for x in batch["text"]]
+        yield batch.assign(sketch=np.array([min(hash_of(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in words], dtype=np.uint64).view(np.int64))
 
 
 def _stem_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per batch (key, positive, total): documents that hold a stem, and with an empty key those read."""
     for batch in batches:
-        seen, total, positive = set(), Counter(), Counter()
+        total, positive = Counter(), Counter()
         for y, text in zip(batch["y"], batch["text"], strict=True):
-            raw = text.lower().split()
-            sketch = min(hash_of(raw[i : i + 5]) for i in range(max(1, len(raw) - 4)))
-            if sketch in seen:
-                continue
-            seen.add(sketch)
-            words = WORDS.findall(text.lower())
-            stems = {w[:k] for w in set(words) for k in STEM_LENGTHS if k <= len(w)} | {w + "$" for w in set(words)} | {""}
+            words = set(WORDS.findall(text.lower()))
+            stems = {w[:k] for w in words for k in STEM_LENGTHS if k <= len(w)} | {w + "$" for w in words} | {""}
             total.update(stems)
             if y:
                 positive.update(stems)
@@ -137,9 +210,12 @@ def hash_of(words: list[str]) -> int:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """The grammar learned from labelled documents; without labels of both kinds, one without stems, under which all score alike."""
-    sample = _training(docs, labels)
-    stems = sample.mapInPandas(_stem_rows, "stem string, positive long, total long").groupBy("stem").agg(F.sum("positive").alias("a"), F.sum("total").alias("n"))
-    stems = stems.persist()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.write(_training(docs, labels), "sample")
+    # One document for each sketch, so that groups of copies don't make their words look common.
+    single = sample.mapInPandas(_sketched, "y int, text string, sketch long").groupBy("sketch").agg(F.min(F.struct("text", "y")).alias("row")).select("row.*")
+    stems = single.mapInPandas(_stem_rows, "stem string, positive long, total long").groupBy("stem").agg(F.sum("positive").alias("a"), F.sum("total").alias("n"))
+    stems = scratch.write(stems, "stems")
     base = stems.filter("stem = ''").first()
     if base is None or base["a"] == 0 or base["a"] == base["n"]:
         return Grammar()
@@ -148,10 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     share = (a / pos) / (a / pos + b / neg)
     part = lambda seen, rate: F.when(seen > 0, seen * F.log(seen / (F.col("n") * rate))).otherwise(0.0)
     g2 = 2 * (part(a, pos / (pos + neg)) + part(b, neg / (pos + neg)))
-    chosen = stems.filter("stem <> ''").withColumn("g2", g2).filter((g2 >= LEAST_G2) & (share >= LEAST_SHARE)).orderBy(F.desc("g2"), "stem").limit(STEMS).collect()
-    stems.unpersist()
+    least = min(LEAST_G2, pos * math.log((pos + neg) / pos))
+    chosen = stems.filter("stem <> ''").filter((g2 >= least) & (share >= LEAST_SHARE)).select("stem").collect()  # of the sample's words
     grammar = Grammar(frozenset(r["stem"] for r in chosen))
-    rows = sample.mapInPandas(lambda batches: _path_rows(grammar, batches), "y int, paths array<int>").collect()  # at most 2 * SAMPLE short rows
+    rows = sample.mapInPandas(lambda batches: _path_rows(grammar, batches), "y int, paths array<int>").collect()  # a short row a doc_id of the sample
+    scratch.drop(sample, stems)
     grammar.bias, grammar.weights = _logistic(np.log1p(np.array([r["paths"] for r in rows], dtype=float)), np.array([r["y"] for r in rows], dtype=float))
     return grammar
 
@@ -195,7 +272,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns, and the path counts."""
     out = score(docs, fit(docs, labels))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "paths")
 
 
