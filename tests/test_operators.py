@@ -134,9 +134,9 @@ def test_estimation_recovers_consistent_marginals(engine):
     got = [pgm.Measurement(c, joint.sum(axis=tuple(i for i, n in enumerate("abc") if n not in c)).reshape(-1), 1.0) for c in (("a", "b"), ("b", "c"))]
     model = pgm.estimate(domain, got, engine, 3000, tolerance=1e-12)
     for m in got:
-        assert np.abs(model.project(m.clique).reshape(-1) - m.y).sum() < 60
+        assert np.abs(model.project(m.clique).reshape(-1) - m.y).sum() < 3
     expected = np.einsum("ab,bc->ac", joint.sum(2), joint.sum(0) / joint.sum((0, 2))[:, None])
-    assert np.abs(model.project(("a", "c")) - expected).sum() < 60
+    assert np.abs(model.project(("a", "c")) - expected).sum() < 3
     assert np.allclose(model.project(("c", "a")), model.project(("a", "c")).T)
 
 
@@ -144,7 +144,7 @@ def test_estimation_with_groups_and_errors():
     domain = pgm.Domain({"a": 4})
     m = pgm.Measurement(("a",), np.array([10.0, 30.0]), 1.0, {"a": np.array([0, 0, 1, 1])})
     model = pgm.estimate(domain, [m], "MD", 500)
-    assert np.allclose(model.project(("a",)), [5, 5, 15, 15], atol=0.5) and m.curvature() == 2
+    assert np.allclose(model.project(("a",)), [5, 5, 15, 15], atol=0.5)
     with pytest.raises(ValueError, match="answers are needed"):
         pgm.estimate(domain, [pgm.Measurement(("a",), np.zeros(3), 1.0)])
     with pytest.raises(ValueError, match="engine"):
