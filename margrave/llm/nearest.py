@@ -9,9 +9,12 @@ vectors, taken of every node of a query's state that the rounding's bound doesn'
 * Start: a few orders by the signs of random projections, cut into blocks, within which all pairs are compared.
 * A round of NN-descent: every node's list of neighbours and a sample of those that list it are joined with their vectors; of each such
   list, pairs that improve a member's own list go back to that member.  The samples bound what a hub receives; the hub stays in the
-  lists of all others.
-* Search: a query's state is a list of scored nodes.  Each round expands its best nodes not yet expanded, by a join with the adjacency
-  table, which stays partitioned by node; only nodes better than the state's last come back.
+  lists of all others.  Rounds end when few entries of the lists are new.
+* Search: a query's state is a list of scored nodes: first its own and the entries, which are the longest vectors (large inner products
+  are theirs, wherever the query lies) and some others.  Each round expands the best nodes not yet expanded, by a join with the adjacency
+  table, which stays partitioned by node, until each query's best BEAM nodes are all expanded.  So a query costs about BEAM times the
+  nodes around one, however many vectors there are, and a component of the graph that is cut off is reached by its own queries and, from
+  the entries, the others are reached from it.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, fingerprint
 
-#: Neighbours a node keeps; orders and block of the start; rounds of NN-descent; pairs a list returns to one of its members.
-NEIGHBOURS, ORDERS, BLOCK, ROUNDS, RETURNED = 32, 2, 256, 3, 6
-#: Nodes that a query expands in a round, rounds, and scored nodes that it keeps.
-EXPANDED, WALK, KEPT = 64, 9, 640
+#: Neighbours a node keeps; orders and block of the start; pairs a list returns to one of its members.
+NEIGHBOURS, ORDERS, BLOCK, RETURNED = 32, 2, 256, 6
+#: NN-descent ends when a smaller share of the lists' entries is new.
+CHANGED = 0.05
+#: Nodes that a query expands in a round; its best nodes, all of which it expands; scored nodes that it keeps; entries of either kind.
+EXPANDED, BEAM, KEPT, ENTRIES = 32, 128, 640, 32
 PLANES = 24
 LOWEST = float("-inf")
 
@@ -58,7 +63,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _laid_out(nodes: DataFrame, norm: float, width: int, mean: np.ndarray) -> DataFrame:
-    """(id, v, p): the vector with the added component as 32-bit floats, and the signs of the random projections of each order.
+    """(id, v, p, square): the vector with the added component as 32-bit floats, the signs of the random projections of each order, the length.
 
     The scale is the largest norm, so that no square overflows.  Projections are of the vector's direction from the mean.
     """
@@ -73,9 +78,9 @@ def _laid_out(nodes: DataFrame, norm: float, width: int, mean: np.ndarray) -> Da
                 square = (x * x).sum(1)
                 added = square / (1 + np.sqrt(np.clip(1 - square, 0, None)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ORDERS * len(x) + 1, ORDERS), pa.int32()), pa.array(np.stack(codes, 1).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _bytes(np.hstack([x, added[:, None]]).astype(np.float32)), lists], names=["id", "v", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _bytes(np.hstack([x, added[:, None]]).astype(np.float32)), lists, pa.array(square)], names=["id", "v", "p", "square"])
 
-    return nodes.select("id", "e").mapInArrow(run, "id long, v binary, p array<long>")
+    return nodes.select("id", "e").mapInArrow(run, "id long, v binary, p array<long>, square double")
 
 
 def _nearness(x: np.ndarray) -> np.ndarray:
@@ -144,12 +149,12 @@ def _improved(width: int):
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """(u, near): each node's best neighbours (s, v), best first.  A node's edges number at most a few lists' worth.
+    """(u, near): each node's best neighbours (s, v, new), best first.  A node's edges number at most a few lists' worth.
 
     Scores of one pair differ by rounding where they were taken in different groups; the greatest counts.
     """
-    once = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"))
-    return once.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v")), asc=False), 1, NEIGHBOURS).alias("near"))
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    return once.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v", "new")), asc=False), 1, NEIGHBOURS).alias("near"))
 
 
 def _around(lists: DataFrame, salt: int) -> DataFrame:
@@ -167,18 +172,21 @@ def build_graph(scratch: Scratch, nodes: DataFrame, width: int) -> DataFrame:
     # A task with less than a few blocks would leave its nodes few others to start with, or none.
     tasks = max(1, min(parts, nodes.count() * ORDERS // (4 * BLOCK)))
     laid = nodes.select("id", "v", F.posexplode("p").alias("t", "code")).repartitionByRange(tasks, "t", "code", "id").sortWithinPartitions("t", "code", "id")
-    lists = scratch.write(_lists(laid.select("id", "v", "t").mapInArrow(_blocks(width), "u long, v long, s float")), "lists")
-    for turn in range(ROUNDS):
+    first = laid.select("id", "v", "t").mapInArrow(_blocks(width), "u long, v long, s float").withColumn("new", F.lit(1))
+    lists, turn = scratch.write(_lists(first), "lists"), 0
+    while True:
         last = F.when(F.size("near") >= NEIGHBOURS, F.col("near")[NEIGHBOURS - 1]["s"]).otherwise(F.lit(LOWEST))
         known = nodes.select("id", "v").join(lists.select(F.col("u").alias("id"), last.alias("radius")), "id", "left").fillna(LOWEST, ["radius"])
         around = _around(lists, turn).join(known.withColumnRenamed("id", "member"), "member")
         groups = around.groupBy("pivot").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v", "radius")).alias("members"))
-        fresh = groups.select("members").mapInArrow(_improved(width), "u long, v long, s float")
-        old = lists.select("u", F.explode("near").alias("x")).select("u", "x.v", "x.s")
+        fresh = groups.select("members").mapInArrow(_improved(width), "u long, v long, s float").withColumn("new", F.lit(1))
+        old = lists.select("u", F.explode("near").alias("x")).select("u", "x.v", "x.s", F.lit(0).alias("new"))
         new = scratch.write(_lists(old.unionByName(fresh)), "lists")
         scratch.drop(lists)
-        lists = new
-    return lists
+        lists, turn = new, turn + 1
+        seen = lists.select(F.size("near").alias("n"), F.aggregate("near", F.lit(0), lambda s, x: s + x["new"]).alias("new")).agg(F.sum("n").alias("n"), F.sum("new").alias("new")).first()
+        if (seen["new"] or 0) <= CHANGED * (seen["n"] or 0):
+            return lists
 
 
 def _scored(width: int):
@@ -204,29 +212,55 @@ def _scored(width: int):
     return run
 
 
+def _entered(entries: list, width: int):
+    """Rows (q, query) to (q, v, s, done): the query's own node, to be expanded first, and the entries, scored."""
+    ids = np.array([r["id"] for r in entries], dtype=np.int64)
+    x = np.stack([np.frombuffer(r["v"], np.float32) for r in entries])[:, :-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("q").to_numpy()
+            s = np.hstack([np.full((len(own), 1), np.inf, np.float32), _matrix(batch.column("query"), width)[:, :-1] @ x.T])
+            v = np.hstack([own[:, None], np.broadcast_to(ids, (len(own), len(ids)))])
+            hit = v != own[:, None]
+            hit[:, 0] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, hit.sum(1))), pa.array(v[hit]), pa.array(s[hit]), pa.array(np.zeros(int(hit.sum()), bool))], names=["q", "v", "s", "done"])
+
+    return run
+
+
 def _walk(scratch: Scratch, lists: DataFrame, nodes: DataFrame, starts: DataFrame, width: int) -> DataFrame:
     """(q, v, s): the nodes each query has scored best; starts: (q), nodes to search from and for."""
-    around = _around(lists, ROUNDS).join(nodes.select(F.col("id").alias("member"), "v"), "member")
+    around = _around(lists, -1).join(nodes.select(F.col("id").alias("member"), "v"), "member")
     near = around.groupBy("pivot").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v")).alias("near"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Kept where it can be made again from the tables written, should an executor go.
     near = near.repartition(parts, "pivot").persist(StorageLevel.MEMORY_AND_DISK)
     queries = scratch.write(starts.join(nodes.select(F.col("id").alias("q"), F.col("v").alias("query")), "q"), "queries")
-    state = scratch.write(queries.select("q", F.col("q").alias("v"), F.lit(float("inf")).cast("float").alias("s"), F.lit(False).alias("done")), "state")
+    entries = {r["id"]: r for order in (F.desc("square"), F.xxhash64("id")) for r in nodes.select("id", "v", "square").orderBy(order, "id").limit(ENTRIES).collect()}
+    if not entries:
+        return queries.select("q", F.col("q").alias("v"), F.lit(0.0).cast("float").alias("s"))
+    state = scratch.write(queries.select("q", "query").mapInArrow(_entered(list(entries.values()), width), "q long, v long, s float, done boolean"), "state")
     by_score = Window.partitionBy("q").orderBy(F.desc("s"), "v")
-    for turn in range(WALK):
-        ranked = state.withColumn("open", F.when(~F.col("done"), F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("s"), "v"))))
-        # At the radius or beyond it a new node can be among the next to be expanded.
-        radius = state.withColumn("rank", F.row_number().over(by_score)).groupBy("q").agg(F.coalesce(F.min(F.when(F.col("rank") == KEPT // 2, F.col("s"))), F.lit(LOWEST)).alias("radius"))
-        front = ranked.filter(F.col("open") <= EXPANDED)
-        asked = front.select("q", F.col("v").alias("pivot")).join(queries.join(radius, "q"), "q")
-        found = asked.join(near, "pivot").select("q", "query", "radius", "near").mapInArrow(_scored(width), "q long, v long, s float")
-        now = ranked.select("q", "v", "s", (F.col("done") | (F.coalesce("open", F.lit(2**30)) <= EXPANDED)).alias("done"))
+    while True:
+        ranked = state.withColumn("rank", F.row_number().over(by_score))
+        ahead = F.when(~F.col("done") & (F.col("rank") <= BEAM), 1).otherwise(0)
+        ranked = ranked.withColumn("open", ahead).withColumn("turn", F.sum("open").over(by_score.rowsBetween(Window.unboundedPreceding, 0)))
+        ranked = ranked.withColumn("now", (F.col("open") == 1) & (F.col("turn") <= EXPANDED))
+        # At the radius or beyond it a new node can be among those kept.
+        radius = ranked.groupBy("q").agg(F.coalesce(F.min(F.when(F.col("rank") == KEPT // 2, F.col("s"))), F.lit(LOWEST)).alias("radius"))
+        front = scratch.write(ranked.filter("now").select("q", F.col("v").alias("pivot")).join(radius, "q"), "front")
+        if front.isEmpty():
+            near.unpersist()
+            return state.select("q", "v", "s")
+        found = front.join(queries, "q").join(near, "pivot").select("q", "query", "radius", "near").mapInArrow(_scored(width), "q long, v long, s float")
+        now = ranked.select("q", "v", "s", (F.col("done") | F.col("now")).alias("done"))
         both = now.unionByName(found.withColumn("done", F.lit(False))).groupBy("q", "v").agg(F.max("s").alias("s"), F.max("done").alias("done"))
         new = scratch.write(both.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= KEPT).drop("rank"), "state")
-        scratch.drop(state)
+        scratch.drop(state, front)
         state = new
-    near.unpersist()
-    return state.select("q", "v", "s")
 
 
 def search(embeddings: DataFrame, queries: Column, k: int = 20) -> DataFrame:

@@ -3,12 +3,13 @@
 A window is ``WIDTH`` consecutive words.  Its *anchor* is the least hash among its runs of ``GRAM`` words (leftmost if tied), so equal
 windows have equal anchors at equal places, and successive windows mostly share one.  The windows that share an anchor span a stretch of
 text; the index holds a row for each anchor: h, the anchor's hash, and c, the hash of the whole stretch.  That is about a fourteenth of
-a row per word, and equality of (h, c) proves all windows of both stretches equal (two independent 64-bit hashes).
+a row per word.  h tells anchors apart, c the stretches of one anchor, by 64 bits each.
 
 * The index is a set of immutable sorted runs of (h, c, n, first place).  A batch becomes a run, merge-joined with the runs there are to
   tell which of its stretches are known; runs of one level are compacted into one of the next.
-* A stretch with n > 1 is repeated as a whole.  If an anchor occurs in stretches that differ, the windows of one stretch of each kind are
-  compared one by one by 128-bit hashes: that resolves the edges of shared passages.
+* A stretch with n > 1 is taken for repeated as a whole, and verified: its words are read again and hashed by two other functions, 128 bits,
+  which must occur twice, too.  If an anchor occurs in stretches that differ, the windows of one stretch of each kind are compared one by
+  one by 128-bit hashes: that resolves the edges of shared passages.
 * Words covered by a repeated window go.
 """
 
@@ -46,7 +47,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_FIRST, _SECOND = _Powers(_BASE | 1), _Powers(0xC2B2AE3D27D4EB4F | 1)
+_FIRST, _SECOND, _THIRD, _SALT = _Powers(_BASE | 1), _Powers(0xC2B2AE3D27D4EB4F | 1), _Powers(0x165667B19E3779F9), 0x27D4EB2F165667C5
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -125,22 +126,28 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (did, tk, words, spans: list of (i1, i2, n)) to the span's windows, one by one, or where n is 0 to the span as a whole.
+
+    start and stop are the first and last window; w1 and w2 hash the words from the former's first to the latter's last.
+    """
     for batch in _slices(batches):
         words, offsets = _flat(batch.column("words"))
         spans = batch.column("spans")
         counts = np.diff(spans.offsets.to_numpy())
-        fields = [spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("i1", "i2", "n")]
+        i1, i2, n = (spans.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("i1", "i2", "n"))
         row = np.repeat(np.arange(len(counts)), counts)
-        lengths = (fields[1] - fields[0] + 1).astype(np.int64)
-        which = np.repeat(np.arange(len(row)), lengths)
-        start = fields[0][which] + np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = start + offsets[:-1][row[which]]
-        w1 = Rolling(words, _FIRST).span(place, place + WIDTH)
-        w2 = Rolling(mixed(words), _SECOND).span(place, place + WIDTH)
-        rows = pa.array(row[which])
+        rows = np.where(n > 0, i2 - i1 + 1, 1)
+        which = np.repeat(np.arange(len(row)), rows)
+        start = i1[which] + np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows)
+        stop = np.where(n[which] > 0, start, i2[which])
+        base = offsets[:-1][row[which]]
+        first, last = start + base, stop + base + WIDTH
+        w1 = Rolling(mixed(words ^ _U(_SALT)), _THIRD).span(first, last)
+        w2 = Rolling(mixed(words), _SECOND).span(first, last)
+        at = pa.array(row[which])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("did").take(rows), batch.column("tk").take(rows), pa.array(start.astype(np.int32)), pa.array(fields[2][which].astype(np.int64)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))],
-            names=["did", "tk", "start", "n", "w1", "w2"],
+            [batch.column("did").take(at), batch.column("tk").take(at), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(n[which]), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))],
+            names=["did", "tk", "start", "stop", "n", "w1", "w2"],
         )
 
 
@@ -218,15 +225,17 @@ def repeated_stretches(docs: DataFrame, batches: int = 3) -> DataFrame:
     hits = places.join(marked, ["h", "c"]).select(*KEY, "i1", "i2", "n", (F.col("several") & (F.col("did") == F.col("first"))).alias("asked"))
     hits = scratch.write(hits, "hits")
     scratch.drop(places, *index.runs())
-    whole = hits.filter("n > 1").select(*KEY, "i1", "i2")
-    mixed_spans = hits.filter("asked").select(*KEY, F.struct("i1", "i2", "n").alias("span"))
-    asked = mixed_spans.groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
+    # A span with n = 0 is to be verified as a whole, with the windows of the others.
+    span = lambda n: F.struct("i1", "i2", n.cast("long").alias("n"))
+    spans = F.array_compact(F.array(F.when(F.col("n") > 1, span(F.lit(0))), F.when(F.col("asked"), span(F.col("n")))))
+    asked = hits.select(*KEY, F.explode(spans).alias("span")).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
     texts = keyed.join(asked, KEY).dropDuplicates(KEY)
-    windows = _hashed(texts).select(*KEY, "spans", "words").mapInArrow(_window_batches, "did long, tk int, start int, n long, w1 long, w2 long")
+    windows = _hashed(texts).select(*KEY, "spans", "words").mapInArrow(_window_batches, "did long, tk int, start int, stop int, n long, w1 long, w2 long")
     windows = scratch.write(windows, "windows")
-    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).filter("total > 1").select("w1", "w2")
-    single = windows.filter("n = 1").join(again, ["w1", "w2"]).select(*KEY, F.col("start").alias("i1"), F.col("start").alias("i2"))
-    return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("i1", "i2")).alias("spans"))
+    scratch.drop(hits)
+    again = windows.groupBy((F.col("n") == 0).alias("whole"), "w1", "w2").agg(F.sum(F.greatest("n", F.lit(1))).alias("total")).filter("total > 1").drop("total")
+    repeated = windows.filter("n < 2").withColumn("whole", F.col("n") == 0).join(again, ["whole", "w1", "w2"]).select(*KEY, F.col("start").alias("i1"), F.col("stop").alias("i2"))
+    return repeated.groupBy(*KEY).agg(F.collect_list(F.struct("i1", "i2")).alias("spans"))
 
 
 def _kept(text: str, spans) -> tuple[int, int, bytes]:
