@@ -16,9 +16,14 @@ from .marginals import marginals, powerset
 from .split import stratified_folds
 
 
+#: Parts of [0, 1] by which probabilities are ranked.
+BUCKETS = 1024
+
+
 def marginal_errors(test: DataFrame, synth: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     """(clique, error): the total-variation distance of each k-way marginal, synthetic counts scaled to the test's number of rows."""
     cliques = powerset(names, k, k)
+    # Cells of both sides are few beside the rows; the two aggregations that follow read them, each once.
     both = marginals(test.select(*names, F.lit(1).alias("src")).unionByName(synth.select(*names, F.lit(0).alias("src"))), cliques, ["src"])
     totals = both.groupBy("clique", "src").agg(F.sum("cnt").alias("n"))
     sizes = totals.groupBy("clique").agg(F.max(F.when(F.col("src") == 1, F.col("n"))).alias("nt"), F.max(F.when(F.col("src") == 0, F.col("n"))).alias("ns"))
@@ -41,8 +46,14 @@ def binary_metrics(df: DataFrame, label: str, prob: str, by: Sequence[str] = ())
     AUC is Mann and Whitney's, ties counted half.  Equal probabilities are counted first, so the running sums are over distinct values.
     """
     counts = df.groupBy(*by, prob).agg(F.sum(F.col(label)).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
-    below = Window.partitionBy(*by).orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    # Probabilities are cut into BUCKETS, so that no task sorts all distinct ones: a bucket's offset and the running sum in the bucket.
+    counts = counts.withColumn("_bucket", F.least(F.greatest(F.floor(F.col(prob) * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int"))
+    in_bucket = Window.partitionBy(*by, "_bucket").orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*by, "_bucket").agg(F.sum("neg").alias("_neg"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a group
+    offsets = sums.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_bucket").alias("_at"), F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by] + [F.col("_bucket") == F.col("_at")]
+    ranked = counts.withColumn("_in", F.coalesce(F.sum("neg").over(in_bucket), F.lit(0))).join(offsets, same).withColumn("neg_below", F.col("_in") + F.col("_before"))
     p, pos, neg = F.col(prob), F.col("pos"), F.col("neg")
     tp, fp = F.sum(F.when(p >= 0.5, pos).otherwise(0)), F.sum(F.when(p >= 0.5, neg).otherwise(0))
     n_pos, n_neg = F.sum("pos"), F.sum("neg")
@@ -108,17 +119,33 @@ def by_budget(results: DataFrame) -> DataFrame:
     return present.groupBy("mu").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), (F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("std_error"))
 
 
-def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(v): Cramer's V of two columns, without bias correction, from their two-way marginal.
+def associations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, v): Cramer's V of pairs of columns, without bias correction, from their two-way marginals, which one scan counts.
 
     The cells without rows add their expected counts to the statistic, which are what the occupied cells leave of the total.
     """
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    w = lambda *c: F.sum("n").over(Window.partitionBy(*c))
-    margins = cells.select("n", w(a).alias("na"), w(b).alias("nb"), a, b)
-    total, levels = df.count(), cells.agg(F.countDistinct(a).alias("la"), F.countDistinct(b).alias("lb"))
-    chi = margins.agg(F.sum(F.col("n") * F.col("n") * F.lit(float(total)) / (F.col("na") * F.col("nb"))).alias("s"))
-    return chi.crossJoin(levels).select(F.sqrt((F.col("s") - total) / (total * F.least(F.col("la") - 1, F.col("lb") - 1))).alias("v"))  # one row each
+    split = F.split("cell", "\\|")
+    cells = marginals(df, pairs).select("clique", split[0].alias("x"), split[1].alias("y"), F.col("cnt").cast("double").alias("n"))
+    w = lambda *c: F.sum("n").over(Window.partitionBy("clique", *c))
+    margins = cells.select("clique", "x", "y", "n", w("x").alias("nx"), w("y").alias("ny"), w().alias("total"))
+    terms = margins.groupBy("clique").agg(F.sum(F.col("n") * F.col("n") * F.col("total") / (F.col("nx") * F.col("ny"))).alias("s"), F.max("total").alias("total"), F.countDistinct("x").alias("lx"), F.countDistinct("y").alias("ly"))
+    names = F.split("clique", "\\|")
+    v = F.sqrt((F.col("s") - F.col("total")) / (F.col("total") * F.least(F.col("lx") - 1, F.col("ly") - 1)))
+    return terms.select(names[0].alias("a"), names[1].alias("b"), v.alias("v"))
+
+
+def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(v) of one pair."""
+    return associations(df, [(a, b)]).select("v")
+
+
+def correlation_ratio(df: DataFrame, category: str, number: str) -> DataFrame:
+    """(v): the root of the share of a number's variance that lies between the levels of a category."""
+    rows = df.filter(F.col(category).isNotNull() & F.col(number).isNotNull())
+    sums = rows.groupBy(category).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(number).alias("mean"), F.var_pop(number).alias("var"))
+    total = sums.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("m"), F.sum(F.col("n") * F.col("var")).alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("squares"))
+    between = F.col("squares") - F.col("n") * F.col("m") * F.col("m")
+    return total.select(F.sqrt(F.try_divide(F.greatest(between, F.lit(0.0)), F.greatest(between, F.lit(0.0)) + F.col("within"))).alias("v"))
 
 
 def histogram(df: DataFrame, column: str, low: float, width: float, by: Sequence[str] = ()) -> DataFrame:

@@ -32,13 +32,17 @@ def clique_key(names: Sequence[str]) -> str:
 
 
 def marginals(df: DataFrame, cliques: Sequence[Sequence[str]], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., clique, cell, cnt) of all sets, by GROUPING SETS: one scan for each SETS of them, combined before the shuffle."""
-    parts = []
+    """(by..., clique, cell, cnt) of all sets: the rows are counted once by all their columns, and GROUPING SETS expand those cells.
+
+    The first count combines before its shuffle, so what each of the SETS multiplies are the cells that occur, not the rows.
+    """
+    parts, every = [], list(dict.fromkeys([*by, *sorted({n for c in cliques for n in c})]))
+    df = df.groupBy(*every).agg(F.count(F.lit(1)).alias("_rows"))
     for at in range(0, len(cliques), SETS):
         sets = [tuple(c) for c in cliques[at : at + SETS]]
         names = sorted({n for c in sets for n in c})
         grouped = df.groupingSets([[F.col(x) for x in (*by, *c)] for c in sets], *[F.col(x) for x in (*by, *names)])
-        counts = grouped.agg(F.count(F.lit(1)).alias("cnt"), *[F.grouping(n).alias(f"_g_{n}") for n in names])
+        counts = grouped.agg(F.sum("_rows").alias("cnt"), *[F.grouping(n).alias(f"_g_{n}") for n in names])
         clique, cell = None, None
         for c in sets:  # which set a row is of shows in the columns that are grouped
             here = reduce(lambda a, b: a & b, [F.col(f"_g_{n}") == int(n not in c) for n in names])

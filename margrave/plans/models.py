@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pgm, privacy, selection
+from ..operators import discretize, pgm, privacy, selection
+from ..operators.discretize import Bin
 from ..operators.marginals import clique_key, marginals, powerset
 
 
@@ -31,6 +32,8 @@ class Settings:
     iterations: int = 1000
     engine: str = "IG"
     seed: int = 1
+    #: The share of mu squared that goes to merging levels before anything else, where a plan is given the bins.
+    merge_share: float = 0.1
 
     def __post_init__(self) -> None:
         if self.method not in selection.METHODS:
@@ -47,19 +50,89 @@ class Answers:
         found = marginals(coded, workload, ["client_id"]).collect()
         self.clients = sorted({r["client_id"] for r in found})
         by_key = {clique_key(c): tuple(c) for c in workload}
+        self.noisy_sums: dict[int, list[tuple[float, int, float]]] = {c: [] for c in self.clients}
+        without: dict[str, int] = {}
         for r in found:
             clique = by_key[r["clique"]]
+            codes = r["cell"].split("|")
+            if "" in codes:
+                if len(clique) == 1:
+                    without[clique[0]] = without.get(clique[0], 0) + r["cnt"]
+                continue
             table = self.tables.setdefault((r["client_id"], clique), np.zeros(domain.shape(clique)))
-            table[tuple(int(x) for x in r["cell"].split("|"))] = r["cnt"]
+            table[tuple(map(int, codes))] = r["cnt"]
+        if without:
+            raise ValueError(f"rows without a level (of the specification) by column: {without}")
 
     def of(self, client: int, clique: Sequence[str]) -> np.ndarray:
         return self.tables.get((client, tuple(clique)), np.zeros(self.domain.shape(clique)))
 
-    def measured(self, clique: tuple[str, ...], mu: float, rng: np.random.Generator) -> pgm.Measurement:
-        """The sum of the clients' noisy answers."""
-        sigma = 1 / mu
-        noisy = [self.of(c, clique) + rng.normal(0, sigma, self.domain.shape(clique)) for c in self.clients]
-        return pgm.Measurement(clique, sum(noisy).reshape(-1), sigma * math.sqrt(len(self.clients)))
+    def measured(self, clique: tuple[str, ...], mu: float, rng: np.random.Generator, groups: dict[str, np.ndarray] | None = None) -> pgm.Measurement:
+        """The sum of the clients' noisy answers, over groups of levels where there are some."""
+        sigma, total = 1 / mu, 0.0
+        bare = pgm.Measurement(clique, np.zeros(0), sigma, {n: g for n, g in (groups or {}).items() if n in clique})
+        for client in self.clients:
+            answer = bare.answer(self.of(client, clique))
+            noisy = answer + rng.normal(0, sigma, answer.shape)
+            self.noisy_sums[client].append((float(noisy.sum()), len(noisy), sigma))
+            total = total + noisy
+        return pgm.Measurement(clique, total, sigma * math.sqrt(len(self.clients)), bare.groups)
+
+    def client_sizes(self) -> dict[int, float]:
+        """Each client's number of rows from its noisy answers so far, by least variance; nothing new is released."""
+        out = {}
+        for client, sums in self.noisy_sums.items():
+            weights = [1 / (n * sigma * sigma) for _, n, sigma in sums]
+            out[client] = max(1.0, sum(w * total for w, (total, _, _) in zip(weights, sums, strict=True)) / sum(weights))
+        return out
+
+
+def merged_levels(answers: Answers, bins: dict[str, Sequence[Bin]], mu: float, mu_measure: float, rng: np.random.Generator) -> tuple[list[pgm.Measurement], dict[str, np.ndarray]]:
+    """Noisy counts for merging, and the group of each level by column; all columns together cost mu.
+
+    A column whose range bins halve evenly is counted in halves, quarters and so on, and each part below the threshold becomes one group;
+    the counts of every round and of the bins are measurements.  Other columns of three levels or more are counted once, and those below
+    the threshold become one group.  Bins for zeros and missing values stay as they are.
+    """
+    names = answers.domain.attrs
+    threshold = discretize.merge_threshold(len(names), mu_measure, len(answers.clients))
+    found, groups = [], {}
+    for name in names:
+        own = mu / math.sqrt(len(names))
+        size, ranges = answers.domain[name], [b.id for b in bins[name] if b.kind == "range"]
+        rounds = len(ranges).bit_length() - 1
+        if len(ranges) >= 4 and len(ranges) == 1 << rounds:
+            rest = [i for i in range(size) if i not in ranges]
+            sigma, last = discretize.round_sigmas(own, rounds)
+            counts = []
+            for r in range(1, rounds + 1):
+                of = np.zeros(size, dtype=int)
+                of[ranges] = np.arange(len(ranges)) >> (rounds - r)
+                of[rest] = (1 << r) + np.arange(len(rest))
+                found.append(answers.measured((name,), 1 / sigma, rng, {name: of}))
+                counts.append(found[-1].y[: 1 << r])
+            found.append(answers.measured((name,), 1 / last, rng))
+            parts = [[ranges[c] for c in cells] for cells in discretize.merged_groups(counts, len(ranges), threshold)] + [[i] for i in rest]
+        elif size > 2:
+            found.append(answers.measured((name,), own, rng))
+            to = discretize.pooled_levels(dict(zip(map(str, range(size)), found[-1].y, strict=True)), threshold)
+            other = [i for i in range(size) if to[str(i)] == "other"]
+            parts = [[i] for i in range(size) if i not in other] + [other] * bool(other)
+        else:
+            continue
+        if len(parts) < size:
+            groups[name] = np.zeros(size, dtype=int)
+            for g, cells in enumerate(parts):
+                groups[name][cells] = g
+    return found, groups
+
+
+def _begun(answers: Answers, settings: Settings, ledger: privacy.Ledger, bins: dict[str, Sequence[Bin]] | None, mu_measure: float, rng: np.random.Generator) -> tuple[list[pgm.Measurement], dict[str, np.ndarray], float]:
+    """What merging measures, its groups, and the budget that is left for the plan."""
+    if bins is None:
+        return [], {}, settings.mu
+    mu = ledger.charge("levels", math.sqrt(settings.merge_share) * settings.mu)
+    return *merged_levels(answers, bins, mu, mu_measure, rng), ledger.left
 
 
 def _scores(answers: Answers, client: int, cliques: Sequence[tuple[str, ...]], model: pgm.Model, fraction: float, mu: float, method: str) -> dict[tuple[str, ...], float]:
@@ -83,26 +156,28 @@ def _rng(settings: Settings, noise: privacy.Noise) -> np.random.Generator:
     return np.random.default_rng(None if noise.private else [settings.seed, noise.seed])
 
 
-def fit_independent(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise) -> tuple[pgm.Model, privacy.Ledger]:
-    """One-way marginals alone, each with an equal part of the budget."""
+def fit_independent(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise, bins: dict[str, Sequence[Bin]] | None = None) -> tuple[pgm.Model, privacy.Ledger]:
+    """One-way marginals alone, each with an equal part of the budget; with bins, over merged levels."""
     ledger, rng = privacy.Ledger(settings.mu), _rng(settings, noise)
     ones = [(a,) for a in domain.attrs]
     answers = Answers(coded, domain, ones)
-    got = [answers.measured(c, ledger.charge("one-way", m), rng) for c, m in zip(ones, privacy.split_budget(settings.mu, [1.0] * len(ones)), strict=True)]
+    got, groups, mu = _begun(answers, settings, ledger, bins, settings.mu, rng)
+    got += [answers.measured(c, ledger.charge("one-way", m), rng, groups) for c, m in zip(ones, privacy.split_budget(mu, [1.0] * len(ones)), strict=True)]
     return pgm.estimate(domain, got, settings.engine, settings.iterations), ledger
 
 
-def fit_tree(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise) -> tuple[pgm.Model, privacy.Ledger, list[tuple[str, str]]]:
+def fit_tree(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise, bins: dict[str, Sequence[Bin]] | None = None) -> tuple[pgm.Model, privacy.Ledger, list[tuple[str, str]]]:
     """The static tree: one-way model, a private spanning tree at each client, the clients' vote, the tree's marginals, the final model."""
     ledger, rng = privacy.Ledger(settings.mu), _rng(settings, noise)
-    mu_one, mu_select, mu_edges = privacy.proportional(settings.mu, settings.shares)
     ones, pairs = [(a,) for a in domain.attrs], powerset(domain.attrs, 2, 2)
     answers = Answers(coded, domain, [*ones, *pairs])
-    got = [answers.measured(c, m, rng) for c, m in zip(ones, privacy.split_budget(mu_one, [1.0] * len(ones)), strict=True)]
+    got, groups, mu = _begun(answers, settings, ledger, bins, math.sqrt(settings.shares[2]) * settings.mu, rng)
+    mu_one, mu_select, mu_edges = privacy.proportional(mu, settings.shares)
+    got += [answers.measured(c, m, rng, groups) for c, m in zip(ones, privacy.split_budget(mu_one, [1.0] * len(ones)), strict=True)]
     ledger.charge("one-way", mu_one)
     first = pgm.estimate(domain, got, settings.engine, settings.iterations)
 
-    sizes = {c: max(1.0, float(answers.of(c, ones[0]).sum() + rng.normal(0, 1 / mu_one))) for c in answers.clients}
+    sizes = answers.client_sizes()
     total, votes = sum(sizes.values()), {}
     for client in answers.clients:
         f = sizes[client] / total
@@ -111,12 +186,12 @@ def fit_tree(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: pr
             votes[edge] = votes.get(edge, 0.0) + f
     ledger.charge("selection", mu_select)
     tree = selection.spanning_tree(votes)
-    got += [answers.measured(e, m, rng) for e, m in zip(tree, privacy.split_budget(mu_edges, [1.0] * len(tree)), strict=True)]
+    got += [answers.measured(e, m, rng, groups) for e, m in zip(tree, privacy.split_budget(mu_edges, [1.0] * len(tree)), strict=True)]
     ledger.charge("edges", mu_edges)
     return pgm.estimate(domain, got, settings.engine, settings.iterations, warm=first), ledger, tree
 
 
-def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise, rounds: int | None = None) -> tuple[pgm.Model, privacy.Ledger, list[tuple[str, ...]]]:
+def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise, rounds: int | None = None, bins: dict[str, Sequence[Bin]] | None = None) -> tuple[pgm.Model, privacy.Ledger, list[tuple[str, ...]]]:
     """The iterative choice: rounds of nomination by clients (exponential mechanism), choice by noisy maximum, measurement and a new model.
 
     A round whose model moves less than its noise would doubles the next rounds' budget (squared); the last round spends what is left.
@@ -125,15 +200,16 @@ def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, nois
     ones = [(a,) for a in domain.attrs]
     workload = powerset(domain.attrs, 1, settings.degree)
     answers = Answers(coded, domain, workload)
-    mu_one = math.sqrt(0.2) * settings.mu
-    got = [answers.measured(c, m, rng) for c, m in zip(ones, privacy.split_budget(mu_one, [1.0] * len(ones)), strict=True)]
+    got, groups, mu = _begun(answers, settings, ledger, bins, math.sqrt(0.8) * settings.mu, rng)
+    mu_one = math.sqrt(0.2) * mu
+    got += [answers.measured(c, m, rng, groups) for c, m in zip(ones, privacy.split_budget(mu_one, [1.0] * len(ones)), strict=True)]
     ledger.charge("one-way", mu_one)
     model = pgm.estimate(domain, got, settings.engine, settings.iterations)
     n_clients, chosen = len(answers.clients), []
-    mu_step = math.sqrt(0.8 * settings.mu**2 / (rounds or 10 * len(ones)))
-    sizes = {c: max(1.0, float(answers.of(c, ones[0]).sum())) for c in answers.clients}
-    total = sum(sizes.values())
+    mu_step = math.sqrt(0.8 * mu**2 / (rounds or 10 * len(ones)))
     while ledger.left > 1e-6:
+        sizes = answers.client_sizes()
+        total = sum(sizes.values())
         mu_step = ledger.left if ledger.left**2 < 2 * mu_step**2 else mu_step
         nominate, choose, measure = privacy.proportional(mu_step, (0.1, 0.1, 0.8))
         open_sets = selection.candidates(domain, workload, chosen, model.total, measure, ledger.spent / settings.mu, n_clients, settings.max_mb, settings.theta)
@@ -148,7 +224,7 @@ def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, nois
         sums = {c: sum(_scores(answers, k, [c], model, sizes[k] / total, measure, settings.method)[c] for k in answers.clients) for c in sorted(named)}
         best = max(sums, key=lambda c: sums[c] + rng.normal(0, math.sqrt(n_clients) / choose))
         before = model.project(best)
-        got.append(answers.measured(best, measure, rng))
+        got.append(answers.measured(best, measure, rng, groups))
         ledger.charge("|".join(best), mu_step)
         chosen.append(best)
         model = pgm.estimate(domain, got, settings.engine, settings.iterations, warm=model)

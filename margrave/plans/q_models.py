@@ -80,11 +80,13 @@ def cramers_v(spark, d):
 
 
 def association_matrix(spark, d):
-    coded, out = coded_lineitem(spark, d), None
-    for a, b in M.powerset(["flag", "status", "disc", "tax"], 2, 2):
-        one = E.cramers_v(coded, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col("v")).alias("v"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    got = E.associations(coded_lineitem(spark, d), M.powerset(["flag", "status", "disc", "tax"], 2, 2))
+    return got.select("a", "b", r6(F.col("v")).alias("v"))
+
+
+def association_mixed(spark, d):
+    """Order priority (a category) with total price (a number)."""
+    return E.correlation_ratio(table(spark, d, "orders"), "o_orderpriority", "o_totalprice").select(r6(F.col("v")).alias("v"))
 
 
 def histogram(spark, d):
@@ -183,7 +185,7 @@ def streaming_counts(spark, d):
     return spark.table(name)
 
 
-QUERIES = {f.__name__: f for f in (pgm_independent, pgm_tree_fit, pgm_iterative_fit, synth_independent, synth_tree, marginal_error_1, marginal_error_2, metrics_kernel, cramers_v, association_matrix, histogram, results_by_mu)}
+QUERIES = {f.__name__: f for f in (pgm_independent, pgm_tree_fit, pgm_iterative_fit, synth_independent, synth_tree, marginal_error_1, marginal_error_2, metrics_kernel, cramers_v, association_matrix, association_mixed, histogram, results_by_mu)}
 QUERIES |= {f"discriminator_{k}": _discriminator(m) for k, m in (("lr", "logistic"), ("rf", "forest"))} | {f"utility_{k}": _utility(m) for k, m in (("lr", "logistic"), ("rf", "forest"))}
 QUERIES |= {f.__name__: f for f in (gan_encode, gan_decode, gan_modes, gan_train, csv_round_trip, streaming_counts)}
 
@@ -221,6 +223,7 @@ SELECT round((tp + nn - fp) / (np + nn), 6) AS accuracy, round(brier, 6) AS brie
        round(tp / (tp + fp), 6) AS precision, round(tp / np, 6) AS recall, round((sr - np * (np + 1) / 2) / (np * nn), 6) AS auc FROM a""",
     "cramers_v": f"SELECT round(({_v('orders', 'o_orderstatus', 'o_orderpriority')}), 6) AS v",
     "association_matrix": f"WITH {CODED} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(({_v('coded', a, b)}), 6) AS v" for a, b in M.powerset(["flag", "status", "disc", "tax"], 2, 2)),
+    "association_mixed": "WITH g AS (SELECT o_orderpriority, count(*)::DOUBLE AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders GROUP BY 1), t AS (SELECT sum(n * m) / sum(n) AS mm FROM g), b AS (SELECT sum(n * (m - mm) * (m - mm)) AS b, sum(n * v) AS w FROM g, t) SELECT round(sqrt(b / (b + w)), 6) AS v FROM b",
     "histogram": "SELECT event_type, CAST(floor(value / 20.0) AS BIGINT) AS bucket, count(*) AS cnt, round(count(*) / (sum(count(*)) OVER (PARTITION BY event_type) * 20.0::DOUBLE), 9) AS density FROM events GROUP BY 1, 2",
     "results_by_mu": "WITH r AS (SELECT CAST(user_id % 4 AS INTEGER) AS mu, CASE WHEN value >= 1 THEN value END AS value FROM events) SELECT mu, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS least, round(max(value), 6) AS most, round(stddev_pop(value) / sqrt(count(value)), 6) AS std_error FROM r GROUP BY 1",
     "gan_encode": f"WITH {_SLOTS} SELECT event_id, round(s, 9) AS scalar, CAST(slot AS INTEGER) AS slot FROM z",
