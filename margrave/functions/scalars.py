@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Levels that a categorical column may have.
+MOST_LEVELS = 100_000
 #: Stand-ins for missing values in encoded tables (fixed values).
 MISSING_NUMBER, MISSING_TEXT = -9999999.0, "empty"
 
@@ -70,6 +72,19 @@ def without_stand_in(x: Column, kind: str) -> Column:
     return F.when(x != F.lit(MISSING_NUMBER if kind == "number" else MISSING_TEXT), x)
 
 
+def levels(df: DataFrame, column: str, code: str) -> DataFrame:
+    """(column, code): the distinct values in order, numbered from 0.  A category of more than MOST_LEVELS is an error."""
+    distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    if (n := distinct.count()) > MOST_LEVELS:
+        raise ValueError(f"{column} has {n} levels, more than the {MOST_LEVELS} of a category")
+    return distinct.select(column, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1).cast("int").alias(code))
+
+
+def level_codes(df: DataFrame, column: str, code: str) -> DataFrame:
+    """df with the number of its value's level, null for a null."""
+    return df.join(levels(df, column, code), column, "left")
+
+
 def keyed_hash(seed: int | str, *keys: Column | str, start: int = 1) -> Column:
     """32 bits of md5(seed|key|...), from hex digit ``start``, as a long."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]

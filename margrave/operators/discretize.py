@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, keyed_hash
@@ -117,13 +117,37 @@ def bins_table(spark: SparkSession, bins: dict[str, list[Bin]]) -> DataFrame:
 def quantile_cuts(df: DataFrame, column: str, n: int = 32, positive: bool = False) -> list[float]:
     """Cuts halfway between the distinct exact quantiles 1/n .. 1 of the present (positive) values."""
     x = F.col(column).cast("double")
-    rows = df.filter(~is_missing(x) & ((x > 0) if positive else F.lit(True)))
-    got = rows.agg(F.percentile(column, [i / n for i in range(1, n + 1)])).first()[0] or []
+    got = exact_percentiles(df.filter(~is_missing(x) & ((x > 0) if positive else F.lit(True))), column, [i / n for i in range(1, n + 1)])
     levels = sorted(set(got))
     cuts = [(a + b) / 2 for a, b in zip(levels, levels[1:], strict=False)]
     return [NUDGE, *cuts] if positive else cuts
 
 
+def exact_percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
+    """Exact percentiles, interpolated between neighbours; none of no rows.
+
+    Distinct values are counted, cut into parts by approximate quantiles, and ranked by their part's offset and their place in it: only
+    the values at the ranks asked for come to the driver, and no task holds all distinct values.
+    """
+    x = F.col(column).cast("double")
+    facts = df.agg(F.count(x).alias("n"), F.percentile_approx(x, [i / 64 for i in range(1, 64)], 1000).alias("cuts")).first()
+    if not facts["n"]:
+        return []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(facts["cuts"]))])
+    counts = df.filter(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("part", F.aggregate(cuts, F.lit(0), lambda s, c: s + (F.col("v") > c).cast("int")))
+    sums = counts.groupBy("part").agg(F.sum("n").alias("sum"))
+    before = sums.select("part", (F.sum("sum").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("sum")).alias("before"))  # a row a part
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v")) - 1
+    places = [(facts["n"] - 1) * p for p in shares]
+    wanted = F.array(*[F.lit(r) for r in sorted({r for p in places for r in (math.floor(p), math.ceil(p))})])
+    ranked = counts.join(before, "part").withColumn("last", last)
+    hit = ranked.filter(F.exists(wanted, lambda r: (r <= F.col("last")) & (r > F.col("last") - F.col("n")))).select("v", "last").collect()
+    ordered = sorted((r["last"], r["v"]) for r in hit)
+    at = lambda rank: next(v for end, v in ordered if rank <= end)
+    return [at(math.floor(p)) if p == math.floor(p) else (math.ceil(p) - p) * at(math.floor(p)) + (p - math.floor(p)) * at(math.ceil(p)) for p in places]
+
+
 def quantile_code(x: Column, cuts: Sequence[float]) -> Column:
     """How many cuts are below x; one more than the last code for missing values."""
     below = reduce(lambda s, c: s + (x > F.lit(float(c))).cast("int"), cuts, F.lit(0))

@@ -95,11 +95,11 @@ def _scored(fitted, df: DataFrame) -> DataFrame:
     return fitted.transform(df).withColumn("prob", vector_to_array("probability")[1])
 
 
-def discriminator(real: DataFrame, synth: DataFrame, features: Sequence[str], model: str = "logistic", folds: int = 3, seed: int = 1, trees: int = 50) -> DataFrame:
+def discriminator(real: DataFrame, synth: DataFrame, features: Sequence[str], model: str = "logistic", folds: int = 3, seed: int = 1, trees: int = 500) -> DataFrame:
     """(accuracy, neg_brier, skill): how well a classifier tells real from synthetic rows, the mean over stratified folds."""
     rows = real.select(*features, F.lit(0).alias("label")).unionByName(synth.select(*features, F.lit(1).alias("label")))
     dealt = stratified_folds(rows.withColumn("_id", F.monotonically_increasing_id()), "label", folds, seed, ["_id"]).persist()
-    scored = []
+    scored = []  # each fold's model is fitted here, once; what remains lazy is the scoring
     for k in range(folds):
         fitted = _classifier(model, features, trees).fit(dealt.filter(F.col("fold") != k))
         scored.append(_scored(fitted, dealt.filter(F.col("fold") == k)).select("label", "prob", "fold"))
@@ -107,7 +107,7 @@ def discriminator(real: DataFrame, synth: DataFrame, features: Sequence[str], mo
     return got.agg(F.avg("accuracy").alias("accuracy"), (-F.avg("brier")).alias("neg_brier"), (1 - 4 * F.avg("brier")).alias("skill"))
 
 
-def utility(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: str = "logistic", trees: int = 50) -> DataFrame:
+def utility(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: str = "logistic", trees: int = 250) -> DataFrame:
     """binary_metrics on test of a classifier trained on train (synthetic or real rows)."""
     name = lambda df: df.select(*features, F.col(label).cast("int").alias("label"))
     return binary_metrics(_scored(_classifier(model, features, trees).fit(name(train)), name(test)), "label", "prob")

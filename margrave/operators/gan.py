@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from ..spec import ColumnSpec
+from . import discretize, privacy, synth
 from .privacy import gan_sigma
 
 #: Components below this weight are dropped; encoded scalars keep within this bound; their unit is this many standard deviations.
@@ -48,6 +50,20 @@ def fit_modes(df: DataFrame, column: str, most: int = 10, modal: Sequence[float]
     return Modes(tuple(w / total for w, _, _ in kept), tuple(m for _, m, _ in kept), tuple(s for _, _, s in kept), tuple(modal))
 
 
+def private_modes(df: DataFrame, column: ColumnSpec, ledger: privacy.Ledger, mu: float, noise: privacy.Noise, most: int = 10, rows: int = 10_000, modal: Sequence[float] = (), seed: int = 1) -> Modes:
+    """Modes fitted to rows drawn from a noisy one-way marginal over the column's public bins: no row of df is seen otherwise."""
+    ledger.charge(f"modes of {column.name}", mu)
+    bins = discretize.bins_of(column)
+    coded = df.select(discretize.code(F.col(f"`{column.name}`"), bins).alias("bin")).filter("bin is not null")
+    every = df.sparkSession.range(len(bins)).select(F.col("id").cast("int").alias("bin"))
+    counts = every.join(F.broadcast(coded.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("cnt"))  # a row a bin
+    noisy = {r["bin"]: max(r["y"], 0.0) for r in noise.add(counts, 1 / mu, ["bin"]).collect()}
+    p = np.array([noisy[b.id] for b in bins]) + 1e-9
+    drawn = synth.sampled(df.sparkSession, rows, [("bin", (), p / p.sum())], seed)
+    value = discretize.decoded(F.col("bin"), column, bins, f"{seed}|modes", "id").alias(column.name)
+    return fit_modes(drawn.select(value), column.name, most, modal, seed)
+
+
 def encoded(x: Column, modes: Modes, seed: int | str, *keys: str) -> tuple[Column, Column]:
     """(scalar, slot): the mode is drawn by its responsibility for x, by keyed hash; modal values have the slots after the modes."""
     density = [F.lit(w / s) * F.exp(-0.5 * ((x - F.lit(m)) / F.lit(s)) ** 2) + F.lit(1e-300) for w, m, s in zip(modes.weights, modes.means, modes.stds, strict=True)]

@@ -26,12 +26,13 @@ def sample_n(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame
     return df.orderBy(*shuffled(seed, *keys)).limit(n)
 
 
-def numbered(df: DataFrame, seed: int, keys: Sequence[str], within: Sequence[str] = (), name: str = "rn", buckets: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, seed: int, keys: Sequence[str], within: Sequence[str] = (), name: str = "rn", buckets: int | None = None) -> DataFrame:
     """df with the rank (from 1) of each row in the hash order, within groups.
 
     The first bits of the hash cut each group into buckets; a rank is the rows in the group's earlier buckets plus the rank in the bucket.
-    No task holds more than a bucket's rows, whatever the group's size.
+    No task holds more than a bucket's rows, whatever the group's size: buckets hold about 2^20 rows each, and are 1,024 at least.
     """
+    buckets = buckets or min(1 << 20, max(1024, 1 << (df.count() >> 20).bit_length()))
     order = shuffled(seed, *keys)
     bucket = F.floor(keyed_hash(seed, *keys) / F.lit(2**32 // buckets)).cast("int")
     cut = df.withColumn("_bucket", bucket)

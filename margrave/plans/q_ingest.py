@@ -74,7 +74,7 @@ def union_tagged(spark, d):
 
 def union_split_back(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    both = o.filter("o_orderkey % 3 = 0").withColumn("temp", F.lit("train")).unionByName(o.filter("o_orderkey % 3 = 1").withColumn("temp", F.lit("test")))
+    both = o.filter("o_orderkey % 3 = 0").withColumn("temp", F.lit("train")).unionByName(o.filter("o_orderkey % 3 <> 0").withColumn("temp", F.lit("test")))
     return both.filter("temp = 'train'").drop("temp")
 
 
@@ -115,15 +115,12 @@ def log_round_trip(spark, d):
 
 
 def label_encode(spark, d):
-    df = table(spark, d, "customer")
-    levels = df.select("c_mktsegment").distinct().agg(F.array_sort(F.collect_list("c_mktsegment")).alias("levels"))
-    return df.crossJoin(F.broadcast(levels)).select("c_custkey", (F.array_position("levels", F.col("c_mktsegment")) - 1).cast("int").alias("code"))  # one row of levels
+    return S.level_codes(table(spark, d, "customer"), "c_mktsegment", "code").select("c_custkey", "code")
 
 
 def label_decode(spark, d):
-    codes = label_encode(spark, d)
-    levels = table(spark, d, "customer").select("c_mktsegment").distinct().agg(F.array_sort(F.collect_list("c_mktsegment")).alias("levels"))
-    return codes.crossJoin(F.broadcast(levels)).select("c_custkey", F.get("levels", F.col("code")).alias("segment"))
+    df = table(spark, d, "customer")
+    return label_encode(spark, d).join(S.levels(df, "c_mktsegment", "code"), "code").select("c_custkey", F.col("c_mktsegment").alias("segment"))
 
 
 def cast_back(spark, d):

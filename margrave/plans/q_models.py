@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,7 +13,9 @@ from ..operators import gan as G
 from ..operators import marginals as M
 from ..operators import privacy as P
 from ..operators import synth
+from ..shared import shared_folder
 from ..sources import tables as T
+from ..spec import ColumnSpec
 from ..streaming import counts as stream_counts
 from . import models
 from .common import BINS, CODED, DOMAIN, KEYS, LINEITEM, NAMES, coded_lineitem, doubles, r6, table
@@ -109,6 +110,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def _discriminator(model):
     def query(spark, d):
+        # 20 trees here, where the operator's default is 500: the query shows the measure, at a tenth of its time and less.
         df = _features(spark, d)
         return E.discriminator(df.filter("l_orderkey % 2 = 0"), df.filter("l_orderkey % 2 = 1").withColumn("l_quantity", F.col("l_quantity") + 10), FEATURES, model, trees=20)
 
@@ -117,6 +119,7 @@ def _discriminator(model):
 
 def _utility(model):
     def query(spark, d):
+        # As above; the operator's default is 250 trees.
         df = _features(spark, d)
         return E.utility(df.filter("l_orderkey % 4 <> 0"), df.filter("l_orderkey % 4 = 0"), FEATURES, "y", model, trees=20)
 
@@ -134,13 +137,14 @@ def gan_encode(spark, d):
 
 def gan_decode(spark, d):
     scalar, slot = G.encoded(F.col("value"), MODES, 21, "event_id")
-    df = table(spark, d, "events").select("event_id", "value", scalar.alias("s"), slot.alias("k"))
-    inside = df.filter((F.abs("s") < G.BOUND) | (F.col("k") == 3))
-    return inside.select("event_id", F.round(G.decoded(F.col("s"), F.col("k"), MODES), 4).alias("value"))
+    df = table(spark, d, "events").select("event_id", scalar.alias("s"), slot.alias("k"))
+    return df.select("event_id", F.round(G.decoded(F.col("s"), F.col("k"), MODES), 4).alias("value"))
 
 
 def gan_modes(spark, d):
-    modes = G.fit_modes(table(spark, d, "events"), "value", 3)
+    """Modes of rows drawn from a private one-way marginal of value, between public bounds."""
+    column = ColumnSpec("value", "numerical", low=0.0, high=500.0, decimals=2)
+    modes = G.private_modes(table(spark, d, "events"), column, P.Ledger(1.0), 0.5, NOISE, 3)
     return spark.createDataFrame([tuple(map(float, t)) for t in zip(modes.weights, modes.means, modes.stds, strict=True)], "weight double, mean double, std double")
 
 
@@ -163,9 +167,8 @@ def gan_train(spark, d):
 
 
 def _shared(spark) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="margrave-")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder under the one that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def csv_round_trip(spark, d):
@@ -227,7 +230,7 @@ SELECT round((tp + nn - fp) / (np + nn), 6) AS accuracy, round(brier, 6) AS brie
     "histogram": "SELECT event_type, CAST(floor(value / 20.0) AS BIGINT) AS bucket, count(*) AS cnt, round(count(*) / (sum(count(*)) OVER (PARTITION BY event_type) * 20.0::DOUBLE), 9) AS density FROM events GROUP BY 1, 2",
     "results_by_mu": "WITH r AS (SELECT CAST(user_id % 4 AS INTEGER) AS mu, CASE WHEN value >= 1 THEN value END AS value FROM events) SELECT mu, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS least, round(max(value), 6) AS most, round(stddev_pop(value) / sqrt(count(value)), 6) AS std_error FROM r GROUP BY 1",
     "gan_encode": f"WITH {_SLOTS} SELECT event_id, round(s, 9) AS scalar, CAST(slot AS INTEGER) AS slot FROM z",
-    "gan_decode": f"WITH {_SLOTS} SELECT event_id, round(value, 4) AS value FROM z WHERE abs(s) < 0.99 OR slot = 3",
+    "gan_decode": f"WITH {_SLOTS} SELECT event_id, round(CASE WHEN slot = 3 THEN 0.01 ELSE s * 4.0::DOUBLE * {doubles(MODES.stds)}[slot + 1] + {doubles(MODES.means)}[slot + 1] END, 4) AS value FROM z",
     "csv_round_trip": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
     "streaming_counts": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS cnt FROM events GROUP BY 1, 2",
 }

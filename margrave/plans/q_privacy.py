@@ -13,11 +13,15 @@ from ..operators import discretize as D
 from ..operators import marginals as M
 from ..operators import privacy as P
 from ..operators import selection as X
-from .common import CLIENTS, CODED, DOMAIN, NAMES, coded_lineitem, r6, table
+from ..spec import ColumnSpec
+from .common import CLIENTS, CODED, DOMAIN, NAMES, coded_lineitem, duck_digitize, inner_edges, r6, table
 
 MU, SEED, TWO = 0.5, 77, ("flag", "disc")
 NOISE = P.Noise("keyed", SEED)
 PAIRS = M.powerset(NAMES, 2, 2)
+#: Bins of lineitem's price between public bounds, and the noisy count below which a part of them is merged.
+PRICE_BINS = D.bins_of(ColumnSpec("price", "numerical", low=900.0, high=105000.0))
+MERGE_BELOW = D.merge_threshold(len(NAMES), MU, CLIENTS)
 
 
 def noisy_marginal(spark, d):
@@ -59,19 +63,23 @@ def hier_counts(spark, d):
 
 
 def level_merge(spark, d):
-    """Groups of quantity's bins (of the dearest lines, so that some are small)."""
-    rows = coded_lineitem(spark, d, "l_extendedprice").filter("l_extendedprice > 60000")
-    counts = {r["qty"]: r["cnt"] for r in M.marginal(rows, ["qty"]).collect()}
-    fine = np.array([counts.get(i, 0) for i in range(DOMAIN["qty"])])
-    rounds = [fine.reshape(2 << r, -1).sum(1) for r in range(4)]
-    groups = D.merged_groups(rounds, len(fine), D.merge_threshold(len(NAMES), 1.0, CLIENTS))
+    """Groups of the price's bins, by noisy counts of its halves, quarters, eighths and sixteenths."""
+    bins = table(spark, d, "lineitem").select(D.code(F.col("l_extendedprice"), PRICE_BINS).alias("bin"))
+    counts = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))
+    rounds = F.explode(F.array(*[F.struct(F.lit(r).alias("round"), F.shiftright("bin", 4 - r).alias("bin")) for r in range(4)])).alias("x")
+    summed = counts.select(rounds, "cnt").groupBy("x.round", "x.bin").agg(F.sum("cnt").alias("cnt"))
+    every = spark.range(30).select((F.floor(F.log2(F.col("id") + 2)) - 1).cast("int").alias("round"), "id").select("round", (F.col("id") + 2 - F.shiftleft(F.lit(2), F.col("round"))).cast("int").alias("bin"))
+    summed = every.join(summed, ["round", "bin"], "left").select("round", "bin", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    noisy = {(r["round"], r["bin"]): r["y"] for r in NOISE.add(summed, D.round_sigmas(MU, 4)[0], ["round", "bin"]).collect()}  # 30 rows
+    groups = D.merged_groups([[noisy[r, j] for j in range(2 << r)] for r in range(4)], len(PRICE_BINS), MERGE_BELOW)
     return spark.createDataFrame([(int(c), g) for g, cells in enumerate(groups) for c in cells], "bin int, grp int")
 
 
 def category_pool(spark, d):
-    counts = {r["event_type"]: r["n"] for r in table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    at = sorted(counts.values())[1] + 0.5  # a threshold that pools the two rarest
-    pooled = D.pooled_levels(counts, at)
+    """Counts of event types, those whose noisy count is below the mean of all pooled."""
+    counts = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("cnt"))
+    noisy = {r["event_type"]: r["y"] for r in NOISE.add(counts, 1 / MU, ["event_type"]).collect()}  # declared levels: few
+    pooled = D.pooled_levels(noisy, float(np.mean(list(noisy.values()))))
     return table(spark, d, "events").groupBy(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(pooled.items()) for x in kv]), F.col("event_type")).alias("level")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -147,7 +155,13 @@ ORACLES = {
     "inverse_variance_total": f"WITH {_ONE}, {_TOTALS} SELECT round(sum(total / variance) / sum(1 / variance), 6) AS total, round(1 / sum(1 / variance), 6) AS variance FROM t",
     "client_fractions": f"WITH {_ONE}, t AS (SELECT client_id, clique, sum(y) AS total, count(*) * {_VAR!r}::DOUBLE AS variance FROM n GROUP BY 1, 2), b AS (SELECT client_id, sum(total / variance) / sum(1 / variance) AS y FROM t GROUP BY 1) SELECT client_id, round(y / (SELECT sum(y) FROM b), 6) AS f FROM b",
     "hier_counts": f"WITH {CODED}, m AS (SELECT CAST(r AS INTEGER) AS round, CAST(qty >> (4 - r) AS INTEGER) AS bin, count(*) AS cnt FROM coded, range(4) t(r) GROUP BY 1, 2) SELECT round, bin, round(cnt + {D.round_sigmas(MU, 4)[0]!r}::DOUBLE * {duck_gaussian(SEED, 'round', 'bin')}, 6) AS y FROM m",
-    "category_pool": "WITH c AS (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*)) AS r FROM events GROUP BY 1) SELECT CASE WHEN n <= (SELECT n FROM c WHERE r = 2) THEN 'other' ELSE event_type END AS level, CAST(sum(n) AS BIGINT) AS cnt FROM c GROUP BY 1",
+    "level_merge": f"""WITH b AS (SELECT {duck_digitize('l_extendedprice', inner_edges(PRICE_BINS))} AS bin FROM lineitem),
+p AS (SELECT CAST(r AS INTEGER) AS round, CAST(j AS INTEGER) AS bin FROM range(4) t(r), range(16) u(j) WHERE j < (2 << r)),
+m AS (SELECT CAST(r AS INTEGER) AS round, CAST(bin >> (4 - r) AS INTEGER) AS bin, count(*) AS cnt FROM b, range(4) t(r) GROUP BY 1, 2),
+n AS (SELECT round, bin, coalesce(cnt, 0) + {D.round_sigmas(MU, 4)[0]!r}::DOUBLE * {duck_gaussian(SEED, 'round', 'bin')} AS y FROM p LEFT JOIN m USING (round, bin)),
+o AS (SELECT CAST(c AS INTEGER) AS bin, (SELECT min(round) FROM n WHERE y < {MERGE_BELOW!r}::DOUBLE AND n.bin = c >> (4 - n.round)) AS r FROM range(32) t(c))
+SELECT bin, CAST(dense_rank() OVER (ORDER BY CASE WHEN r IS NULL THEN bin ELSE (bin >> (4 - r)) << (4 - r) END) - 1 AS INTEGER) AS grp FROM o""",
+    "category_pool": f"WITH c AS (SELECT event_type, count(*) AS cnt FROM events GROUP BY 1), n AS (SELECT *, cnt + {1 / MU!r}::DOUBLE * {duck_gaussian(SEED, 'event_type')} AS y FROM c) SELECT CASE WHEN y < (SELECT avg(y) FROM n) THEN 'other' ELSE event_type END AS level, CAST(sum(cnt) AS BIGINT) AS cnt FROM n GROUP BY 1",
     "budget_ledger": "SELECT step, round(mu, 6) AS mu, round(sqrt(sum(mu * mu) OVER (ORDER BY step)), 6) AS spent FROM (VALUES (1, sqrt(0.1) * 0.5), (2, sqrt(0.1) * 0.5), (3, sqrt(0.8) * 0.5)) t(step, mu)",
     "gdp_conversions": "SELECT kind, CAST(v AS DOUBLE) AS v FROM (VALUES ('mu', 0.09369), ('mu', 0.18197), ('mechanism', 0.07980), ('mechanism', 0.40008), ('mechanism', 0.80697), ('eps', 1.0), ('threshold', 80.10697), ('steps', 9), ('steps', 433), ('steps', 866), ('steps', 1000)) t(kind, v)",
     "score_standard": f"WITH {CODED} SELECT client_id, round(score, 6) AS score FROM ({_pair(*TWO)})",
