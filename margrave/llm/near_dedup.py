@@ -14,9 +14,10 @@
    sequences make the classes, which are connected components.
 5. A bucket of three or more in which several classes are left may hold pairs that step 3 didn't lay side by side.  Their members are
    joined by an exact prefix filter: with shingles in ascending order of the members that hold them, two documents of similarity t or
-   more share one among the first of each, those before which less than 1 - t of its weight lies.  What only one member or one class
-   holds falls away, and that is what tells the documents of a template apart; so a busy bucket costs the pairs that share something
-   rare, not all its pairs.  Pairs across classes are found block by block, so that a frequent shingle is spread over tasks.
+   more share one among the first of each, those before which less than 1 - t of its weight lies; and at the first that they share, what
+   lies from there on bounds what they share.  What only one member or one class holds falls away, and that is what tells the documents
+   of a template apart; so a busy bucket costs the pairs that may be similar by these bounds, not all its pairs.  Pairs across classes
+   are found block by block, so that a frequent shingle is spread over tasks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,7 +50,7 @@ RARE = 1024
 #: Members that hold a shingle, in a block whose samples are compared with those of another block.
 BLOCK = 1024
 #: Documents that a task counts at least, where there are as many; shingles that it holds back until it sorts them.
-COUNTED, HELD = 1 << 14, 1 << 20
+COUNTED, HELD = 1 << 14, 1 << 21
 #: Entries of each table of random variates; samples draw on them by independent hashes.
 POOL = 1 << 16
 _U = np.uint64
@@ -73,25 +75,40 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: row, hash and count of each document's distinct shingles (by row, then hash); two fingerprints of each word sequence.
+def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: row and hash of each run of five words, in order; the words' hashes and each text's number of them.
 
-    A text of one to four words has one shingle, all its words; one of no words has none, and fingerprint 0.
+    A text of one to four words has one run, all its words; one of no words has none.
     """
     lookup = _WORDS.__getitem__
     lists = [[h for h in map(lookup, x.split()) if h] for x in texts]
     lengths = np.array([len(x) for x in lists], dtype=np.int64)
-    words = np.fromiter((h for x in lists for h in x), dtype=_U, count=int(lengths.sum()))
-    ends = np.cumsum(lengths)
-    firsts = ends - lengths
-    counts = np.where(lengths >= SHINGLE, lengths - SHINGLE + 1, np.minimum(lengths, 1))
-    row = np.repeat(np.arange(len(texts)), counts)
-    start = firsts[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    n = int(lengths.sum())
+    words = np.fromiter(chain.from_iterable(lists), dtype=_U, count=n)
+    firsts = np.cumsum(lengths) - lengths
+    row = np.repeat(np.arange(len(texts)), lengths)
+    value = np.full(n, 0x51ED270B7A14D5A7, _U)
     padded = np.concatenate([words, np.zeros(SHINGLE, _U)])
-    value = np.full(len(row), 0x51ED270B7A14D5A7, _U)
     for k in range(SHINGLE):
-        inside = start + k < ends[row]
-        value = np.where(inside, mixed(value * _U(31) + padded[start + k]), value)
+        value = mixed(value * _U(31) + padded[k : k + n])
+    whole = np.arange(n) - firsts[row] <= lengths[row] - SHINGLE if n else np.zeros(0, bool)
+    for i in np.flatnonzero((lengths > 0) & (lengths < SHINGLE)):
+        short = _U(0x51ED270B7A14D5A7)
+        with np.errstate(over="ignore"):
+            for word in words[firsts[i] : firsts[i] + lengths[i]]:
+                short = mixed(short * _U(31) + word)
+        value[firsts[i]], whole[firsts[i]] = short, True
+    return row[whole], value[whole], words, lengths
+
+
+def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: row, hash and count of each document's distinct shingles (by row, then hash); two fingerprints of each word sequence.
+
+    A text without words has no shingle, and fingerprint 0.
+    """
+    row, value, words, lengths = runs(texts)
+    ends = np.cumsum(lengths)
+    firsts = ends - lengths
     # The sequence's fingerprints are sums of its words' hashes mixed with their places.
     place = (np.arange(len(words)) - np.repeat(firsts, lengths)).astype(_U)
     prints = []
@@ -114,16 +131,16 @@ class Frequencies:
 
 
 class LossyCounts:
-    """Lossy counting: after ``prune`` holds each shingle that a share of 1 / (4 * RARE) of the documents so far holds, or more.
+    """Lossy counting: after ``prune`` holds each shingle that a share of 1 / (8 * RARE) of the documents so far holds, or more.
 
-    ``most`` bounds a shingle's count from above: what is seen, and what may have been dropped before.
+    ``most`` bounds a shingle's documents from above: its places seen, and what may have been dropped before.
     """
 
     def __init__(self) -> None:
         self.shingles, self.most, self.n_docs, self.missed, self.held, self.n_held = np.zeros(0, _U), np.zeros(0, np.int64), 0, 0, [], 0
 
     def add(self, shingles: np.ndarray, n_docs: int) -> None:
-        """shingles: those of n_docs documents, one a document and kind."""
+        """shingles: those of n_docs documents."""
         self.held.append(shingles)
         self.n_docs, self.n_held = self.n_docs + n_docs, self.n_held + len(shingles)
         if self.n_held >= HELD:
@@ -131,16 +148,21 @@ class LossyCounts:
 
     def prune(self) -> None:
         new, count = np.unique(np.concatenate([self.shingles[:0], *self.held]), return_counts=True)
-        at = np.minimum(np.searchsorted(self.shingles, new), max(len(self.shingles) - 1, 0))
-        known = self.shingles[at] == new if len(self.shingles) else np.zeros(len(new), bool)
+        at, known = _looked_up(self.shingles, new)
         self.most[at[known]] += count[known]
         shingles = np.concatenate([self.shingles, new[~known]])
         most = np.concatenate([self.most, count[~known] + self.missed])
-        keep = most * 4 * RARE >= self.n_docs
+        keep = most * 8 * RARE >= self.n_docs
         shingles, most = shingles[keep], most[keep]
         order = np.argsort(shingles, kind="stable")
         self.shingles, self.most = shingles[order], most[order]
-        self.missed, self.held, self.n_held = -(-self.n_docs // (4 * RARE)) - 1, [], 0
+        self.missed, self.held, self.n_held = -(-self.n_docs // (8 * RARE)) - 1, [], 0
+
+    def reported(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles that may reach a share of 1 / (4 * RARE), and ``most``."""
+        self.prune()
+        keep = self.most * 4 * RARE >= self.n_docs
+        return self.shingles[keep], self.most[keep]
 
 
 def _blocks_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,11 +178,11 @@ def frequencies(docs: DataFrame) -> Frequencies:
     def lossy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = LossyCounts()
         for part in _blocks_of(frames):
-            row, value, *_ = shingled(part["text"].tolist())
-            counts.add(value, len(np.unique(row)))
-        counts.prune()
+            _, value, _, lengths = runs(part["text"].tolist())
+            counts.add(value, int((lengths > 0).sum()))
+        shingles, most = counts.reported()
         # A shingle that isn't given is held by less than n_docs / (4 * RARE) of the task's documents.
-        yield pd.DataFrame({"shingle": counts.shingles.view(np.int64), "excess": counts.most * 4 * RARE - counts.n_docs})
+        yield pd.DataFrame({"shingle": shingles.view(np.int64), "excess": most * 4 * RARE - counts.n_docs})
         yield pd.DataFrame({"shingle": [None], "excess": [counts.n_docs]}).astype({"shingle": "Int64"})
 
     # Tasks of few documents could prove nothing rare.
@@ -174,8 +196,10 @@ def frequencies(docs: DataFrame) -> Frequencies:
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(len(asked), np.int64)
         for part in _blocks_of(frames):
-            at, known = _looked_up(asked, shingled(part["text"].tolist())[1])
-            counts += np.bincount(at[known], minlength=len(asked))
+            row, value, *_ = runs(part["text"].tolist())
+            at, known = _looked_up(asked, value)
+            once = np.unique(row[known] * len(asked) + at[known])  # a document counts once
+            counts += np.bincount(once % len(asked), minlength=len(asked))
         used = np.flatnonzero(counts)
         yield pd.DataFrame({"at": used, "n": counts[used]})
 
@@ -219,12 +243,12 @@ def samples(row: np.ndarray, shingles: np.ndarray, weight: np.ndarray, n_rows: i
     lengths = np.diff(np.concatenate([head, [len(row)]]))
     log_w = np.log(weight).astype(np.float32)
     for k in range(SAMPLES):
-        seed = _U((0x9E3779B97F4A7C15 * (2 * k + 3) + 0x1234567 * k) & (1 << 64) - 1 | 1)
-        # Three 16-bit places, one a table: a sample of its own for each of 2^48 shingles.
-        at = mixed(shingles ^ seed)
-        rk, bk = r[(at >> _U(48)).astype(np.int64)], beta[(at >> _U(32) & _U(POOL - 1)).astype(np.int64)]
+        seed = mixed(np.array([k + 1], _U))[0] | _U(1)
+        # Three 16-bit places of the product, one a table, so that two shingles hardly ever draw the same three.
+        at = (shingles * seed).view(np.uint16).reshape(-1, 4)
+        rk, bk = r[at[:, 3]], beta[at[:, 2]]
         level = np.floor(log_w / rk + bk)
-        log_a = log_c[(at & _U(POOL - 1)).astype(np.int64)] - rk * (level - bk) - rk
+        log_a = log_c[at[:, 1]] - rk * (level - bk) - rk
         least = np.minimum.reduceat(log_a, head)
         hits = np.flatnonzero(log_a == np.repeat(least, lengths))
         hit_rows = row[hits]
@@ -301,15 +325,17 @@ def _agreeing(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     """
 
     def pairs(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ident, label, side, largest, total, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ident, label, side, largest, total, rest, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
         right = np.flatnonzero(side == 1)
         for left in np.split(lefts := np.flatnonzero(side == 0), range(256, len(lefts), 256)):
             agree = np.zeros((len(left), len(right)), np.int8)
             for k in range(SAMPLES):
                 agree += sig[left, k][:, None] == sig[right, k]
-            ratio = total[left][:, None] / total[right]  # the similarity isn't above the ratio of the weights
-            hit = (agree >= LEAST_AGREEMENT * threshold * SAMPLES) & (label[left][:, None] != label[right]) & (largest[right] | (ident[left][:, None] < ident[right]))
-            i, j = np.nonzero(hit & (np.minimum(ratio, 1 / ratio) >= threshold * (1 - 1e-9)))
+            # At the first shingle that two share, they share no more than what lies from there on in either.
+            shared = np.minimum(rest[left][:, None], rest[right])
+            near = shared >= threshold / (1 + threshold) * (1 - 1e-9) * (total[left][:, None] + total[right])
+            hit = near & (agree >= LEAST_AGREEMENT * threshold * SAMPLES) & (label[left][:, None] != label[right]) & (largest[right] | (ident[left][:, None] < ident[right]))
+            i, j = np.nonzero(hit)
             a, b = ident[left[i]], ident[right[j]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree[i, j].astype(np.int32))], names=["a", "b", "agree"])
 
@@ -318,7 +344,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         if not batch.num_rows:
             continue
         keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "l", "r")], 1)
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "side", "largest", "total")]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "side", "largest", "total", "rest")]
         columns.append(batch.column("sig").flatten().to_numpy().reshape(-1, SAMPLES))
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for at, stop in zip(cuts, cuts[1:], strict=False):
@@ -340,7 +366,8 @@ def busy_members(heads: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def prefixes(scratch: Scratch, texts: DataFrame, known: Frequencies, threshold: float) -> DataFrame:
-    """(id, shingle, total): of documents (doc_id, text), the shingles of the prefix filter that several of them hold, and their weight."""
+    """(id, shingle, total, rest): of documents (doc_id, text), the shingles of the prefix filter that several of them hold, the document's
+    weight, and the weight of the shingle and all after it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _blocks_of(frames):
@@ -352,11 +379,11 @@ def prefixes(scratch: Scratch, texts: DataFrame, known: Frequencies, threshold:
     whole = Window.partitionBy("id")
     rest = whole.orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("id", "shingle", "n", F.sum("w").over(whole).alias("total"), F.sum("w").over(rest).alias("rest"))
-    return rows.filter((F.col("rest") >= F.col("total") * threshold * (1 - 1e-9)) & (F.col("n") > 1)).select("id", "shingle", "total")
+    return rows.filter((F.col("rest") >= F.col("total") * threshold * (1 - 1e-9)) & (F.col("n") > 1)).select("id", "shingle", "total", "rest")
 
 
 def across_classes(scratch: Scratch, held: DataFrame, heads: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, agree), a < b: every pair of rows (id, shingle, total) that shares a shingle, agrees enough and lies across two classes (id, class).
+    """(a, b, agree), a < b: every pair of rows (id, shingle, total, rest) that shares a shingle, agrees enough and lies across two classes (id, class).
 
     A shingle's rows outside its largest class are cut into blocks, as are all its rows; each of the former blocks meets each of the
     latter, by a join key of its own.
@@ -370,8 +397,8 @@ def across_classes(scratch: Scratch, held: DataFrame, heads: DataFrame, labels:
     own = lambda n: F.pmod(F.xxhash64("id", "shingle"), F.col(n)).cast("int")
     as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda x: F.struct(x.alias("l"), own("rights").alias("r"), F.lit(1).alias("side")))
     as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda x: F.struct(own("lefts").alias("l"), x.alias("r"), F.lit(0).alias("side")))
-    met = met.join(heads, "id").select("shingle", "id", "class", "largest", "total", "sig", F.explode(F.concat(as_right, F.filter(as_left, lambda _: ~F.col("largest")))).alias("x"))
-    met = met.select("shingle", "x.l", "x.r", "id", "class", "x.side", "largest", "total", "sig")
+    met = met.join(heads, "id").select("shingle", "id", "class", "largest", "total", "rest", "sig", F.explode(F.concat(as_right, F.filter(as_left, lambda _: ~F.col("largest")))).alias("x"))
+    met = met.select("shingle", "x.l", "x.r", "id", "class", "x.side", "largest", "total", "rest", "sig")
     found = met.repartition("shingle", "l", "r").sortWithinPartitions("shingle", "l", "r").mapInArrow(lambda batches: _agreeing(batches, threshold), "a long, b long, agree int")
     return found.distinct()
 

@@ -76,15 +76,14 @@ def test_rows_without_words_repeated_ids_and_empty_tables(spark, none):
 
 def test_samples_estimate_the_weighted_similarity():
     rng = np.random.default_rng(1)
-    shared, own = rng.integers(1, 2**63, 300).astype(np.uint64), rng.integers(1, 2**63, 200).astype(np.uint64)
-    hits = 0
-    for _ in range(30):
-        both = [np.sort(np.concatenate([x, shared])) for x in (own[:100] + np.uint64(rng.integers(1, 99)), own[100:])]
-        row = np.repeat([0, 1], [len(both[0]), len(both[1])])
-        sig = near_dedup.samples(row, np.concatenate(both), np.ones(len(row)), 2)
-        hits += int((sig[0] == sig[1]).sum())
-        shared = rng.integers(1, 2**63, 300).astype(np.uint64)
-    assert hits / (30 * near_dedup.SAMPLES) == pytest.approx(300 / 500, abs=0.06)
+    gaps = []
+    for _ in range(300):
+        shingles = np.sort(rng.integers(1, 2**63, 300).astype(np.uint64))
+        left = rng.uniform(0.2, 8, 300)
+        right = left * rng.uniform(0.5, 1.5, 300)
+        sig = near_dedup.samples(np.repeat([0, 1], 300), np.concatenate([shingles, shingles]), np.concatenate([left, right]), 2)
+        gaps.append((sig[0] == sig[1]).mean() - np.minimum(left, right).sum() / np.maximum(left, right).sum())
+    assert abs(np.mean(gaps)) < 0.015 and np.std(gaps) < 0.08  # a binomial share of 42 has 0.065
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -133,15 +132,19 @@ def test_few_and_no_vectors(spark):
     assert nearest.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["near copies", "a long vector"])
-def test_recall_among_near_copies_and_beside_a_long_vector(spark, kind):
+@pytest.mark.parametrize("kind", ["near copies", "a long vector", "lengths over six orders", "far clusters"])
+def test_recall(spark, kind):
     rng = np.random.default_rng(6)
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     x = unit(rng.normal(size=(3000, 48)))
     if kind == "near copies":
         x[:1200] = unit(x[0] + 0.06 * unit(rng.normal(size=(1200, 48))))
-    else:
+    elif kind == "a long vector":
         x[7] *= 100
+    elif kind == "far clusters":  # more than a list holds, and no way between them
+        x = unit(np.repeat(rng.normal(size=(60, 48)), 50, axis=0) + 0.01 * rng.normal(size=(3000, 48)))
+    else:
+        x *= 10 ** rng.uniform(-3, 3, (len(x), 1))
     x = x[rng.permutation(len(x))]
     rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
     found = {}
@@ -160,7 +163,7 @@ def test_every_pair_of_a_shingle_across_classes_meets(spark, monkeypatch):
     sig[60:70, 10:] = sig[60, 10:]
     labels = [60 if 60 <= i < 65 or 80 <= i else i for i in range(120)]
     total = [100.0 + 50 * (i % 3 == 1) for i in range(120)]
-    held = spark.createDataFrame([(i, s, total[i]) for i in range(120) for s in (1, 2) if s == 1 or i % 2], "id long, shingle long, total double")
+    held = spark.createDataFrame([(i, s, total[i], total[i]) for i in range(120) for s in (1, 2) if s == 1 or i % 2], "id long, shingle long, total double, rest double")
     heads = spark.createDataFrame([(i, [int(v) for v in sig[i]]) for i in range(120)], "id long, sig array<int>")
     classes = spark.createDataFrame(list(enumerate(labels)), "id long, class long")
     expected = {(a, b): int((sig[a] == sig[b]).sum()) for a in range(120) for b in range(a + 1, 120) if labels[a] != labels[b] and total[a] == total[b]}
