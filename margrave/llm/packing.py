@@ -2,22 +2,36 @@
 
 A document of n ids becomes floor(n / 4096) pieces of 4096 and, for the rest, one piece for each set bit of n mod 4096, longest first.
 Every piece fills a sequence of its own whose length is a power of two, so no sequence crosses documents and none is padded.  Pieces
-of one length form a bucket; batches are drawn within a bucket.
+of one length form a bucket; each task puts its pieces of a bucket into batches of BATCH_TOKENS, so a batch is a full rectangle (but for
+each task's last of a length).
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
+#: Tokens of a batch of pieces of one length.
+BATCH_TOKENS = 1 << 18
+#: The normaliser and pre-tokeniser that the short way stands for, as tokenizer files write them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Entries of a worker's caches of words and of pre-tokens.
 CACHE = 600_000
 
@@ -35,6 +49,10 @@ class WordIds:
 
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        # The short way is for this normaliser and pre-tokeniser; any other tokenizer goes through the library as a whole.
+        self.short = told.get("normalizer") == NORMALIZER and told.get("pre_tokenizer") == PRE_TOKENIZER
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.pieces = Tokenizer(self.whole.model)
@@ -53,7 +71,7 @@ class WordIds:
         return b"".join([self.piece_cache[x] for x in self.split(word)])
 
     def __call__(self, text: str) -> bytes:
-        if self.plain(text):
+        if self.short and self.plain(text):
             if len(self.word_cache) > CACHE:
                 self.word_cache.clear()
             if len(self.piece_cache) > CACHE:
@@ -85,17 +103,18 @@ def binary_lengths(n: int, longest: int) -> list[int]:
 
 
 def pack(docs: DataFrame, path: str, longest: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (and ids if with_ids).
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, batch_id (and ids if with_ids).
 
     A null or empty text is the end id alone.  Rows that repeat a doc_id are packed one by one.  sequence_id numbers the pieces of a
-    row upward from a base that no other row shares (the row's place in its partition of the scan).  Memory: one batch of documents.
+    row upward from a base that no other row shares (the row's place in its partition of the scan); it and batch_id follow the scan's
+    layout.  Memory: one batch of documents.
     """
     if longest & longest - 1:
         raise ValueError("the longest sequence must be a power of two")
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_ids(path)
+        encode, task, dealt = word_ids(path), TaskContext.get().partitionId(), [0] * 64
         for batch in batches:
             for at in range(0, len(batch), 512):  # bounds what one frame of pieces holds
                 rows = []
@@ -103,12 +122,14 @@ def pack(docs: DataFrame, path: str, longest: int = 4096, end_id: int = 2, with_
                     data, start = encode(text) + end, 0
                     n = len(data) // 4
                     for length in binary_lengths(n, longest):
-                        piece = data[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(piece), n, 0, length.bit_length() - 1, *([np.frombuffer(piece, "<u4")] if with_ids else [])))
+                        piece, bucket = data[4 * start : 4 * (start + length)], length.bit_length() - 1
+                        batch_id = (task * 64 + bucket << 32) + dealt[bucket] * length // BATCH_TOKENS
+                        dealt[bucket] += 1
+                        rows.append((doc_id, start, length, zlib.crc32(piece), n, 0, bucket, batch_id, *([np.frombuffer(piece, "<u4")] if with_ids else [])))
                         start += length
                 yield pd.DataFrame(rows, columns=[*columns])
 
-    kinds = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "offset": "long", "bucket": "int"}
+    kinds = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "offset": "long", "bucket": "int", "batch_id": "long"}
     columns = kinds | ({"ids": "array<long>"} if with_ids else {})
     out = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInPandas(run, ", ".join(f"{k} {v}" for k, v in columns.items()))
     return out.withColumn("sequence_id", F.monotonically_increasing_id())

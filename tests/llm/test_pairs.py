@@ -199,7 +199,7 @@ def test_frequencies_are_exact_where_a_share_holds_a_shingle(spark, monkeypatch)
     monkeypatch.setattr(near_dedup, "HELD", 300)
     monkeypatch.setattr(near_dedup, "COUNTED", 100)
     rng = random.Random(2)
-    rows = [(i, " ".join(f"w{min(rng.randrange(3), rng.randrange(9))}" for _ in range(9))) for i in range(600)] + [(-1, None)]
+    rows = [(i, " ".join(f"w{min(rng.randrange(3), rng.randrange(4))}" for _ in range(9))) for i in range(600)] + [(-1, None)]
     known = near_dedup.frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
     _, value, *_ = near_dedup.shingled([t for _, t in rows[:-1]])
     shingles, counts = np.unique(value, return_counts=True)

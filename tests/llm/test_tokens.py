@@ -138,6 +138,11 @@ def test_packing(hard, hard_rows, none):
             assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(ids)
             assert r["length"] == 1 << r["bucket"] <= 4096 and r["offset"] == 0
     assert len({r["sequence_id"] for r in rows}) == len(rows)
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r["batch_id"], []).append(r["length"])
+    assert all(len(set(x)) == 1 and sum(x) <= packing.BATCH_TOKENS for x in sizes.values())
+    assert packing.word_ids(WORD).short
     assert packing.pack(none, WORD).count() == 0
     assert packing.binary_lengths(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1]
     with pytest.raises(ValueError, match="power of two"):
