@@ -68,7 +68,7 @@ def level_merge(spark, d):
     counts = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))
     rounds = F.explode(F.array(*[F.struct(F.lit(r).alias("round"), F.shiftright("bin", 4 - r).alias("bin")) for r in range(4)])).alias("x")
     summed = counts.select(rounds, "cnt").groupBy("x.round", "x.bin").agg(F.sum("cnt").alias("cnt"))
-    every = spark.range(30).select((F.floor(F.log2(F.col("id") + 2)) - 1).cast("int").alias("round"), "id").select("round", (F.col("id") + 2 - F.shiftleft(F.lit(2), F.col("round"))).cast("int").alias("bin"))
+    every = spark.range(30).select((F.floor(F.log2(F.col("id") + 2)) - 1).cast("int").alias("round"), "id").select("round", (F.col("id") + 2 - F.expr("shiftleft(2, round)")).cast("int").alias("bin"))
     summed = every.join(summed, ["round", "bin"], "left").select("round", "bin", F.coalesce("cnt", F.lit(0)).alias("cnt"))
     noisy = {(r["round"], r["bin"]): r["y"] for r in NOISE.add(summed, D.round_sigmas(MU, 4)[0], ["round", "bin"]).collect()}  # 30 rows
     groups = D.merged_groups([[noisy[r, j] for j in range(2 << r)] for r in range(4)], len(PRICE_BINS), MERGE_BELOW)
