@@ -54,9 +54,7 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str,
     """
     scratch = Scratch(conversations.sparkSession, "chats")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    shaped = F.col("text").startswith("{") & F.try_parse_json("text").isNotNull()
-    rows = rows.withColumn("called", F.when((F.col("role") == "assistant") & shaped, F.from_json("text", CALLS)))
-    rows = rows.withColumn("result", F.when((F.col("role") == "tool") & shaped, F.from_json("text", RESULT)))
+    rows = _parsed(rows)
     is_call, is_result = F.coalesce(F.size("called.tool_calls") > 0, F.lit(False)), F.col("result.tool_call_id").isNotNull()
 
     body = F.when(is_call, F.col("called.content")).otherwise(F.col("text"))
@@ -68,10 +66,12 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str,
     if tool_rows.isEmpty():
         return plain
 
-    calls = tool_rows.filter(is_call).select("conv_id", "turn", F.posexplode("called.tool_calls").alias("pos", "call"))
-    calls = calls.select("conv_id", "turn", "pos", F.col("call.id").alias("call_id"), "call.name", "call.arguments", F.array_distinct(F.coalesce("call.after", F.array().cast("array<string>"))).alias("after"))
-    calls = _first(calls.withColumn("errors", argument_errors(tools)).withColumn("arguments", F.to_json("arguments")), F.struct("turn", "pos"))
-    results = _first(tool_rows.filter(is_result).select("conv_id", "turn", "role", F.col("result.tool_call_id").alias("call_id"), "result.content"), F.struct("turn", "content"))
+    # Written with a number each, so that of two equal rows one is the first.
+    tool_rows = _parsed(scratch.write(tool_rows.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("uid")), "tools"))
+    calls = tool_rows.filter(is_call).select("conv_id", "turn", "uid", F.posexplode("called.tool_calls").alias("pos", "call"))
+    calls = calls.select("conv_id", "turn", "pos", "uid", F.col("call.id").alias("call_id"), "call.name", "call.arguments", F.array_distinct(F.coalesce("call.after", F.array().cast("array<string>"))).alias("after"))
+    calls = _first(calls.withColumn("errors", argument_errors(tools)).withColumn("arguments", F.to_json("arguments")), F.struct("turn", "pos", "uid"))
+    results = _first(tool_rows.filter(is_result).select("conv_id", "turn", "role", "uid", F.col("result.tool_call_id").alias("call_id"), "result.content"), F.struct("turn", "content", "uid"))
     calls, results = scratch.write(calls, "calls"), scratch.write(results, "results")
 
     placed = _levels(scratch, calls.filter("first"), results.filter("first"))
@@ -91,6 +91,25 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str,
     return plain.unionByName(out_calls).unionByName(out_results)
 
 
+def _parsed(rows: DataFrame) -> DataFrame:
+    """rows with ``called`` and ``result``: what an assistant's or a tool's text says, if it is a JSON object (blanks may come first)."""
+    shaped = F.ltrim("text").startswith("{") & F.try_parse_json("text").isNotNull()
+    rows = rows.withColumn("called", F.when((F.col("role") == "assistant") & shaped, F.from_json("text", CALLS)))
+    return rows.withColumn("result", F.when((F.col("role") == "tool") & shaped, F.from_json("text", RESULT)))
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """Conversations in which every assistant's turn is a call, "c" and its turn, that needs the one two turns before, and every later user's
+    turn is the result of the call one turn before: plain tables hold no calls, so this is what linking is checked on at size."""
+    turn = F.col("turn").cast("long")
+    call = F.to_json(F.struct(F.struct(F.concat(F.lit("c"), turn).alias("id"), F.lit("search").alias("name"), F.struct(F.col("text").alias("query"), turn.alias("limit")).alias("arguments"), F.array(F.concat(F.lit("c"), turn - 2)).alias("after")).alias("call")))
+    calls = F.concat(F.lit(' {"tool_calls":['), F.get_json_object(call, "$.call"), F.lit("]}"))
+    result = F.to_json(F.struct(F.concat(F.lit("c"), turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    is_result = (F.col("role") == "user") & (turn > 0)
+    text = F.when(F.col("role") == "assistant", calls).when(is_result, result).otherwise(F.col("text"))
+    return conversations.select("conv_id", "turn", F.when(is_result, F.lit("tool")).otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
 def _json(**fields: Column) -> Column:
     """Canonical JSON: keys in order of their names, no blanks, nulls written."""
     return F.to_json(F.struct(*[value.alias(name) for name, value in sorted(fields.items())]), {"ignoreNullFields": "false"})
@@ -133,3 +152,17 @@ SELECT conv_id, turn, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id,
        turn AS order_turn, CAST(0 AS BIGINT) AS level, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS json
 FROM conversations
 """
+
+#: Over with_calls(): turns alternate, so a call's level is its distance from the conversation's first.
+LINKED_ORACLE = """
+WITH c AS (SELECT *, min(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS t0, lag(role) OVER w AS before, lead(role) OVER w AS after
+           FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+k AS (SELECT *, CASE WHEN role = 'assistant' THEN 'call' WHEN role = 'user' AND turn > 0 THEN 'result' ELSE 'message' END AS kind FROM c)
+SELECT conv_id, turn, kind, CASE kind WHEN 'result' THEN 'tool' ELSE role END AS role, CASE kind WHEN 'call' THEN 'c' || turn WHEN 'result' THEN 'c' || (turn - 1) END AS call_id,
+       CASE WHEN kind = 'call' AND after IS DISTINCT FROM 'user' THEN 'unanswered' WHEN kind = 'result' AND before IS DISTINCT FROM 'assistant' THEN 'orphan' ELSE 'ok' END AS status,
+       CAST([] AS VARCHAR[]) AS errors, turn AS order_turn,
+       CASE WHEN kind = 'call' OR (kind = 'result' AND before = 'assistant') THEN turn - t0 ELSE 0 END AS level,
+       CAST(CASE kind WHEN 'call' THEN to_json({'arguments': {'limit': turn, 'query': text}, 'id': 'c' || turn, 'name': 'search', 'role': role})
+                      WHEN 'result' THEN to_json({'content': text, 'role': 'tool', 'tool_call_id': 'c' || (turn - 1)}) ELSE to_json({'content': text, 'role': role}) END AS VARCHAR) AS json
+FROM k
+"""

@@ -17,6 +17,11 @@ def op1_chat_format(spark, sf_dir):
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def chat_linked_calls(spark, sf_dir):
+    """Op 1 over the same conversations, whose turns are made calls and results."""
+    return chat_format.format_chats(chat_format.with_calls(table(spark, sf_dir, "conversations")))
+
+
 def op2_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_digest(_documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "chat_linked_calls": chat_linked_calls,
     "op2_line_dedup": op2_line_dedup,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_rules": op4_quality_rules,
@@ -67,6 +73,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE,
+    "chat_linked_calls": chat_format.LINKED_ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
