@@ -197,10 +197,30 @@ def corrected(local: list[np.ndarray], own: list[np.ndarray], common: list[np.nd
     return [g - c + s for g, c, s in zip(local, own, common, strict=True)]
 
 
+#: What the logarithms of the cross-entropy loss are kept from zero by.
+FLOOR = 1e-4
+
+
+def pull(scores: np.ndarray, real: bool, loss: str) -> np.ndarray:
+    """The loss's derivative by each score, for rows that should count as real or as drawn."""
+    if loss == "wasserstein":
+        return np.full_like(scores, -1.0 if real else 1.0)
+    p = 1 / (1 + np.exp(-scores))
+    return -p * (1 - p) / (p + FLOOR) if real else p * (1 - p) / (1 - p + FLOOR)
+
+
+def value_of(scores: np.ndarray, loss: str) -> float:
+    """The generator's loss: its rows should count as real."""
+    return float(-scores.mean()) if loss == "wasserstein" else float(-np.log(1 / (1 + np.exp(-scores)) + FLOOR).mean())
+
+
 class FederatedGan:
     """Discriminator updates are private (clipped, summed over a client's rows, noisy); the generator only sees the discriminator."""
 
-    def __init__(self, layout: Layout, mu: float, clients: int, steps: int, *, noise_dim: int = 16, hidden: int = 32, clip: float = 1.0, rate: float = 0.05, weight_clip: float = 0.1, scaffold: bool = False, seed: int = 1) -> None:
+    def __init__(self, layout: Layout, mu: float, clients: int, steps: int, *, noise_dim: int = 16, hidden: int = 32, clip: float = 1.0, rate: float = 0.05, weight_clip: float = 0.1, scaffold: bool = False, seed: int = 1, loss: str = "wasserstein", mode_weight: float = 0.0) -> None:
+        if loss not in ("wasserstein", "bce"):
+            raise ValueError(f"no loss {loss!r}")
+        self.loss, self.mode_weight = loss, mode_weight
         self.layout, self.clip, self.rate, self.noise_dim, self.weight_clip, self.scaffold = layout, clip, rate, noise_dim, weight_clip, scaffold
         self.rng, self.steps = np.random.default_rng(seed), steps
         self.sigma = gan_sigma(mu, steps, clients, clip)
@@ -233,8 +253,8 @@ class FederatedGan:
         return activated(raw, self.layout, self.rng), kept, c
 
     def client_sums(self, rows: DataFrame) -> dict[int, tuple[int, list[np.ndarray]]]:
-        """Of rows (client_id, row array<double>): each client's number of rows and clipped gradient sums of -score."""
-        critic, clip = self.critic, self.clip
+        """Of rows (client_id, row array<double>): each client's number of rows and clipped gradient sums of the loss of real rows."""
+        critic, clip, loss = self.critic, self.clip, self.loss
         width = sum(p.size for p in critic.w + critic.b)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,8 +262,8 @@ class FederatedGan:
             for df in frames:
                 for client, part in df.groupby("client_id"):
                     x = np.stack(part["row"].to_numpy())
-                    _, kept = critic.forward(x)
-                    grads, _ = critic.backward(kept, -np.ones((len(x), 1)), clip)
+                    scores, kept = critic.forward(x)
+                    grads, _ = critic.backward(kept, pull(scores, True, loss), clip)
                     flat = np.concatenate([g.ravel() for g in grads])
                     n, total = sums.get(client, (0, np.zeros(width)))
                     sums[client] = (n + len(x), total + flat)
@@ -265,8 +285,8 @@ class FederatedGan:
         """One critic step at each client and one generator step; returns the generator's loss."""
         sums = self.client_sums(rows)
         fake, _, _ = self.generate(batch)
-        _, kept = self.critic.forward(fake)
-        fake_grads, _ = self.critic.backward(kept, np.ones((batch, 1)) / batch)
+        scores, kept = self.critic.forward(fake)
+        fake_grads, _ = self.critic.backward(kept, pull(scores, False, self.loss) / batch)
         updates, sizes = [], []
         for client, (n, grads) in sorted(sums.items()):
             noisy = [(g + self.rng.normal(0, self.sigma, g.shape)) / n + f for g, f in zip(grads, fake_grads, strict=True)]
@@ -280,11 +300,21 @@ class FederatedGan:
             updates.append(noisy)
             sizes.append(n)
         self.critic.step(averaged(updates, sizes), self.rate)
-        for p in self.critic.w + self.critic.b:
+        for p in self.critic.w + self.critic.b if self.loss == "wasserstein" else []:
             np.clip(p, -self.weight_clip, self.weight_clip, out=p)
+        return self.generator_step(batch)
+
+    def generator_step(self, batch: int = 256, warm_up: bool = False) -> float:
+        """One step of the generator; a warm-up step learns conditions and levels alone, and asks the critic nothing.  Returns the loss."""
         fake, kept, condition = self.generate(batch)
         scores, inner = self.critic.forward(fake)
-        _, g = self.critic.backward(inner, -np.ones((batch, 1)) / batch)
+        g = np.zeros_like(fake) if warm_up else self.critic.backward(inner, pull(scores, True, self.loss) / batch)[1]
+        gap = 0.0
+        for p, (a, b) in zip(self.levels, self.layout.slots, strict=True):
+            # The mode loss: the squared distance of a block's mean slots from the levels' shares.
+            apart = fake[:, a:b].mean(0) - p
+            gap += float(apart @ apart)
+            g[:, a:b] += (self.mode_weight or float(warm_up)) * 2 * apart / batch
         raw_g = activation_gradient(fake, g, self.layout)
         # The conditioned block is pulled to its condition by cross-entropy.
         at = 0
@@ -294,9 +324,12 @@ class FederatedGan:
             at += b - a
         grads, _ = self.generator.backward(kept, raw_g)
         self.generator.step(grads, self.rate)
-        return float(-scores.mean())
+        return gap if warm_up else value_of(scores, self.loss) + self.mode_weight * gap
 
-    def fit(self, rows: DataFrame, batch: int = 256) -> list[float]:
+    def fit(self, rows: DataFrame, batch: int = 256, warm_up: int = 0) -> list[float]:
+        """The losses of all rounds, which spend the budget that sigma was set for; warm-up steps come before and see no rows."""
+        for _ in range(warm_up):
+            self.generator_step(batch, warm_up=True)
         return [self.round(rows, batch) for _ in range(self.steps)]
 
     def synthetic(self, rows: DataFrame, seed: int = 1) -> DataFrame:

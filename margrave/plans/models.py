@@ -206,17 +206,17 @@ def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, nois
     ledger.charge("one-way", mu_one)
     model = pgm.estimate(domain, got, settings.engine, settings.iterations)
     n_clients, chosen = len(answers.clients), []
+    merged = pgm.Domain({n: int(groups[n].max()) + 1 if n in groups else size for n, size in domain.sizes.items()})
     mu_step = math.sqrt(0.8 * mu**2 / (rounds or 10 * len(ones)))
     while ledger.left > 1e-6:
         sizes = answers.client_sizes()
         total = sum(sizes.values())
         mu_step = ledger.left if ledger.left**2 < 2 * mu_step**2 else mu_step
         nominate, choose, measure = privacy.proportional(mu_step, (0.1, 0.1, 0.8))
-        open_sets = selection.candidates(domain, workload, chosen, model.total, measure, ledger.spent / settings.mu, n_clients, settings.max_mb, settings.theta)
+        open_sets = selection.candidates(domain, workload, chosen, model.total, measure, ledger.spent / settings.mu, n_clients, settings.max_mb, settings.theta, merged)
         if not open_sets:
             break
-        if len(open_sets) > settings.max_checks:
-            open_sets = [open_sets[i] for i in sorted(rng.choice(len(open_sets), settings.max_checks, replace=False))]
+        open_sets = checked_sets(open_sets, settings.max_checks, rng)
         named = set()
         for client in answers.clients:
             scores = _scores(answers, client, open_sets, model, sizes[client] / total, measure, settings.method)
@@ -234,6 +234,23 @@ def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, nois
     return model, ledger, chosen
 
 
+def checked_sets(sets: list[tuple[str, ...]], most: int, rng: np.random.Generator) -> list[tuple[str, ...]]:
+    """At most so many of the sets: half of two columns and half of more, as far as there are."""
+    if len(sets) <= most:
+        return sets
+    small, large = [c for c in sets if len(c) == 2], [c for c in sets if len(c) > 2]
+    n_large = min(len(large), max(most // 2, most - len(small)))
+    pick = lambda of, n: [of[i] for i in sorted(rng.choice(len(of), n, replace=False))] if n else []
+    return pick(small, min(len(small), most - n_large)) + pick(large, n_large)
+
+
+def for_plan(coded: DataFrame, plan: str) -> DataFrame:
+    """The coded rows that a variant sees: "local" the first client's alone, "single" all as one client's, any other plan all."""
+    if plan == "local":
+        return coded.filter("client_id = 0")
+    return coded.withColumn("client_id", F.lit(0)) if plan == "single" else coded
+
+
 FITS = {"independent": fit_independent, "tree": fit_tree, "iterative": fit_iterative}
 
 
@@ -246,3 +263,33 @@ def model_table(spark, model: pgm.Model) -> DataFrame:
     """(column, parents, cell, p): a model as a table, for Parquet."""
     rows = [(n, "|".join(ps), "|".join(map(str, i)), float(p)) for n, ps, t in model.conditionals() for i, p in np.ndenumerate(t)]
     return spark.createDataFrame(rows, "column string, parents string, cell string, p double").withColumn("p", F.col("p"))
+
+
+def read_model(table: DataFrame, domain: pgm.Domain) -> list[tuple[str, tuple[str, ...], np.ndarray]]:
+    """The conditionals of a stored model_table(), parents before children: what rows are drawn from."""
+    found: dict[tuple[str, tuple[str, ...]], np.ndarray] = {}
+    for r in table.collect():  # a row a cell of the model
+        parents = tuple(x for x in r["parents"].split("|") if x)
+        cells = found.setdefault((r["column"], parents), np.zeros(domain.shape([*parents, r["column"]])))
+        cells[tuple(map(int, r["cell"].split("|")))] = r["p"]
+    out, known = [], set()
+    while len(out) < len(found):
+        ready = [(c, ps) for c, ps in found if c not in known and set(ps) <= known]
+        if not ready:
+            raise ValueError("the stored conditionals lack a parent")
+        out += [(c, ps, found[c, ps]) for c, ps in ready]
+        known |= {c for c, _ in ready}
+    return out
+
+
+def measurement_table(spark, measurements: Sequence[pgm.Measurement]) -> DataFrame:
+    """(step, clique, cell, y, sigma, groups): what was released, for Parquet; groups is JSON by column."""
+    import json
+
+    rows = [(i, "|".join(m.clique), j, float(y), float(m.sigma), json.dumps({n: g.tolist() for n, g in sorted(m.groups.items())})) for i, m in enumerate(measurements) for j, y in enumerate(m.y)]
+    return spark.createDataFrame(rows, "step int, clique string, cell int, y double, sigma double, groups string")
+
+
+def ledger_table(spark, ledger: privacy.Ledger) -> DataFrame:
+    """(step, name, mu): what was charged."""
+    return spark.createDataFrame([(i, name, float(mu)) for i, (name, mu) in enumerate(ledger.steps)], "step int, name string, mu double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import duck_uniform
 from ..operators import evaluate as E
 from ..operators import gan as G
+from ..operators import gan_table as GT
 from ..operators import marginals as M
 from ..operators import privacy as P
 from ..operators import synth
@@ -17,8 +18,8 @@ from ..shared import shared_folder
 from ..sources import tables as T
 from ..spec import ColumnSpec
 from ..streaming import counts as stream_counts
-from . import models
-from .common import BINS, CODED, DOMAIN, KEYS, LINEITEM, NAMES, coded_lineitem, doubles, r6, table
+from . import evaluation, models
+from .common import BINS, CODED, DOMAIN, KEYS, LINEITEM, NAMES, coded_lineitem, doubles, lineitem, r6, table
 
 NOISE = P.Noise("keyed", 3)
 FAST = models.Settings(mu=2.0, iterations=300, degree=2)
@@ -171,6 +172,37 @@ def _shared(spark) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+ENCODER = GT.TableEncoder(LINEITEM, {"qty": G.Modes((0.4, 0.6), (12.0, 35.0), (8.0, 9.0))})
+
+
+def gan_table_encode(spark, d):
+    """The vector of every line, as its scalar and the slot set in each block."""
+    rows = ENCODER.encoded(lineitem(spark, d, *KEYS), 31, KEYS, KEYS)
+    qty = 1 + ENCODER.slots(LINEITEM.columns[0]) + ENCODER.slots(LINEITEM.columns[1])
+    hot = lambda at, n: (F.array_position(F.slice("row", at, n), 1.0) - 1).cast("int")
+    return rows.select(*KEYS, F.round(F.get("row", F.lit(qty - 1)), 9).alias("scalar"), hot(qty + 1, 2).alias("qty_slot"), hot(1, 3).alias("flag_slot"), hot(4, 2).alias("status_slot"), hot(qty + 3, 11).alias("disc_slot"), F.size("row").alias("width"))
+
+
+def gan_table_decode(spark, d):
+    """Lines from their vectors: what wasn't clipped comes back."""
+    return ENCODER.decoded(ENCODER.encoded(lineitem(spark, d, *KEYS), 31, KEYS, KEYS), KEYS).select(*KEYS, "flag", "status", F.round("qty", 4).alias("qty"), "disc", "tax", "line")
+
+
+def baseline_error(spark, d):
+    """The training baseline: the marginal error of client 0's rows as test rows and all others' as the synthetic ones."""
+    rows = lineitem(spark, d)
+    train, test = rows.filter("client_id <> 0"), rows.filter("client_id = 0")
+    a, b = (evaluation.in_space(x, LINEITEM, BINS, False, True, 0) for x in (test, train))
+    return E.marginal_error(a, b, NAMES, 1).select("k", r6(F.col("error")).alias("error"))
+
+
+def brier_skill(spark, d):
+    """1 + 4 (-Brier) of the probabilities by return flag."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_linestatus") == "O").cast("int").alias("y"), (F.col("l_discount") * 8 + 0.1).alias("p"))
+    got = E.binary_metrics(rows, "y", "p", ["l_returnflag"])
+    return got.select("l_returnflag", r6(1 + 4 * (-F.col("brier"))).alias("skill"))
+
+
 def csv_round_trip(spark, d):
     """orders written as ';' CSV to the shared folder and read back by name."""
     path = f"{_shared(spark)}/orders-csv"
@@ -190,7 +222,7 @@ def streaming_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (pgm_independent, pgm_tree_fit, pgm_iterative_fit, synth_independent, synth_tree, marginal_error_1, marginal_error_2, metrics_kernel, cramers_v, association_matrix, association_mixed, histogram, results_by_mu)}
 QUERIES |= {f"discriminator_{k}": _discriminator(m) for k, m in (("lr", "logistic"), ("rf", "forest"))} | {f"utility_{k}": _utility(m) for k, m in (("lr", "logistic"), ("rf", "forest"))}
-QUERIES |= {f.__name__: f for f in (gan_encode, gan_decode, gan_modes, gan_train, csv_round_trip, streaming_counts)}
+QUERIES |= {f.__name__: f for f in (gan_encode, gan_decode, gan_modes, gan_train, gan_table_encode, gan_table_decode, baseline_error, brier_skill, csv_round_trip, streaming_counts)}
 
 
 def _cell_tables(cliques) -> str:
@@ -214,6 +246,9 @@ _U = duck_uniform(21, "event_id")
 _SLOTS = f"""e AS (SELECT event_id, value, {_DENSITY[0]} AS d0, {_DENSITY[1]} AS d1, {_DENSITY[2]} AS d2, {_U} AS u FROM events),
 k AS (SELECT *, CASE WHEN value = 0.01 THEN 3 ELSE (CASE WHEN u * (d0 + d1 + d2) > d0 THEN 1 ELSE 0 END + CASE WHEN u * (d0 + d1 + d2) > d0 + d1 THEN 1 ELSE 0 END) END AS slot FROM e),
 z AS (SELECT event_id, value, slot, CASE WHEN slot = 3 THEN 0.0::DOUBLE ELSE least(greatest((value - {doubles(MODES.means)}[slot + 1]) / (4.0 * {doubles(MODES.stds)}[slot + 1]), -0.99), 0.99) END AS s FROM k)"""
+_TABLE_U = duck_uniform("31|qty", *KEYS)
+_QTY_DENSITY = [f"({w / s!r}::DOUBLE * exp(-0.5::DOUBLE * ((l_quantity - {m!r}) / {s!r}) * ((l_quantity - {m!r}) / {s!r})) + 1e-300)" for w, m, s in zip((0.4, 0.6), (12.0, 35.0), (8.0, 9.0), strict=True)]
+_TABLE_SLOTS = f"z AS (SELECT *, CAST(CASE WHEN {_TABLE_U} * ({_QTY_DENSITY[0]} + {_QTY_DENSITY[1]}) > {_QTY_DENSITY[0]} THEN 1 ELSE 0 END AS INTEGER) AS qty_slot FROM coded)"
 ORACLES = {
     "synth_independent": f"WITH {CODED}, {_cumulative('flag')}, {_cumulative('disc')} SELECT id, CAST(len(list_filter(flag_c.c, lambda x: x <= {duck_uniform('9|flag', 'id')})) AS INTEGER) AS flag, CAST(len(list_filter(disc_c.c, lambda x: x <= {duck_uniform('9|disc', 'id')})) AS INTEGER) AS disc FROM range({DRAWN}) t(id), flag_c, disc_c",
     "marginal_error_1": f"WITH {_errors(1)} SELECT 1 AS k, round(avg(error), 6) AS error FROM e",
@@ -231,6 +266,13 @@ SELECT round((tp + nn - fp) / (np + nn), 6) AS accuracy, round(brier, 6) AS brie
     "results_by_mu": "WITH r AS (SELECT CAST(user_id % 4 AS INTEGER) AS mu, CASE WHEN value >= 1 THEN value END AS value FROM events) SELECT mu, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS least, round(max(value), 6) AS most, round(stddev_pop(value) / sqrt(count(value)), 6) AS std_error FROM r GROUP BY 1",
     "gan_encode": f"WITH {_SLOTS} SELECT event_id, round(s, 9) AS scalar, CAST(slot AS INTEGER) AS slot FROM z",
     "gan_decode": f"WITH {_SLOTS} SELECT event_id, round(CASE WHEN slot = 3 THEN 0.01 ELSE s * 4.0::DOUBLE * {doubles(MODES.stds)}[slot + 1] + {doubles(MODES.means)}[slot + 1] END, 4) AS value FROM z",
+    "gan_table_encode": f"""WITH {CODED.replace("AS qty,", "AS qty, l_quantity,")}, {_TABLE_SLOTS}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(greatest((l_quantity - [12.0, 35.0][qty_slot + 1]) / (4.0 * [8.0, 9.0][qty_slot + 1]), -0.99), 0.99), 9) AS scalar, qty_slot, flag AS flag_slot, status AS status_slot, disc AS disc_slot, CAST(35 AS INTEGER) AS width FROM z""",
+    "gan_table_decode": f"""WITH {CODED.replace("AS qty,", "AS qty, l_quantity,")}, {_TABLE_SLOTS}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE flag WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS flag, CASE status WHEN 0 THEN 'F' ELSE 'O' END AS status,
+       round(round_even(least(greatest((l_quantity - [12.0, 35.0][qty_slot + 1]) / (4.0 * [8.0, 9.0][qty_slot + 1]), -0.99), 0.99) * 4.0 * [8.0, 9.0][qty_slot + 1] + [12.0, 35.0][qty_slot + 1], 0), 4) AS qty, disc, tax, line FROM z""",
+    "baseline_error": f"WITH {_errors(1)} SELECT 1 AS k, round(avg(error), 6) AS error FROM e",
+    "brier_skill": "SELECT l_returnflag, round(1 + 4 * (-avg((y - p) * (y - p))), 6) AS skill FROM (SELECT l_returnflag, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, l_discount * 8 + 0.1::DOUBLE AS p FROM lineitem) GROUP BY 1",
     "csv_round_trip": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
     "streaming_counts": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS cnt FROM events GROUP BY 1, 2",
 }

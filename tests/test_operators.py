@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from margrave.functions import scalars as S
 from margrave.operators import discretize as D
 from margrave.operators import gan as G
+from margrave.operators import gan_table as GT
 from margrave.operators import marginals as M
 from margrave.operators import pgm
 from margrave.operators import privacy as P
 from margrave.operators import selection as X
 from margrave.operators import split
 from margrave.operators import synth
-from margrave.plans import models, q_models
+from margrave.plans import evaluation, models, q_models
 from margrave.sources import tables
 from margrave.spec import ColumnSpec, TableSpec, inferred_roles
 from margrave.streaming.counts import noisy_windows
@@ -249,3 +250,102 @@ def test_the_gan_trains_on_all_rows(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     q_models.gan_train(spark, d)
     assert seen == [spark.read.parquet(f"{d}/lineitem.parquet").count()]
+
+
+def small_table(spark, n=600):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 3), ["u", "v", None][int(rng.integers(0, 3))], None if i % 50 == 0 else float(np.round(rng.normal(40, 9), 1)), float(max(0.0, np.round(rng.normal(0, 5), 1))), int(rng.integers(2, 6)), "yx"[i % 2]) for i in range(n)]
+    spec = TableSpec((ColumnSpec("cat", "categorical", levels=("u", "v"), may_be_missing=True), ColumnSpec("num", "numerical", 1, 0.0, 100.0, may_be_missing=True), ColumnSpec("mix", "mixed", 1, 0.0, 50.0), ColumnSpec("ord", "ordinal", low=2, high=5), ColumnSpec("y", "categorical", levels=("x", "y"))), label="y")
+    return spark.createDataFrame(rows, "id long, client_id int, cat string, num double, mix double, ord int, y string"), spec
+
+
+def test_tables_through_the_encoder_and_the_gan(spark):
+    df, spec = small_table(spark)
+    ledger = P.Ledger(3.0)
+    encoder = GT.TableEncoder.learned(df, spec, ledger, 2.0, P.Noise("keyed", 1), most=2)
+    assert ledger.spent == pytest.approx(2.0) and len(ledger.steps) == 2
+    rows = encoder.encoded(df, 1, ["id"], ["id"]).cache()
+    assert {len(r["row"]) for r in rows.collect()} == {encoder.layout.width}
+    back = {r["id"]: r for r in encoder.decoded(rows, ["id"]).collect()}
+    for r in df.collect():
+        b = back[r["id"]]
+        assert (b["cat"], b["ord"], b["y"]) == (r["cat"], r["ord"], r["y"]) and (b["num"] is None) == (r["num"] is None)
+        assert r["num"] is None or abs(r["num"] - b["num"]) < 8 and abs(r["mix"] - b["mix"]) < 8 and (r["mix"] != 0 or b["mix"] == 0)
+    real = np.stack([r["row"] for r in rows.collect()])
+    conditions = GT.own_conditions(real, encoder.layout, np.random.default_rng(1))
+    assert (conditions.sum(1) == 1).all()
+    model = encoder.train(df, 2.0, 3, 2, 1, ["id"], hidden=8, loss="bce", mode_weight=1.0)
+    made = encoder.synthetic(model, 40).collect()
+    assert len(made) == 40 and {r["y"] for r in made} <= {"x", "y"} and all(2 <= r["ord"] <= 5 and r["mix"] >= 0 for r in made)
+
+
+def test_losses_are_derivatives():
+    s = np.linspace(-3, 3, 7)[:, None]
+    for loss in ("wasserstein", "bce"):
+        by_hand = [(G.value_of(np.array([[x + 1e-5]]), loss) - G.value_of(np.array([[x - 1e-5]]), loss)) / 2e-5 for x in s[:, 0]]
+        assert np.allclose(G.pull(s, True, loss)[:, 0], by_hand, atol=1e-4) and (G.pull(s, False, loss) > 0).all()
+
+
+def test_warm_up_meets_the_levels():
+    layout = G.Layout((("softmax", 3),))
+    model = G.FederatedGan(layout, 1.0, 2, 1, hidden=16, rate=0.5, seed=3)
+    model.levels = [np.array([0.7, 0.2, 0.1])]
+    losses = [model.generator_step(128, warm_up=True) for _ in range(150)]
+    assert np.mean(losses[-20:]) < np.mean(losses[:20])
+
+
+def test_plans_with_merged_levels_charge_all_they_release(spark):
+    df, spec = small_table(spark)
+    bins = {c.name: D.bins_of(c) for c in spec.columns}
+    domain = pgm.Domain({n: len(b) for n, b in bins.items()})
+    coded = D.coded(df, spec, bins, ["client_id"])
+    for plan, fit in models.FITS.items():
+        got = fit(coded, domain, models.Settings(mu=1.5, iterations=100), P.Noise("keyed", 2), bins=bins)
+        assert got[1].spent == pytest.approx(1.5) and got[1].steps[0][0] == "levels", plan
+        assert got[0].total == pytest.approx(600, rel=0.2)
+    answers = models.Answers(coded, domain, [(a,) for a in domain.attrs])
+    found, groups = models.merged_levels(answers, bins, 0.5, 0.5, np.random.default_rng(1))
+    assert groups and all(m.groups or len(m.y) == domain[m.clique[0]] for m in found) and all(len(g) == domain[n] for n, g in groups.items())
+    sizes = answers.client_sizes()
+    assert set(sizes) == {0, 1, 2} and all(abs(v - 200) < 60 for v in sizes.values())
+
+
+def test_rows_without_a_level_are_reported(spark):
+    df, spec = small_table(spark, 60)
+    bins = {c.name: D.bins_of(c) for c in spec.columns}
+    coded = D.coded(df.withColumn("y", F.lit("neither")), spec, bins, ["client_id"])
+    with pytest.raises(ValueError, match="'y': 60"):
+        models.fit_independent(coded, pgm.Domain({n: len(b) for n, b in bins.items()}), models.Settings(), P.Noise("keyed", 2))
+
+
+def test_stored_models_and_releases(spark):
+    df, spec = small_table(spark, 120)
+    bins = {c.name: D.bins_of(c) for c in spec.columns}
+    domain = pgm.Domain({n: len(b) for n, b in bins.items()})
+    model, ledger, _ = models.fit_tree(D.coded(df, spec, bins, ["client_id"]), domain, models.Settings(iterations=50), P.Noise("keyed", 2))
+    stored = {(c, ps): t for c, ps, t in models.read_model(models.model_table(spark, model), domain)}
+    assert all(np.allclose(stored[c, ps], t) for c, ps, t in model.conditionals())
+    assert [r["mu"] for r in models.ledger_table(spark, ledger).orderBy("step").collect()] == [m for _, m in ledger.steps]
+    sets = [("a", "b"), ("a", "c"), ("b", "c")] + [("a", "b", "c")] * 9
+    some = models.checked_sets(sets, 6, np.random.default_rng(1))
+    assert len(some) == 6 and sum(len(c) == 2 for c in some) == 3
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.round(rng.normal(0, 5, 700), 1), np.zeros(300)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    shares = [i / 13 for i in range(14)]
+    assert np.allclose(D.exact_percentiles(df, "x", shares), np.quantile(x, shares))
+    assert D.exact_percentiles(df.limit(0), "x", shares) == []
+
+
+def test_a_small_grid(spark):
+    df, spec = small_table(spark)
+    df = df.fillna(1.0, ["num"]).drop("client_id")
+    bins = {c.name: D.bins_of(c) for c in spec.columns}
+    got = evaluation.run_grid(df, ["id"], spec, bins, ["num", "mix"], ["heterogeneous_equalsize"], [2.0], 2, ["independent", "local"], P.Noise("keyed", 4), keep=lambda rep: rep < 1, iterations=50).toPandas()
+    assert set(got["model"]) == {"training rows", "independent", "local"} and set(got["rep"]) == {0}
+    errors = got[got["metric"] == "marginal error 1"].set_index("model")["value"]
+    assert errors["training rows"] < errors["local"] and got["value"].notna().any()
+    assert len(evaluation.marginal_sample("abcd", 2, 3, 1)) == 3 and len(evaluation.marginal_sample("abc", 3, 9, 1)) == 1
