@@ -254,7 +254,7 @@ def test_the_gan_trains_on_all_rows(spark, monkeypatch):
 
 def small_table(spark, n=600):
     rng = np.random.default_rng(5)
-    rows = [(i, int(i % 3), ["u", "v", None][int(rng.integers(0, 3))], None if i % 50 == 0 else float(np.round(rng.normal(40, 9), 1)), float(max(0.0, np.round(rng.normal(0, 5), 1))), int(rng.integers(2, 6)), "yx"[i % 2]) for i in range(n)]
+    rows = [(i, int(i % 3), ["u", "v", None][int(rng.integers(0, 3))], None if i % 50 == 0 else float(np.round(rng.normal(40, 9), 1)), float(max(0.0, np.round(rng.normal(0, 5), 1))), int(rng.integers(2, 6)), "y" if i % 4 == 0 else "x") for i in range(n)]
     spec = TableSpec((ColumnSpec("cat", "categorical", levels=("u", "v"), may_be_missing=True), ColumnSpec("num", "numerical", 1, 0.0, 100.0, may_be_missing=True), ColumnSpec("mix", "mixed", 1, 0.0, 50.0), ColumnSpec("ord", "ordinal", low=2, high=5), ColumnSpec("y", "categorical", levels=("x", "y"))), label="y")
     return spark.createDataFrame(rows, "id long, client_id int, cat string, num double, mix double, ord int, y string"), spec
 
