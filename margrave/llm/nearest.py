@@ -33,7 +33,7 @@ from .common import Scratch, fingerprint
 #: Neighbours a node keeps; orders and block of the start; pairs a list returns to one of its members.
 NEIGHBOURS, ORDERS, BLOCK, RETURNED = 32, 2, 256, 6
 #: NN-descent ends when a smaller share of the lists' entries is new.
-CHANGED = 0.05
+CHANGED = 0.01
 #: Nodes that a query expands in a round; its best nodes, all of which it expands; scored nodes that it keeps; entries of either kind.
 EXPANDED, BEAM, KEPT, ENTRIES = 32, 128, 640, 32
 PLANES = 24
