@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from itertools import chain
 
 #: A leaf of the byte tree, in bytes, and of the text tree, in characters.
-LEAF, TEXT_LEAF = 16, 1024
+LEAF, TEXT_LEAF = 32, 1024
 #: Ids that a leaf of the decoding tree holds.
 IDS_LEAF = 1024
 #: Entries that a worker's cache of segments may hold before it is emptied.
@@ -34,10 +34,13 @@ class ByteBPE:
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
+        import tiktoken
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocabulary = {b: a for a, b in self.ranks.items()}
+        # A pattern that matches all of a text, so that the text is merged as one piece.
+        self._whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self._pieces = regex.compile(pattern).findall
         self._cut = regex.compile(r"(?<=\S)(?= )").split
         self._odd = regex.compile(r"[^\S \n]").search
@@ -46,11 +49,12 @@ class ByteBPE:
 
     # -- bytes ---------------------------------------------------------------------------------------------------------------
 
-    def piece(self, data: bytes) -> list[int]:
-        """Ids of one match of the pattern."""
+    def piece(self, text: str) -> list[int]:
+        """Ids of one match of the pattern; one that fits a leaf is merged by the library."""
+        data = text.encode("utf-8")
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        return self._tree(data)
+        return self._whole(text) if len(data) <= LEAF else self._tree(data)
 
     def _leaf(self, data: bytes) -> list[int]:
         """Ids of a few bytes: the neighbours whose join has the least rank are merged, leftmost first, until no join has a rank."""
@@ -101,7 +105,7 @@ class ByteBPE:
     def segment_ids(self, segment: str) -> tuple[int, ...]:
         found = self._cache.get(segment)
         if found is None:
-            found = tuple([i for piece in self._pieces(segment) for i in self.piece(piece.encode("utf-8"))])
+            found = tuple([i for piece in self._pieces(segment) for i in self.piece(piece)])
             if len(segment) <= 256:
                 if len(self._cache) >= CACHE:
                     self._cache.clear()
