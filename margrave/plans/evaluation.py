@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_stand_in
 from ..operators import discretize, evaluate, privacy, split, synth
 from ..operators.discretize import Bin
 from ..operators.pgm import Domain, Model
@@ -30,12 +31,14 @@ def metrics(train: DataFrame, test: DataFrame, rows: DataFrame | None, spec: Tab
     """(metric, value) of synthetic rows, or of the training rows themselves if there are none: the baseline.
 
     train, test and rows are in the original space.  Marginal errors are over codes.  Discrimination and utility are by a logistic model
-    on ``features`` (numbers), and by a forest too where trees are asked for.
+    on ``features`` (numbers; missing ones as their stand-in), and by a forest too where trees are asked for.
     """
     rows = train if rows is None else rows
     a, b = (in_space(x, spec, bins, False, True, 0) for x in (test, rows))
     out = [(f"marginal error {k}", evaluate.marginal_error(a, b, spec.names, k).first()["error"]) for k in degrees]
     label = F.col(spec.label)
+    filled = lambda x: x.withColumns({c: with_stand_in(F.col(c), "number") for c in features})
+    train, test, rows = filled(train), filled(test), filled(rows)
     for model in ["logistic"] + ["forest"] * bool(trees):
         got = evaluate.discriminator(test, rows, features, model, **({"trees": trees} if trees else {})).first()
         out += [(f"discriminator {model} accuracy", got["accuracy"]), (f"discriminator {model} skill", got["skill"])]
