@@ -82,8 +82,8 @@ class Dataset:
         return self.clean(raw)
 
 
-def _roles(numerical: str = "", ordinal: str = "", mixed: str = "", categorical: str = "") -> dict[str, str]:
-    return {n: role for role, names in (("numerical", numerical), ("ordinal", ordinal), ("mixed", mixed), ("categorical", categorical)) for n in names.split()}
+def _roles(**names: list[str]) -> dict[str, str]:
+    return {n: role for role, own in names.items() for n in own}
 
 
 # Columns, roles and codes of four public datasets.
@@ -92,14 +92,24 @@ ADULT = Dataset(
     escape=".",
     label="income>50K",
     label_map={" <=50K": 0, " >50K": 1},
-    roles=_roles("age fnlwgt hours-per-week", "education-num", "capital-gain capital-loss", "workclass marital-status occupation relationship race sex native-country income>50K"),
+    roles=_roles(
+        numerical=["age", "fnlwgt", "hours-per-week"],
+        ordinal=["education-num"],
+        mixed=["capital-gain", "capital-loss"],
+        categorical=["workclass", "marital-status", "occupation", "relationship", "race", "sex", "native-country", "income>50K"],
+    ),
     shift={"education-num": -1},
 )
 LOAN = Dataset(
     sep=";",
     label="y",
     label_map={"no": 0, "yes": 1},
-    roles=_roles("age campaign emp.var.rate cons.price.idx cons.conf.idx euribor3m nr.employed", "previous", "duration pdays", "job marital education default housing loan contact month day_of_week poutcome y"),
+    roles=_roles(
+        numerical=["age", "campaign", "emp.var.rate", "cons.price.idx", "cons.conf.idx", "euribor3m", "nr.employed"],
+        ordinal=["previous"],
+        mixed=["duration", "pdays"],
+        categorical=["job", "marital", "education", "default", "housing", "loan", "contact", "month", "day_of_week", "poutcome", "y"],
+    ),
     missing={"pdays": (999,)},
     log1p=("duration",),
     divide={"nr.employed": 10.0},
@@ -109,7 +119,10 @@ LOAN = Dataset(
 CREDIT = Dataset(
     sep=",",
     label="Class",
-    roles=_roles("Time Amount " + " ".join(f"V{i}" for i in range(1, 29)), categorical="Class"),
+    roles=_roles(
+        numerical=["Time", "Amount", "V1", "V2", "V3", "V4", "V5", "V6", "V7", "V8", "V9", "V10", "V11", "V12", "V13", "V14", "V15", "V16", "V17", "V18", "V19", "V20", "V21", "V22", "V23", "V24", "V25", "V26", "V27", "V28"],
+        categorical=["Class"],
+    ),
     log1p=("Amount",),
     symmetric_log=tuple(f"V{i}" for i in range(1, 29)),
     decimals={"Amount": 7} | {f"V{i}": 7 for i in range(1, 29)},
@@ -118,17 +131,17 @@ BREAST = Dataset(
     sep=";",
     label="vit_stat",
     roles=_roles(
-        "leeft vit_stat_int ond_lymf tum_afm",
-        "incjr diag_basis diffgrad stadium cstadium pstadium her2_stat",
-        "pos_lymf",
-        "gesl vit_stat tumsoort topo_sublok later morf ct cn cm pt pn pm er_stat pr_stat dcis_comp multifoc swk_uitslag mari_uitslag okd org_chir uitgebr_chir_code dir_reconstr chemo target horm rt meta_rt meta_chir",
+        numerical=["leeft", "vit_stat_int", "ond_lymf", "tum_afm"],
+        ordinal=["incjr", "diag_basis", "diffgrad", "stadium", "cstadium", "pstadium", "her2_stat"],
+        mixed=["pos_lymf"],
+        categorical=["gesl", "vit_stat", "tumsoort", "topo_sublok", "later", "morf", "ct", "cn", "cm", "pt", "pn", "pm", "er_stat", "pr_stat", "dcis_comp", "multifoc", "swk_uitslag", "mari_uitslag", "okd", "org_chir", "uitgebr_chir_code", "dir_reconstr", "chemo", "target", "horm", "rt", "meta_rt", "meta_chir"],
     ),
     remaps={
         "stadium": {"0": 0, "1": 1, "1A": 1, "1B": 2, "2A": 3, "2B": 4, "3": 5, "3A": 5, "3B": 6, "3C": 7, "4": 8},
         "pstadium": {"0": 0, "1": 1, "1A": 1, "1B": 2, "2A": 3, "2B": 4, "3": 5, "3A": 5, "3B": 6, "3C": 7, "4": 8},
         "cstadium": {"0": 0, "1": 1, "1A": 1, "2A": 2, "2B": 3, "3": 4, "3A": 4, "3B": 5, "3C": 6, "4": 7},
         "diag_basis": {2: 0, 5: 1, 6: 2, 7: 3},
-        "incjr": {2010 + i: i for i in range(10)},
+        "incjr": {2010: 0, 2011: 1, 2012: 2, 2013: 3, 2014: 4, 2015: 5, 2016: 6, 2017: 7, 2018: 8, 2019: 9},
     },
     missing={"tum_afm": (98, 99, 999), "ond_lymf": (98, 99, 999), "pos_lymf": (98, 99, 999), "her2_stat": (4, 7, 9), "diffgrad": (9,)},
     log1p=("tum_afm", "ond_lymf"),
