@@ -8,8 +8,9 @@ vectors, taken of every node of a query's state that the rounding's bound doesn'
 
 * Start: a few orders by the signs of random projections, cut into blocks, within which all pairs are compared.
 * A round of NN-descent: every node's list of neighbours and a sample of those that list it are joined with their vectors; of each such
-  list, pairs that improve a member's own list go back to that member.  The samples bound what a hub receives; the hub stays in the
-  lists of all others.  Rounds end when few entries of the lists are new.
+  list, pairs with a new entry that improve a member's own list go back to that member.  The samples bound what a hub receives; the hub
+  stays in the lists of all others.  Rounds end when few entries of the lists are new.  Members are rows of their own, sorted by node and
+  put together in Python, so that no task holds more than a batch of them and one node's.
 * Search: a query's state is a list of scored nodes: first its own and the entries, which are the longest vectors (large inner products
   are theirs, wherever the query lies) and some others.  Each round expands the best nodes not yet expanded, by a join with the adjacency
   table, which stays partitioned by node, until each query's best BEAM nodes are all expanded.  So a query costs about BEAM times the
@@ -28,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, fingerprint
+from .common import Scratch, arrow_rows, fingerprint
 
 #: Neighbours a node keeps; orders and block of the start; pairs a list returns to one of its members.
-NEIGHBOURS, ORDERS, BLOCK, RETURNED = 32, 2, 256, 6
+NEIGHBOURS, ORDERS, BLOCK, RETURNED = 32, 8, 512, 6
 #: NN-descent ends when a smaller share of the lists' entries is new.
 CHANGED = 0.01
 #: Nodes that a query expands in a round; its best nodes, all of which it expands; scored nodes that it keeps; entries of either kind.
-EXPANDED, BEAM, KEPT, ENTRIES = 32, 128, 640, 32
+EXPANDED, BEAM, KEPT, ENTRIES = 64, 128, 640, 32
 PLANES = 24
 LOWEST = float("-inf")
 
@@ -90,130 +91,194 @@ def _nearness(x: np.ndarray) -> np.ndarray:
     return 2 * (x @ np.swapaxes(x, -1, -2)) - square[..., :, None] - square[..., None, :]
 
 
-def _edges(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s.astype(np.float32))], names=["u", "v", "s"])
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by the key, cut anew where it changes: no key's rows are parted, and no more than a batch and a key's rows are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    change = np.ones(len(columns[0]), bool)
+    change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(change)
+
+
+def _lists_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
+
+
+def _scores(u: np.ndarray, counts: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """Rows of SCORES: to each u as many scored nodes as counted, none known before."""
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), _lists_of(v, counts, pa.int64()), _lists_of(s.astype(np.float32), counts), _lists_of(np.zeros(len(v), bool), counts)], names=["u", "v", "s", "known"])
+
+
+#: Scored nodes of u, best first in a list or a state; known: a list's entry of an earlier round, or a state's expanded node.
+SCORES = "u long, v array<long>, s array<float>, known array<boolean>"
 
 
 def _blocks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, orders = batch.column("id").to_numpy(), batch.column("t").to_numpy()
-            x = _matrix(batch.column("v"), width) if len(ids) else np.zeros((0, width))
-            edges = np.concatenate([[0], np.flatnonzero(orders[1:] != orders[:-1]) + 1, [len(ids)]])
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column("id").to_numpy(), _matrix(batch.column("v"), width)
+            edges = [*_firsts(batch.column("t").to_numpy()), len(ids)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 for at in range(a, b, BLOCK):
                     stop = min(at + BLOCK, b)
                     at = max(a, stop - BLOCK)  # the last block reaches back, so that none is small
-                    g = _nearness(x[at:stop])
-                    np.fill_diagonal(g, -np.inf)
                     k = min(NEIGHBOURS, stop - at - 1)
                     if k > 0:
+                        g = _nearness(x[at:stop])
+                        np.fill_diagonal(g, -np.inf)
                         best = np.argpartition(-g, k - 1, axis=1)[:, :k]
                         here = ids[at:stop]
-                        yield _edges(np.repeat(here, k), here[best].reshape(-1), np.take_along_axis(g, best, 1).reshape(-1))
+                        yield _scores(here, np.full(len(here), k), here[best].reshape(-1), np.take_along_axis(g, best, 1).reshape(-1))
 
     return run
 
 
 def _improved(width: int):
-    """Rows (members: list of (id, v, radius)) to edges that enter a member's list."""
+    """Rows (pivot, id, v, radius, new), sorted by pivot, to SCORES: pairs of a pivot's members, of which one is new there, that enter a member's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("members")
-            offsets = column.offsets.to_numpy().astype(np.int64)
-            flat = column.flatten()
-            ids, radius = flat.field("id").to_numpy(), flat.field("radius").to_numpy().astype(np.float32)
-            if not len(ids):
-                continue
-            x, offsets = _matrix(flat.field("v"), width), offsets - offsets[0]
-            counts = np.diff(offsets)
+        for rows in _whole(batches, "pivot"):
+            ids, radius, x = rows.column("id").to_numpy(), rows.column("radius").to_numpy(), _matrix(rows.column("v"), width)
+            fresh = rows.column("new").to_numpy(zero_copy_only=False)
+            starts = _firsts(rows.column("pivot").to_numpy())
+            counts = np.diff([*starts, len(ids)])
             for at in range(0, len(counts), 256):
-                n = counts[at : at + 256]
+                first, n = starts[at : at + 256], counts[at : at + 256]
                 size = int(n.max(initial=0))
                 if size < 2:
                     continue
-                slot = np.arange(size)
-                there = slot < n[:, None]
-                index = np.where(there, offsets[at : at + len(n), None] + slot, offsets[at : at + len(n), None].clip(max=len(ids) - 1))
-                block, names = x[index], ids[index]
-                g = _nearness(block)
-                g[~there[:, :, None] | ~there[:, None, :] | (names[:, :, None] == names[:, None, :])] = -np.inf
+                there = np.arange(size) < n[:, None]
+                index = np.where(there, first[:, None] + np.arange(size), first[:, None])
+                names, news = ids[index], fresh[index]
+                g = _nearness(x[index])
+                g[~there[:, :, None] | ~there[:, None, :] | (names[:, :, None] == names[:, None, :]) | ~(news[:, :, None] | news[:, None, :])] = -np.inf
                 k = min(RETURNED, size - 1)
                 best = np.argpartition(-g, k - 1, axis=2)[:, :, :k]
                 s = np.take_along_axis(g, best, 2)
-                i, j, l = np.nonzero(s > radius[index][:, :, None])
-                yield _edges(names[i, j], names[i, best[i, j, l]], s[i, j, l])
+                hit = (s > radius[index][:, :, None]) & (s > -np.inf)
+                i, j, l = np.nonzero(hit)
+                each = hit.sum(2)
+                if len(i):
+                    yield _scores(names[each > 0], each[each > 0], names[i, best[i, j, l]], s[i, j, l])
 
     return run
 
 
-def _lists(edges: DataFrame) -> DataFrame:
-    """(u, near): each node's best neighbours (s, v, new), best first.  A node's edges number at most a few lists' worth.
+def _best(keep: int, at: int, walk: bool = False):
+    """Rows of SCORES, sorted by u, to one for each u: its ``keep`` best nodes, best first; radius: the score at place ``at``, if there is one.
 
-    Scores of one pair differ by rounding where they were taken in different groups; the greatest counts.
+    Scores of one pair differ by rounding where they were taken in different groups; the greatest counts.  A walk has a query vector in
+    one of the rows of u, and gets pivots: of the best BEAM nodes the first EXPANDED that aren't known, which then are.
     """
-    once = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
-    return once.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v", "new")), asc=False), 1, NEIGHBOURS).alias("near"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, "u"):
+            owner = rows.column("u").to_numpy()
+            u = owner[_firsts(owner)]
+            group = np.repeat(np.searchsorted(u, owner), np.diff(rows.column("v").offsets.to_numpy()))
+            v, s, known = (rows.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("v", "s", "known"))
+            if len(v):
+                order = np.lexsort((v, group))
+                group, v, s, known = group[order], v[order], s[order], known[order]
+                first = _firsts(group, v)
+                group, v, s, known = group[first], v[first], np.maximum.reduceat(s, first), np.logical_or.reduceat(known, first)
+                order = np.lexsort((v, -s, group))
+                group, v, s, known = group[order], v[order], s[order], known[order]
+            place = np.arange(len(group)) - np.searchsorted(group, group)
+            group, v, s, known, place = (c[place < keep] for c in (group, v, s, known, place))
+            counts = np.bincount(group, minlength=len(u))
+            radius = np.full(len(u), LOWEST, np.float32)
+            radius[group[place == at - 1]] = s[place == at - 1]
+            more, names = [pa.array(np.bincount(group, ~known, len(u)).astype(np.int32))], ["fresh"]
+            if walk:
+                ahead = ~known & (place < BEAM)
+                turn = np.cumsum(ahead)
+                starts = np.searchsorted(group, np.arange(len(u)))
+                now = ahead & (turn - np.concatenate([[0], turn])[starts][group] <= EXPANDED)
+                query = rows.column("query")
+                more, names = [query.filter(query.is_valid()), _lists_of(v[now], np.bincount(group[now], minlength=len(u)), pa.int64())], ["query", "pivots"]
+                known = known | now
+            yield pa.RecordBatch.from_arrays([pa.array(u), _lists_of(v, counts, pa.int64()), _lists_of(s, counts), _lists_of(known, counts), pa.array(radius), *more], names=["u", "v", "s", "known", "radius", *names])
+
+    return run
+
+
+def _lists(scores: DataFrame) -> DataFrame:
+    """Each node's list of its best neighbours; fresh: how many of them are new.  A node's scores number at most a few lists' worth."""
+    return scores.repartition("u").sortWithinPartitions("u").mapInArrow(_best(NEIGHBOURS, NEIGHBOURS), f"{SCORES}, radius float, fresh int")
 
 
 def _around(lists: DataFrame, salt: int) -> DataFrame:
-    """(pivot, member): each node's neighbours and a sample, as large at most, of the nodes that list it."""
-    forward = lists.select(F.col("u").alias("pivot"), F.explode("near.v").alias("member"))
-    back = forward.select(F.col("member").alias("pivot"), F.col("pivot").alias("member"))
-    order = Window.partitionBy("pivot").orderBy(F.xxhash64(F.lit(salt), "member"), "member")
+    """(pivot, member, new): each node's neighbours and a sample, as large at most, of the nodes that list it, those with new entries first."""
+    forward = lists.select(F.col("u").alias("pivot"), F.explode(F.arrays_zip("v", "known")).alias("x")).select("pivot", F.col("x.v").alias("member"), (~F.col("x.known")).alias("new"))
+    back = forward.select(F.col("member").alias("pivot"), F.col("pivot").alias("member"), "new")
+    order = Window.partitionBy("pivot").orderBy(F.desc("new"), F.xxhash64(F.lit(salt), "member"), "member")
     back = back.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= NEIGHBOURS).drop("rank")
-    return forward.unionByName(back).distinct()
+    return forward.unionByName(back).groupBy("pivot", "member").agg(F.max("new").alias("new"))
 
 
 def build_graph(scratch: Scratch, nodes: DataFrame, width: int) -> DataFrame:
-    """(u, near) by NN-descent; nodes: (id, v, p)."""
+    """The lists (u, v, s, known, radius, fresh) by NN-descent; nodes: (id, v, p)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A task with less than a few blocks would leave its nodes few others to start with, or none.
     tasks = max(1, min(parts, nodes.count() * ORDERS // (4 * BLOCK)))
     laid = nodes.select("id", "v", F.posexplode("p").alias("t", "code")).repartitionByRange(tasks, "t", "code", "id").sortWithinPartitions("t", "code", "id")
-    first = laid.select("id", "v", "t").mapInArrow(_blocks(width), "u long, v long, s float").withColumn("new", F.lit(1))
+    first = laid.select("id", "v", "t").mapInArrow(_blocks(width), SCORES)
     lists, turn = scratch.write(_lists(first), "lists"), 0
     while True:
-        last = F.when(F.size("near") >= NEIGHBOURS, F.col("near")[NEIGHBOURS - 1]["s"]).otherwise(F.lit(LOWEST))
-        known = nodes.select("id", "v").join(lists.select(F.col("u").alias("id"), last.alias("radius")), "id", "left").fillna(LOWEST, ["radius"])
-        around = _around(lists, turn).join(known.withColumnRenamed("id", "member"), "member")
-        groups = around.groupBy("pivot").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v", "radius")).alias("members"))
-        fresh = groups.select("members").mapInArrow(_improved(width), "u long, v long, s float").withColumn("new", F.lit(1))
-        old = lists.select("u", F.explode("near").alias("x")).select("u", "x.v", "x.s", F.lit(0).alias("new"))
+        known = nodes.select(F.col("id"), "v").join(lists.select(F.col("u").alias("id"), "radius"), "id", "left").fillna(LOWEST, ["radius"])
+        members = _around(lists, turn).join(known.withColumnRenamed("id", "member"), "member").select("pivot", F.col("member").alias("id"), "v", "radius", "new")
+        fresh = members.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(_improved(width), SCORES)
+        old = lists.select("u", "v", "s", F.transform("known", lambda x: F.lit(True)).alias("known"))
         new = scratch.write(_lists(old.unionByName(fresh)), "lists")
         scratch.drop(lists)
         lists, turn = new, turn + 1
-        seen = lists.select(F.size("near").alias("n"), F.aggregate("near", F.lit(0), lambda s, x: s + x["new"]).alias("new")).agg(F.sum("n").alias("n"), F.sum("new").alias("new")).first()
+        seen = lists.agg(F.sum(F.size("v")).alias("n"), F.sum("fresh").alias("new")).first()
         if (seen["new"] or 0) <= CHANGED * (seen["n"] or 0):
             return lists
 
 
 def _scored(width: int):
-    """Rows (q, query, radius, near: list of (id, v)) to (q, v, s): the neighbours scored, those at the radius or beyond it."""
+    """Rows (q, query, radius, near: list of (id, v)) to SCORES of q: the neighbours scored, those at the radius or beyond it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = batch.column("near")
-            counts = np.diff(near.offsets.to_numpy())
-            flat = near.flatten()
-            ids, x = flat.field("id").to_numpy(), _matrix(flat.field("v"), width)
-            row = np.repeat(np.arange(len(counts)), counts)
-            queries = _matrix(batch.column("query"), width)[:, :-1]
-            x = x[:, :-1]
-            s = np.empty(len(ids), np.float32)
-            for at in range(0, len(ids), 1 << 16):
-                s[at : at + (1 << 16)] = np.einsum("ij,ij->i", x[at : at + (1 << 16)], queries[row[at : at + (1 << 16)]])
-            hit = np.flatnonzero(s >= batch.column("radius").to_numpy()[row])
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row[hit])), pa.array(ids[hit]), pa.array(s[hit])], names=["q", "v", "s"])
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                near = rows.column("near")
+                counts = np.diff(near.offsets.to_numpy())
+                flat = near.flatten()
+                ids, x = flat.field("id").to_numpy(), _matrix(flat.field("v"), width)[:, :-1]
+                row = np.repeat(np.arange(len(counts)), counts)
+                s = np.einsum("ij,ij->i", x, _matrix(rows.column("query"), width)[row, :-1])
+                hit = s >= rows.column("radius").to_numpy()[row]
+                each = np.bincount(row[hit], minlength=len(counts))
+                yield _scores(rows.column("q").to_numpy()[each > 0], each[each > 0], ids[hit], s[hit])
 
     return run
 
 
 def _entered(entries: list, width: int):
-    """Rows (q, query) to (q, v, s, done): the query's own node, to be expanded first, and the entries, scored."""
+    """Rows (q, query) to SCORES with the query: its own node, to be expanded first, and the entries, scored."""
     ids = np.array([r["id"] for r in entries], dtype=np.int64)
     x = np.stack([np.frombuffer(r["v"], np.float32) for r in entries])[:, :-1]
 
@@ -226,41 +291,41 @@ def _entered(entries: list, width: int):
             v = np.hstack([own[:, None], np.broadcast_to(ids, (len(own), len(ids)))])
             hit = v != own[:, None]
             hit[:, 0] = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, hit.sum(1))), pa.array(v[hit]), pa.array(s[hit]), pa.array(np.zeros(int(hit.sum()), bool))], names=["q", "v", "s", "done"])
+            rows = _scores(own, hit.sum(1), v[hit], s[hit])
+            yield pa.RecordBatch.from_arrays([*rows.columns, batch.column("query")], names=[*rows.schema.names, "query"])
 
     return run
 
 
 def _walk(scratch: Scratch, lists: DataFrame, nodes: DataFrame, starts: DataFrame, width: int) -> DataFrame:
     """(q, v, s): the nodes each query has scored best; starts: (q), nodes to search from and for."""
-    around = _around(lists, -1).join(nodes.select(F.col("id").alias("member"), "v"), "member")
-    near = around.groupBy("pivot").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v")).alias("near"))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Kept where it can be made again from the tables written, should an executor go.
-    near = near.repartition(parts, "pivot").persist(StorageLevel.MEMORY_AND_DISK)
-    queries = scratch.write(starts.join(nodes.select(F.col("id").alias("q"), F.col("v").alias("query")), "q"), "queries")
+    spark = nodes.sparkSession
+    queries = starts.join(nodes.select(F.col("id").alias("q"), F.col("v").alias("query")), "q")
     entries = {r["id"]: r for order in (F.desc("square"), F.xxhash64("id")) for r in nodes.select("id", "v", "square").orderBy(order, "id").limit(ENTRIES).collect()}
     if not entries:
         return queries.select("q", F.col("q").alias("v"), F.lit(0.0).cast("float").alias("s"))
-    state = scratch.write(queries.select("q", "query").mapInArrow(_entered(list(entries.values()), width), "q long, v long, s float, done boolean"), "state")
-    by_score = Window.partitionBy("q").orderBy(F.desc("s"), "v")
-    while True:
-        ranked = state.withColumn("rank", F.row_number().over(by_score))
-        ahead = F.when(~F.col("done") & (F.col("rank") <= BEAM), 1).otherwise(0)
-        ranked = ranked.withColumn("open", ahead).withColumn("turn", F.sum("open").over(by_score.rowsBetween(Window.unboundedPreceding, 0)))
-        ranked = ranked.withColumn("now", (F.col("open") == 1) & (F.col("turn") <= EXPANDED))
-        # At the radius or beyond it a new node can be among those kept.
-        radius = ranked.groupBy("q").agg(F.coalesce(F.min(F.when(F.col("rank") == KEPT // 2, F.col("s"))), F.lit(LOWEST)).alias("radius"))
-        front = scratch.write(ranked.filter("now").select("q", F.col("v").alias("pivot")).join(radius, "q"), "front")
-        if front.isEmpty():
-            near.unpersist()
-            return state.select("q", "v", "s")
-        found = front.join(queries, "q").join(near, "pivot").select("q", "query", "radius", "near").mapInArrow(_scored(width), "q long, v long, s float")
-        now = ranked.select("q", "v", "s", (F.col("done") | F.col("now")).alias("done"))
-        both = now.unionByName(found.withColumn("done", F.lit(False))).groupBy("q", "v").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-        new = scratch.write(both.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= KEPT).drop("rank"), "state")
-        scratch.drop(state, front)
-        state = new
+    around = _around(lists, -1).join(nodes.select(F.col("id").alias("member"), "v"), "member")
+    near = around.groupBy("pivot").agg(F.collect_list(F.struct(F.col("member").alias("id"), "v")).alias("near"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Kept where it can be made again from the tables written, should an executor go.
+    near = near.repartition(parts, "pivot").sortWithinPartitions("pivot").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def next_state(scores: DataFrame) -> DataFrame:
+        return scratch.write(scores.repartition("u").sortWithinPartitions("u").mapInArrow(_best(KEPT, KEPT // 2, walk=True), f"{SCORES}, radius float, query binary, pivots array<long>"), "state")
+
+    try:
+        with arrow_rows(spark, 512):  # a row holds a node's neighbours with their vectors
+            state = next_state(queries.select("q", "query").mapInArrow(_entered(list(entries.values()), width), f"{SCORES}, query binary"))
+            while not state.filter(F.size("pivots") > 0).isEmpty():
+                # At the radius or beyond it a new node can be among those kept.
+                front = state.select(F.explode("pivots").alias("pivot"), F.col("u").alias("q"), "query", "radius")
+                found = front.join(near, "pivot").select("q", "query", "radius", "near").mapInArrow(_scored(width), SCORES)
+                new = next_state(state.select("u", "v", "s", "known", "query").unionByName(found, allowMissingColumns=True))
+                scratch.drop(state)
+                state = new
+    finally:
+        near.unpersist()
+    return state.select(F.col("u").alias("q"), F.explode(F.arrays_zip("v", "s")).alias("x")).select("q", "x.v", "x.s")
 
 
 def search(embeddings: DataFrame, queries: Column, k: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,38 @@ def test_recall(spark, kind):
     assert set(found) == set(expected) and np.mean([len(found[q] & set(e)) / 20 for q, e in expected.items()]) >= 0.95
 
 
+def test_python_gets_a_bounded_part_of_the_graph_at_once(spark, monkeypatch):
+    handed = type(spark.range(0)).mapInArrow
+
+    def bounded(self, run, schema, *args, **kwargs):
+        def held(batches):
+            for batch in batches:
+                if batch.nbytes > 16 << 20:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return handed(self, lambda batches: run(held(batches)), schema, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", bounded)
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(2000)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 2 == 0).collect()
+    expected, found = brute_nearest(rows, 20, 2), {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == set(expected) and np.mean([len(found[q] & set(e)) / 20 for q, e in expected.items()]) >= 0.95
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_rows_of_a_key_stay_together():
+    keys = np.array([1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 5])
+    for size in (1, 2, 3, 4, 11):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + size])], names=["u"]) for a in range(0, len(keys), size)]
+        got = [b.column("u").to_pylist() for b in nearest._whole(iter([batches[0].slice(0, 0), *batches]), "u")]
+        assert sum(got, []) == keys.tolist() and not any(set(a) & set(b) for a, b in zip(got, got[1:], strict=False))
+
+
 def test_every_pair_of_a_shingle_across_classes_meets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     rng = np.random.default_rng(8)
