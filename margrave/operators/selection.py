@@ -109,16 +109,17 @@ def model_megabytes(domain: Domain, cliques: Sequence[Sequence[str]]) -> float:
     return sum(math.prod(domain[a] for a in c) for c in junction_tree(domain, cliques)[0]) * 8 / 2**20
 
 
-def candidates(domain: Domain, workload: Sequence[tuple[str, ...]], measured: Sequence[tuple[str, ...]], n_rows: float, mu_measure: float, spent_share: float, clients: int, max_mb: float, theta: float = 6.0, pooled: Domain | None = None) -> list[tuple[str, ...]]:
+def candidates(domain: Domain, workload: Sequence[tuple[str, ...]], measured: Sequence[tuple[str, ...]], n_rows: float, mu_measure: float, spent_share: float, clients: int, max_mb: float, theta: float = 6.0, pooled: Domain | None = None, again: bool = False) -> list[tuple[str, ...]]:
     """The sets worth nominating: of two columns or more, not too many cells for their noise, and the model stays small enough.
 
-    The size allowed grows with the share of the budget (squared) spent; sets within measured ones never enlarge the model.
+    The size allowed grows with the share of the budget (squared) spent; sets within measured ones never enlarge the model.  Measured sets
+    themselves are left out, unless they are to be measured again.
     """
     cells = math.ceil(n_rows * mu_measure / (theta * math.sqrt(clients) * math.sqrt(2 / math.pi)))
     sizes = pooled or domain
     out = []
     for c in workload:
-        if len(c) < 2 or tuple(c) in {tuple(m) for m in measured} or math.prod(sizes[a] for a in c) > cells:
+        if len(c) < 2 or not again and tuple(c) in {tuple(m) for m in measured} or math.prod(sizes[a] for a in c) > cells:
             continue
         if any(set(c) <= set(m) for m in measured) or model_megabytes(domain, [*measured, c]) <= max_mb * spent_share**2:
             out.append(tuple(c))

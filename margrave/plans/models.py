@@ -191,10 +191,20 @@ def fit_tree(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: pr
     return pgm.estimate(domain, got, settings.engine, settings.iterations, warm=first), ledger, tree
 
 
+#: Of a round's budget (squared): nomination by clients, choice, measurement.
+ROUND_SHARES = (0.1, 0.1, 0.8)
+
+
+def _next_step(mu_step: float, left: float) -> float:
+    """A round's budget, or all that is left where that is less than two rounds' worth."""
+    return left if left**2 < 2 * mu_step**2 else mu_step
+
+
 def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, noise: privacy.Noise, rounds: int | None = None, bins: dict[str, Sequence[Bin]] | None = None) -> tuple[pgm.Model, privacy.Ledger, list[tuple[str, ...]]]:
     """The iterative choice: rounds of nomination by clients (exponential mechanism), choice by noisy maximum, measurement and a new model.
 
-    A round whose model moves less than its noise would doubles the next rounds' budget (squared); the last round spends what is left.
+    A round whose model moves less than its noise would doubles the next rounds' budget (squared), and so does one whose noise is too much
+    for all sets that are open; the last round spends what is left.  Where even that opens no other set, measured ones are measured again.
     """
     ledger, rng = privacy.Ledger(settings.mu), _rng(settings, noise)
     ones = [(a,) for a in domain.attrs]
@@ -208,15 +218,22 @@ def fit_iterative(coded: DataFrame, domain: pgm.Domain, settings: Settings, nois
     n_clients, chosen = len(answers.clients), []
     merged = pgm.Domain({n: int(groups[n].max()) + 1 if n in groups else size for n, size in domain.sizes.items()})
     mu_step = math.sqrt(0.8 * mu**2 / (rounds or 10 * len(ones)))
+
+    def opened(step: float, again: bool = False) -> list[tuple[str, ...]]:
+        measure = privacy.proportional(step, ROUND_SHARES)[2]
+        return selection.candidates(domain, workload, chosen, model.total, measure, ledger.spent / settings.mu, n_clients, settings.max_mb, settings.theta, merged, again)
+
     while ledger.left > 1e-6:
         sizes = answers.client_sizes()
         total = sum(sizes.values())
-        mu_step = ledger.left if ledger.left**2 < 2 * mu_step**2 else mu_step
-        nominate, choose, measure = privacy.proportional(mu_step, (0.1, 0.1, 0.8))
-        open_sets = selection.candidates(domain, workload, chosen, model.total, measure, ledger.spent / settings.mu, n_clients, settings.max_mb, settings.theta, merged)
+        mu_step = _next_step(mu_step, ledger.left)
+        while not (open_sets := opened(mu_step)) and mu_step < ledger.left:
+            mu_step = _next_step(math.sqrt(2) * mu_step, ledger.left)
+        open_sets = open_sets or opened(mu_step, again=True)
         if not open_sets:
             break
         open_sets = checked_sets(open_sets, settings.max_checks, rng)
+        nominate, choose, measure = privacy.proportional(mu_step, ROUND_SHARES)
         named = set()
         for client in answers.clients:
             scores = _scores(answers, client, open_sets, model, sizes[client] / total, measure, settings.method)

@@ -310,6 +310,19 @@ def test_plans_with_merged_levels_charge_all_they_release(spark):
     assert set(sizes) == {0, 1, 2} and all(abs(v - 200) < 60 for v in sizes.values())
 
 
+def test_the_iterative_plan_spends_what_is_left(spark):
+    df = spark.range(600).select((F.col("id") % 3).cast("int").alias("client_id"), (F.col("id") % 2).cast("int").alias("a"), (F.col("id") % 4).cast("int").alias("b"))
+    _, ledger, chosen = models.fit_iterative(df, pgm.Domain({"a": 2, "b": 4}), models.Settings(mu=3.0, iterations=100), P.Noise("keyed", 1), rounds=6)
+    assert ledger.spent == pytest.approx(3.0) and set(chosen) == {("a", "b")} and len(chosen) > 1  # the only set there is, again
+    wide = df.withColumn("b", (F.col("b") * 10).cast("int"))  # too many cells for the noise of a first round
+    domain, s = pgm.Domain({"a": 2, "b": 40}), models.Settings(mu=1.5, iterations=100)
+    assert not X.candidates(domain, [("a", "b")], [], 600, math.sqrt(0.8 * 0.8 / 20) * 1.5, 1.0, 3, s.max_mb)
+    _, ledger, chosen = models.fit_iterative(wide, domain, s, P.Noise("keyed", 1))
+    assert ledger.spent == pytest.approx(1.5) and chosen
+    _, ledger, chosen = models.fit_iterative(df.drop("b"), pgm.Domain({"a": 2}), s, P.Noise("keyed", 1))
+    assert chosen == [] and [name for name, _ in ledger.steps] == ["one-way"]  # no set of two columns
+
+
 def test_rows_without_a_level_are_reported(spark):
     df, spec = small_table(spark, 60)
     bins = {c.name: D.bins_of(c) for c in spec.columns}
