@@ -98,7 +98,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     pairs = store.scratch.write(pairs.filter("key is not null").select("doc_id", "key.h1", "key.h2", "batch"), "pairs", "batch")
     for i in range(len(cuts) + 1):
         store.append(pairs.filter(F.col("batch") == i).select("doc_id", *KEYS))
-    heavy = store.keys().filter(F.col("n_docs") >= min_docs).select(*KEYS, "keeper")
+    # Written, so that the join has plain shuffles on both sides and Spark can split the documents of a very common line.
+    heavy = store.scratch.write(store.keys().filter(F.col("n_docs") >= min_docs).select(*KEYS, "keeper"), "heavy")
     losers = pairs.join(heavy, KEYS).filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")) | F.col("keeper").isNull())
     drops = losers.groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias("drops"))
     # The columns travel in a struct, so that their names can't clash with ours.

@@ -51,6 +51,26 @@ def test_line_runs_are_levelled_and_batches_do_not_matter(spark):
     assert results[0] == results[1] == results[2] and sum(r[2] for r in results[0]) == 37
 
 
+@pytest.fixture
+def split_soon(spark):
+    """Spark splits partitions of a few kilobytes that are larger than the others, and broadcasts nothing."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_documents_of_a_very_common_line_are_split(spark, split_soon):
+    common, rare = "a line that all of the documents hold, of forty code points and more", "a line of forty code points and more that only group {} holds"
+    df = spark.createDataFrame([(i, f"{common}\n{rare.format(i // 6)}") for i in range(3000)], "doc_id long, text string").repartition(6, "doc_id")
+    out = line_dedup.dedup_lines(df).select("doc_id", "kept.n_dropped")
+    assert {r["doc_id"]: r["n_dropped"] for r in out.collect()} == {i: (i != 2999) + (i % 6 != 5) for i in range(3000)}
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_repeated_and_nameless_rows(spark):
     line = "this line is long enough to be a key of its own, truly"
     df = spark.createDataFrame([(None, line), (7, line), (7, line), (3, line), (2, line)], "doc_id long, text string")
