@@ -234,6 +234,8 @@ def repeated_stretches(docs: DataFrame, batches: int = 3) -> DataFrame:
     windows = scratch.write(windows, "windows")
     scratch.drop(hits)
     again = windows.groupBy((F.col("n") == 0).alias("whole"), "w1", "w2").agg(F.sum(F.greatest("n", F.lit(1))).alias("total")).filter("total > 1").drop("total")
+    # Written, so that the join has plain shuffles on both sides and Spark can split the places of a very common stretch.
+    again = scratch.write(again, "again")
     repeated = windows.filter("n < 2").withColumn("whole", F.col("n") == 0).join(again, ["whole", "w1", "w2"]).select(*KEY, F.col("start").alias("i1"), F.col("stop").alias("i2"))
     return repeated.groupBy(*KEY).agg(F.collect_list(F.struct("i1", "i2")).alias("spans"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from margrave.llm import line_dedup, quality, queries, substring_dedup
 
 from ..oracle import compare
+from .conftest import prose
 
 BLANKS = " \t\n\x0b\x0c\r"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,6 +72,14 @@ def test_documents_of_a_very_common_line_are_split(spark, split_soon):
     assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_places_of_a_very_common_passage_are_split(spark, split_soon):
+    passage = prose(5, 60)
+    df = spark.createDataFrame([(i, f"{prose(100 + i, 20)} {passage} {prose(5000 + i, 20)}") for i in range(1200)], "doc_id long, text string").repartition(6, "doc_id")
+    out = substring_dedup.repeated_stretches(df)
+    assert sorted(r["did"] for r in out.collect()) == list(range(1200))
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_repeated_and_nameless_rows(spark):
     line = "this line is long enough to be a key of its own, truly"
     df = spark.createDataFrame([(None, line), (7, line), (7, line), (3, line), (2, line)], "doc_id long, text string")
