@@ -26,7 +26,6 @@ import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,38 +52,119 @@ BLOCK = 1024
 COUNTED, HELD = 1 << 14, 1 << 21
 #: Entries of each table of random variates; samples draw on them by independent hashes.
 POOL = 1 << 16
+#: Characters that are split into words at once.
+CHARACTERS = 1 << 16
 _U = np.uint64
-_PUNCTUATION = re.compile(r"^[\W_]+|[\W_]+$")
+_BLANK = re.compile(r"\s")
+#: Characters whose lower case isn't one character, or depends on what stands beside them.
+_ODD = re.compile("[\u0130\u03a3]")
 
 
-class _Words(dict):
-    """64-bit hashes of words, as seen in a text; 0 for a word of punctuation alone."""
+@functools.lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: 0 if it is white space, 2 if a letter or digit, else 1; and a hash of its lower case."""
+    kind, lower = np.ones(0x110000, np.uint8), np.arange(0x110000)
+    for i, c in enumerate(map(chr, range(0x110000))):
+        if c.isalnum():
+            kind[i] = 2
+        elif c.isspace():
+            kind[i] = 0
+        small = c.lower()
+        if small != c and len(small) == 1:
+            lower[i] = ord(small)
+    return kind, mixed(lower.astype(_U) + _U(0x632BE59BD9B4E019))
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        bare = _PUNCTUATION.sub("", word.lower())
-        value = xxhash.xxh64_intdigest(bare) or 1 if bare else 0
-        if len(self) > 600_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+def _factors(places: np.ndarray) -> np.ndarray:
+    """A random odd factor of each place in a word."""
+    return mixed(places.astype(_U) * _U(2) + _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-_WORDS = _Words()
+@functools.lru_cache(maxsize=1)
+def _first_factors() -> np.ndarray:
+    return _factors(np.arange(4 * CHARACTERS))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("latin-1"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _long_words(piece: str) -> np.ndarray:
+    """What words_in() gives, word by word, with no more than some characters of a word in arrays at once."""
+    out, hashes = [], _characters()[1]
+    for word in piece.split():
+        first = next((i for i, c in enumerate(word) if c.isalnum()), -1)
+        if first >= 0:
+            stop = next(i for i in range(len(word), 0, -1) if word[i - 1].isalnum())
+            total = _U((stop - first))
+            for at in range(first, stop, CHARACTERS):
+                code = _codes(word[at : min(stop, at + CHARACTERS)])
+                total = np.add(total, np.sum(hashes[code] * _factors(np.arange(len(code)) + (at - first)), dtype=_U), dtype=_U)
+            out.append(total)
+    return mixed(np.array(out, _U))
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Groups of texts of some CHARACTERS in all, and their rows; a longer text comes in pieces cut at white space."""
+    group, rows, n = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            cut = _BLANK.search(text, at + CHARACTERS) if len(text) - at > CHARACTERS else None
+            stop = cut.start() if cut else len(text)
+            piece, at = text[at:stop], stop
+            piece = piece.lower() if _ODD.search(piece) else piece
+            if group and len(piece) > CHARACTERS:
+                yield group, rows
+                group, rows, n = [], [], 0
+            group.append(piece)
+            rows.append(i)
+            n += len(piece)
+            if n >= CHARACTERS:
+                yield group, rows
+                group, rows, n = [], [], 0
+    if group:
+        yield group, rows
+
+
+def words_in(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, lower-cased and without punctuation at the ends, in order; each text's number of words.
+
+    What is punctuation alone is no word.  A hash is the sum of the characters' hashes times factors of their places, mixed.
+    """
+    kinds, hashes = _characters()
+    found, lengths = [np.zeros(0, _U)], np.zeros(len(texts), np.int64)
+    for group, rows in _pieces(texts):
+        if len(group[0]) > 2 * CHARACTERS:
+            found.append(_long_words(group[0]))
+            lengths[rows[0]] += len(found[-1])
+            continue
+        code = _codes(" ".join(group))
+        kind = kinds[code]
+        at = np.flatnonzero(kind == 2)
+        if not len(at):
+            continue
+        # Letters and digits with white space between them lie in different words.
+        run = np.cumsum(kind == 0, dtype=np.int32)[at]
+        new = np.flatnonzero(run[1:] != run[:-1])
+        start, stop = at[np.concatenate([[0], new + 1])], at[np.concatenate([new, [len(at) - 1]])] + 1
+        size = stop - start
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        value = hashes[code[place + np.repeat(start, size)]] * _first_factors()[place]
+        found.append(mixed(np.add.reduceat(value, ends - size) + size.astype(_U)))
+        begins = np.cumsum([0, *(len(x) + 1 for x in group)])
+        np.add.at(lengths, rows, np.diff(np.searchsorted(start, begins)))
+    return np.concatenate(found), lengths
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: row and hash of each run of five words, in order; the words' hashes and each text's number of them.
+    """Of a batch: row and 56-bit hash of each run of five words, in order; the words' hashes and each text's number of them.
 
     A text of one to four words has one run, all its words; one of no words has none.
     """
-    lookup = _WORDS.__getitem__
-    lists = [[h for h in map(lookup, x.split()) if h] for x in texts]
-    lengths = np.array([len(x) for x in lists], dtype=np.int64)
-    n = int(lengths.sum())
-    words = np.fromiter(chain.from_iterable(lists), dtype=_U, count=n)
+    words, lengths = words_in(texts)
+    n = len(words)
     firsts = np.cumsum(lengths) - lengths
     row = np.repeat(np.arange(len(texts)), lengths)
     value = np.full(n, 0x51ED270B7A14D5A7, _U)
@@ -98,7 +178,7 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
             for word in words[firsts[i] : firsts[i] + lengths[i]]:
                 short = mixed(short * _U(31) + word)
         value[firsts[i]], whole[firsts[i]] = short, True
-    return row[whole], value[whole], words, lengths
+    return row[whole], value[whole] >> _U(8), words, lengths
 
 
 def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +195,12 @@ def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     for salt in (_U(0x632BE59BD9B4E019), _U(0xD6E8FEB86659FD93)):
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(words * salt + mixed(place + salt)), dtype=_U)])
         prints.append(np.where(lengths > 0, mixed(sums[ends] - sums[firsts] + lengths.astype(_U)), _U(0)))
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    if len(texts) <= 256:  # row and hash make one number
+        both = np.sort(row.astype(_U) << _U(56) | value)
+        row, value = (both >> _U(56)).astype(np.int64), both & _U((1 << 56) - 1)
+    else:
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
     head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])) if len(row) else np.zeros(0, np.int64)
     return row[head], value[head], np.diff(np.concatenate([head, [len(row)]])), prints[0], prints[1]
 
@@ -226,34 +310,56 @@ def weights(shingles: np.ndarray, counts: np.ndarray, known: Frequencies) -> np.
 
 @functools.lru_cache(maxsize=1)
 def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ Uniform(0, 1); the same in every process."""
+    """r ~ Gamma(2, 1), beta ~ Uniform(0, 1), ln c with c ~ Gamma(2, 1); the same in every process."""
     rng = np.random.Generator(np.random.PCG64(20240607))
     draw = lambda: -np.log(1 - rng.random(POOL)) - np.log(1 - rng.random(POOL))
-    return draw().astype(np.float32), np.log(draw()).astype(np.float32), rng.random(POOL).astype(np.float32)
+    return draw().astype(np.float32), rng.random(POOL).astype(np.float32), np.log(draw()).astype(np.float32)
+
+
+def _levels(log_w: np.ndarray | np.float32, r: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return np.floor(log_w / r + beta)
+
+
+def _drawn(log_w: np.ndarray | np.float32, r: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """What is added to ln c."""
+    return -r * (_levels(log_w, r, beta) - beta) - r
+
+
+@functools.lru_cache(maxsize=8)
+def _drawn_by(log_w: np.float32) -> np.ndarray:
+    r, beta, _ = _variates()
+    return _drawn(log_w, r, beta)
 
 
 def samples(row: np.ndarray, shingles: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
-    """n_rows x SAMPLES: a hash of each sample (shingle, level); 0 in rows without shingles."""
+    """n_rows x SAMPLES: a hash of each sample (shingle, level); 0 in rows without shingles.
+
+    Most shingles weigh alike; what is drawn for that weight is looked up.
+    """
     out = np.zeros((n_rows, SAMPLES), np.int32)
     if not len(row):
         return out
-    r, log_c, beta = _variates()
+    r, beta, log_c = _variates()
     head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     here = row[head]
     lengths = np.diff(np.concatenate([head, [len(row)]]))
     log_w = np.log(weight).astype(np.float32)
+    usual = np.partition(log_w, len(log_w) // 2)[len(log_w) // 2]
+    other = np.flatnonzero(log_w != usual)
+    table, log_other = _drawn_by(usual), log_w[other]
     for k in range(SAMPLES):
         seed = mixed(np.array([k + 1], _U))[0] | _U(1)
-        # Three 16-bit places of the product, one a table, so that two shingles hardly ever draw the same three.
-        at = (shingles * seed).view(np.uint16).reshape(-1, 4)
-        rk, bk = r[at[:, 3]], beta[at[:, 2]]
-        level = np.floor(log_w / rk + bk)
-        log_a = log_c[at[:, 1]] - rk * (level - bk) - rk
-        least = np.minimum.reduceat(log_a, head)
-        hits = np.flatnonzero(log_a == np.repeat(least, lengths))
+        # Two 16-bit places of the product, one for r and beta and one for c, so that two shingles hardly ever draw the same.
+        product = shingles * seed
+        at, at_c = (product >> _U(48)).view(np.int64), (product >> _U(16) & _U(POOL - 1)).view(np.int64)
+        log_a = table[at]
+        log_a[other] = _drawn(log_other, r[at[other]], beta[at[other]])
+        log_a += log_c[at_c]
+        hits = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, head), lengths))
         hit_rows = row[hits]
         first = hits[np.concatenate([[True], hit_rows[1:] != hit_rows[:-1]])]
-        out[here, k] = (mixed(shingles[first] ^ mixed(level[first].astype(np.int64).view(_U) + seed)) >> _U(33)).astype(np.int32)
+        level = _levels(log_w[first], r[at[first]], beta[at[first]])
+        out[here, k] = (mixed(shingles[first] ^ mixed(level.astype(np.int64).view(_U) + seed)) >> _U(33)).astype(np.int32)
     return out
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,44 @@ def test_samples_estimate_the_weighted_similarity():
     assert abs(np.mean(gaps)) < 0.015 and np.std(gaps) < 0.08  # a binomial share of 42 has 0.065
 
 
+def bare_words(text):
+    return [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", x.lower()) for x in text.split()) if w]
+
+
+def test_hashes_of_words_are_those_of_the_plain_rule():
+    rng = random.Random(1)
+    pool = "aAbB zZ019_-.,!?\t\n\x0b\x1c\x85\xa0äÖßΣσςİıſK…“”’ 中文字ⅣⅠ²Ⓐⓐ\u0307\u3000😀É"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(200))) for _ in range(1000)]
+    texts += ["", "...", "x" * 300_000 + " y! Z", "a " * 100_000, "q" * 140_000 + "-" + "Q" * 10, "É" * 150_000, " " * 200_000 + "b", "ab" * 32_768]
+    words, lengths = near_dedup.words_in(texts)
+    expected = [bare_words(x) for x in texts]
+    assert lengths.tolist() == list(map(len, expected))
+    pairs = set(zip(sum(expected, []), words.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert near_dedup._long_words("É" * 150_000 + " -ab,").tolist() == near_dedup.words_in(["É" * 150_000, "ab"])[0].tolist()
+
+
+def test_new_words_cost_less_than_one_by_one():
+    texts = [" ".join(f"Word{i}x{j}," for j in range(300)) for i in range(500)]
+    near_dedup.runs(["warm"])
+    began = time.process_time()
+    sum(len(bare_words(x)) for x in texts)
+    by_one = time.process_time() - began
+    began = time.process_time()
+    assert len(near_dedup.runs(texts)[2]) == 150_000
+    assert time.process_time() - began < 0.6 * by_one
+
+
+def test_the_usual_weight_draws_as_any_other():
+    shingles = np.sort(np.random.default_rng(2).integers(1, 2**56, 200).astype(np.uint64))
+    weight = np.where(np.arange(200) < 190, 7.5, 3.0)
+    together = near_dedup.samples(np.zeros(200, int), shingles, weight, 1)
+    least = []  # each shingle alone, so that each weight is the usual one; then the row's samples are some of theirs
+    for x, w in zip(shingles, weight, strict=True):
+        least.append(near_dedup.samples(np.zeros(1, int), np.array([x]), np.array([w]), 1)[0])
+    assert all(together[0, k] in {x[k] for x in least} for k in range(near_dedup.SAMPLES))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 199), (199, 200)]
     out = components.connected(Scratch(spark, "test"), spark.createDataFrame(edges, "u long, v long"))
