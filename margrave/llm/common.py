@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,26 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: The operator whose tasks this worker process ran last, and what empties the caches that they left.
+_KEPT: list[tuple[str, Callable[[], None]]] = []
+
+
+def worker_of(operator: str, empty: Callable[[], None] = lambda: None) -> None:
+    """At the start of a Python task: Spark reuses worker processes, so what another operator's tasks kept here is given back first.
+
+    empty: empties what this operator's tasks keep from one to the next.
+    """
+    if _KEPT and _KEPT[-1][0] != operator:
+        import pyarrow as pa
+
+        _KEPT.pop()[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+    _KEPT[:] = [(operator, empty)]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null as an empty one."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

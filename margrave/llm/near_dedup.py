@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, text_of
+from .common import Scratch, arrow_rows, text_of, worker_of
 from .components import connected
 from .substring_dedup import mixed
 
@@ -52,6 +52,8 @@ BLOCK = 1024
 COUNTED, HELD = 1 << 14, 1 << 21
 #: Entries of each table of random variates; samples draw on them by independent hashes.
 POOL = 1 << 16
+#: Rows, with their texts, that are handed to Python at once.
+HANDED = 2048
 #: Characters that are split into words at once.
 CHARACTERS = 1 << 16
 _U = np.uint64
@@ -250,6 +252,7 @@ class LossyCounts:
 
 
 def _blocks_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    worker_of("near_dedup", _forget)
     for df in frames:
         for at in range(0, len(df), 256):
             yield df.iloc[at : at + 256]
@@ -331,6 +334,11 @@ def _drawn_by(log_w: np.float32) -> np.ndarray:
     return _drawn(log_w, r, beta)
 
 
+def _forget() -> None:
+    for kept in (_characters, _first_factors, _variates, _drawn_by):
+        kept.cache_clear()
+
+
 def samples(row: np.ndarray, shingles: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
     """n_rows x SAMPLES: a hash of each sample (shingle, level); 0 in rows without shingles.
 
@@ -513,6 +521,7 @@ def similarity(known: Frequencies):
     """A mapInPandas function: (a, b, left, right) to (a, b, similarity), the exact weighted Jaccard similarity of two texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_of("near_dedup", _forget)
         for df in frames:
             for at in range(0, len(df), 128):
                 part = df.iloc[at : at + 128]
@@ -536,6 +545,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Documents without words (null, empty or punctuation alone) are classes of their own.  Of several texts of one doc_id that with the
     least hash counts; a null doc_id takes no part.  An empty table gives an empty table.
     """
+    with arrow_rows(docs.sparkSession, HANDED):  # no Python runs in the plan that is returned
+        return _classes(docs, threshold)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     known = frequencies(docs)

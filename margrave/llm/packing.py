@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_of
 
 #: Tokens of a batch of pieces of one length.
 BATCH_TOKENS = 1 << 18
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, path: str, longest: int = 4096, end_id: int = 2, with_
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_of("packing", word_ids.cache_clear)
         encode, task, dealt = word_ids(path), TaskContext.get().partitionId(), [0] * 64
         for batch in batches:
             for at in range(0, len(batch), 512):  # bounds what one frame of pieces holds

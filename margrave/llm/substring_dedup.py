@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of, words_of
+from .common import Scratch, text_of, words_of, worker_of
 
 WIDTH, GRAM = 35, 8
 PLACE_BITS = 28
@@ -115,6 +115,7 @@ def _slices(batches: Iterator[pa.RecordBatch], words: int = 1 << 21) -> Iterator
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_of("substring_dedup")
     for batch in _slices(batches):
         words, offsets = _flat(batch.column("words"))
         row, first, last, h, c = anchors(words, offsets)
@@ -130,6 +131,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     start and stop are the first and last window; w1 and w2 hash the words from the former's first to the latter's last.
     """
+    worker_of("substring_dedup")
     for batch in _slices(batches):
         words, offsets = _flat(batch.column("words"))
         spans = batch.column("spans")
@@ -265,6 +267,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False)
         base = docs.select("doc_id", "text", *[F.col(f"`{x}`").alias(n) for x, n in names.items()])
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_of("substring_dedup")
             for batch in batches:
                 texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
                 new = pa.array([None if t is None else _kept(t, s)[2].decode("utf-8") for t, s in zip(texts, spans, strict=True)], batch.schema.field("text").type)
@@ -275,6 +278,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False)
     joined = _keyed(docs.select("doc_id", "text")).join(spans, KEY, "left").drop(*KEY)
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_of("substring_dedup")
         for df in frames:
             got = [_kept(t, s) for t, s in zip(df["text"], df["spans"], strict=True)]
             yield pd.DataFrame({"doc_id": df["doc_id"], "n_words": [x[0] for x in got], "n_removed": [x[1] for x in got], "kept_sha256": [hashlib.sha256(x[2]).hexdigest() for x in got]})

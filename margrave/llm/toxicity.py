@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, text_of, worker_of
 
 #: Labelled documents of either label that are learned from, at most.
 SAMPLE = 6000
@@ -184,6 +184,7 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(sketch, y, text): the least hash of a document's shingles, which copies mostly share."""
+    worker_of("toxicity")
     for batch in batches:
         words = [x.lower().split() for x in batch["text"]]
         yield batch.assign(sketch=np.array([min(hash_of(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in words], dtype=np.uint64).view(np.int64))
@@ -191,6 +192,7 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _stem_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per batch (key, positive, total): documents that hold a stem, and with an empty key those read."""
+    worker_of("toxicity")
     for batch in batches:
         total, positive = Counter(), Counter()
         for y, text in zip(batch["y"], batch["text"], strict=True):
@@ -234,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 
 def _path_rows(grammar: Grammar, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    worker_of("toxicity")
     for batch in batches:
         yield pd.DataFrame({"y": batch["y"].astype("int32"), "paths": [grammar.paths(x) for x in batch["text"]]})
 
@@ -262,6 +265,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, score, paths for each row of docs; a null or empty text has no paths and gets the bias alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_of("toxicity")
         for batch in batches:
             paths = [grammar.paths(x) for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": grammar.scores(paths), "paths": paths})
@@ -284,6 +288,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        worker_of("toxicity")
         for batch in batches:
             texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
             if texts:

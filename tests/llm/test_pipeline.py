@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from margrave.llm import toxicity
+from margrave.llm import common, near_dedup, packing, toxicity
 
 from .test_pairs import brute_classes
 from .test_texts import ASCII_LOWER, BLANKS, words
@@ -88,3 +89,30 @@ def test_pipeline_over_an_empty_table(spark, none, tmp_path):
     none.withColumn("n_chars", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_gives_back_what_another_operator_kept():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    common.worker_of("packing", packing.word_ids.cache_clear)
+    packing.word_ids(path)("some words")
+    common.worker_of("packing", packing.word_ids.cache_clear)
+    assert packing.word_ids.cache_info().currsize == 1  # the next task of the same operator
+    list(near_dedup._blocks_of(iter([pd.DataFrame({"text": ["a b"]})])))
+    assert packing.word_ids.cache_info().currsize == 0
+
+
+def test_near_dedup_hands_bounded_rows_to_python(spark, monkeypatch):
+    handed, most = type(spark.range(0)).mapInPandas, near_dedup.HANDED
+
+    def bounded(self, run, schema, *args, **kwargs):
+        def held(frames):
+            for df in frames:
+                if len(df) > most:
+                    raise ValueError(f"{len(df)} rows")
+                yield df
+
+        return handed(self, lambda frames: run(held(frames)), schema, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", bounded)
+    docs = spark.range(2 * most).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of text "), F.col("id") % 10).alias("text"))
+    assert near_dedup.near_duplicates(docs).select("class_id").distinct().count() == 10
